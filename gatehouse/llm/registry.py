@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from gatehouse.llm.fingerprints import op7_fingerprints
 from gatehouse.llm.mixing import op10_mixing
+from gatehouse.llm.token_counts import op6_token_counts
+from gatehouse.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_token_files": op8_token_files,
     "op10_mixing": op10_mixing,
 }
 
