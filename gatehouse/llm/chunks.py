@@ -14,9 +14,9 @@ TOGETHER = 1 << 21
 
 
 class ChunkTable:
-    """Codes of the chunks seen so far, in flat arrays; `encode` gives, for a list of chunks, one tuple of equally long int arrays each."""
+    """Codes of the chunks seen so far, in flat arrays; `encode` gives, for a list of chunks, the number of codes of each and `width` arrays of all their codes in order."""
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple]], width: int = 1) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], width: int = 1) -> None:
         self.encode, self.width = encode, width
         self._clear()
 
@@ -27,16 +27,14 @@ class ChunkTable:
         self.flat = [np.zeros(4096, np.int32) for _ in range(self.width)]
 
     def _add(self, chunks: list[str]) -> None:
-        coded = self.encode(chunks)
-        sizes = np.array([len(c[0]) for c in coded], np.int64)
+        sizes, coded = self.encode(chunks)
         total = int(sizes.sum())
         while len(self.start) < self.n + len(chunks):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         for k in range(self.width):
             while len(self.flat[k]) < self.used + total:
                 self.flat[k] = np.resize(self.flat[k], 2 * len(self.flat[k]))
-            if total:
-                self.flat[k][self.used : self.used + total] = np.concatenate([np.asarray(c[k], np.int32) for c in coded])
+            self.flat[k][self.used : self.used + total] = coded[k]
         ends = np.cumsum(sizes)
         self.start[self.n : self.n + len(chunks)] = self.used + ends - sizes
         self.size[self.n : self.n + len(chunks)] = sizes

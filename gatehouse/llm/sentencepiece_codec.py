@@ -16,8 +16,8 @@ from gatehouse.llm import chunks, common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Pairs of pieces whose joint encoding is remembered at most.
-PAIRS = 4_000_000
+#: Pairs of pieces whose joint encoding is remembered at most, and the bits of the table in which they are first looked for.
+PAIRS, SLOTS = 1_000_000, 21
 #: Words, as characters, that advance together.
 CELLS = 1 << 22
 
@@ -55,8 +55,12 @@ class Codec:
         self.keys, self.ids = keys[order], np.array(whole, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        spelled = [bytes([i - self.byte0]) if self.byte0 <= i < self.byte0 + 256 else b"" if i not in set() and (own.is_control(i) or own.is_unknown(i)) else self.pieces[i].replace(SPACE, " ").encode() for i in range(self.size)]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.power = np.array([pow(int(_BASE), j, 1 << 64) for j in range(self.longest + 1)], np.uint64)
+        self.pairs: dict[int, bool] = {}
+        self.slot_key, self.slot_ok = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
+        spelled = [bytes([i - self.byte0]) if self.byte0 <= i < self.byte0 + 256 else b"" if own.is_control(i) or own.is_unknown(i) else self.pieces[i].replace(SPACE, " ").encode() for i in range(self.size)]
         self.spell_size = np.array([len(x) for x in spelled], np.int64)
         self.spell_start = np.cumsum(self.spell_size) - self.spell_size
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
@@ -85,81 +89,107 @@ class Codec:
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two pieces merged alone stay these two; states from `size` on are characters without a piece."""
         wanted = left * (1 << 22) + right
-        found = np.searchsorted(self.pair_keys, wanted)
-        known = found < len(self.pair_keys)
-        known[known] = self.pair_keys[found[known]] == wanted[known]
-        if not known.all():
-            new = np.unique(wanted[~known])
-            ok = np.empty(len(new), bool)
-            for k, key in enumerate(new.tolist()):
-                a, b = self._text(key >> 22), self._text(key & ((1 << 22) - 1))
-                ok[k] = self.merged(a + b) == [a, b]
-            if len(self.pair_keys) > PAIRS:
-                self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-                new, ok = np.unique(wanted), None
-                return self._apart(left, right) if len(new) else np.zeros(0, bool)
-            keys, oks = np.concatenate([self.pair_keys, new]), np.concatenate([self.pair_ok, ok])
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_ok = keys[order], oks[order]
-            found = np.searchsorted(self.pair_keys, wanted)
-        return self.pair_ok[found]
-
-    def _lookup(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[found] == hashes, self.ids[found], -1)
-
-    def _equal_length(self, codes: np.ndarray) -> list[np.ndarray]:
-        """The states of words of one length, from their characters (words x length)."""
+        slot = (common.mix(wanted.view(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        ok = self.slot_ok[slot]
+        missed = np.flatnonzero(self.slot_key[slot] != wanted)
+        if len(missed):
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+            new, back = np.unique(wanted[missed], return_inverse=True)
+            known = np.array([self._pair(key) for key in new.tolist()], bool)
+            ok[missed] = known[back]
+            at = slot[missed]
+            self.slot_key[at], self.slot_ok[at] = wanted[missed], ok[missed]
+        return ok
+
+    def _pair(self, key: int) -> bool:
+        ok = self.pairs.get(key)
+        if ok is None:
+            a, b = self._text(key >> 22), self._text(key & ((1 << 22) - 1))
+            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+        return ok
+
+    def _pieces_in(self, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in words of one length, by their ends: (end, word, length, piece). Hashes are sieved before they probe the sorted keys."""
+        found = []
+        for l in range(1, min(len(prefix) - 1, self.longest) + 1):
+            hashes = prefix[l:] - prefix[:-l] * self.power[l]
+            row, word = np.nonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])
+            some = hashes[row, word]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == some)
+            found.append((row[hit] + l, word[hit], np.full(len(hit), l, np.int64), self.ids[at[hit]]))
+        end, word, l, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return end[order], word[order], l[order], piece[order]
+
+    def _equal_length(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of states of words of one length, and all their states, from their characters (words x length)."""
         n, length = codes.shape
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * _BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
-        power = np.ones(self.longest + 1, np.uint64)
-        for j in range(self.longest):
-            power[j + 1] = power[j] * _BASE
+        end, word, l, piece = self._pieces_in(prefix)
+        cut = np.searchsorted(end, np.arange(1, length + 2))
         last, back = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
         for i in range(1, length + 1):
-            most = min(i, self.longest)
-            score, state = np.zeros((most, n), np.int8), np.zeros((most, n), np.int64)
-            for l in range(1, most + 1):
-                piece = self._lookup(prefix[i] - prefix[i - l] * power[l])
-                if l == 1:
-                    piece = np.where(piece < 0, self.size + codes[:, i - 1], piece)
-                have = np.flatnonzero(piece >= 0)
-                if i > l and len(have):
-                    have = have[self._apart(last[i - l, have], piece[have])]
-                score[l - 1, have], state[l - 1] = 1, piece
-            best = score.argmax(0)
-            if not score[best, np.arange(n)].all():
+            span = slice(cut[i - 1], cut[i])
+            w, step, p = word[span], l[span], piece[span]
+            alone = np.ones(n, bool)
+            alone[w[step == 1]] = False
+            if alone.any():
+                some = np.flatnonzero(alone)
+                w, step, p = np.append(w, some), np.append(step, np.ones(len(some), np.int64)), np.append(p, self.size + codes[some, i - 1])
+            score = step == i
+            inner = np.flatnonzero(~score)
+            if len(inner):
+                score[inner] = self._apart(last[i - step[inner], w[inner]], p[inner])
+            best = np.flatnonzero(score)
+            back[i, w[best]], last[i, w[best]] = step[best], p[best]
+            if not back[i].all():
                 raise AssertionError("a word has no encoding")
-            last[i], back[i] = state[best, np.arange(n)], best + 1
         out = np.full((n, length), -1, np.int64)
         at, rows = np.full(n, length), np.arange(n)
         for j in range(length - 1, -1, -1):
-            live = at > 0
+            live = np.flatnonzero(at > 0)
+            if not len(live):
+                break
             out[live, j] = last[at[live], rows[live]]
             at[live] -= back[at[live], rows[live]]
-        return [x[x >= 0] for x in out]
-
-    def encode_words(self, words: list[str]) -> list[tuple]:
-        """Ids of words; a word is what stands between spaces, with the spaces before it as U+2581."""
-        out: list = [None] * len(words)
-        by: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by.setdefault(len(w), []).append(k)
-        for length, which in by.items():
+        return (out >= 0).sum(1), out[out >= 0]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The number of ids of each word and all ids; a word is what stands between spaces, with the spaces before it as U+2581."""
+        lengths = np.array(list(map(len, words)), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+        size, found = np.zeros(len(words), np.int64), []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            length = int(lengths[order[low]])
             step = max(1, CELLS // (length * 16))
-            for a in range(0, len(which), step):
-                some = which[a : a + step]
-                codes = np.frombuffer("".join(words[k] for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length).astype(np.int64)
-                for k, states in zip(some, self._equal_length(codes), strict=True):
-                    out[k] = (self._ids(states),)
-        return out
-
-    def _ids(self, states: np.ndarray) -> np.ndarray:
-        if (states < self.size).all():
-            return states
-        return np.concatenate([[s] if s < self.size else np.frombuffer(chr(s - self.size).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + self.byte0 for s in states.tolist()])
+            for a in range(low, high, step):
+                some = order[a : min(a + step, high)]
+                codes = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length).astype(np.int64)
+                n, states = self._equal_length(codes)
+                if (states >= self.size).any():
+                    n, states = self._spelled(n, states)
+                size[some] = n
+                found.append(states)
+        start = np.cumsum(size) - size
+        own = size[order]
+        ids = np.empty(int(size.sum()), np.int32)
+        ids[np.arange(len(ids)) + np.repeat(start[order] - (np.cumsum(own) - own), own)] = np.concatenate(found)
+        return size, [ids]
+
+    def _spelled(self, n: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become the pieces of their bytes."""
+        odd = np.flatnonzero(states >= self.size)
+        spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) for c in (states[odd] - self.size).tolist()]
+        grown = np.ones(len(states), np.int64)
+        grown[odd] = list(map(len, spelled))
+        out = np.repeat(states, grown)
+        out[np.repeat(states >= self.size, grown)] = np.concatenate(spelled).astype(np.int64) + self.byte0
+        return np.add.reduceat(grown, np.cumsum(n) - n), out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts before a text goes."""

@@ -50,13 +50,16 @@ def offsets_table(vocabulary: str) -> chunks.ChunkTable:
 
     own = Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
-    def encode(new: list[str]) -> list[tuple]:
-        out = []
+    def encode(new: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        sizes, ids, firsts, lasts = [], [], [], []
         for chunk, e in zip(new, own.encode_batch(new, add_special_tokens=False), strict=True):
             spans = e.offsets
             first = [s - (s == 1 and chunk[0] == " " and (k == 0 or spans[k - 1][1] == 0)) if s < t else min(s, len(chunk) - 1) for k, (s, t) in enumerate(spans)]
-            out.append((e.ids, first, [max(t - 1, f) for f, (_, t) in zip(first, spans, strict=True)]))
-        return out
+            sizes.append(len(first))
+            ids += e.ids
+            firsts += first
+            lasts += [max(t - 1, f) for f, (_, t) in zip(first, spans, strict=True)]
+        return np.array(sizes, np.int64), [np.array(x, np.int32) for x in (ids, firsts, lasts)]
 
     return chunks.ChunkTable(encode, width=3)
 

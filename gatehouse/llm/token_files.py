@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,13 @@ def tokenizer_table(vocabulary: str) -> chunks.ChunkTable:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    return chunks.ChunkTable(lambda new: [(e.ids,) for e in own.encode_batch(new, add_special_tokens=False)])
+
+    def encode_chunks(new: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        ids = [e.ids for e in own.encode_batch(new, add_special_tokens=False)]
+        sizes = np.array(list(map(len, ids)), np.int64)
+        return sizes, [np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))]
+
+    return chunks.ChunkTable(encode_chunks)
 
 
 def _writer(vocabulary: str, end: int):
