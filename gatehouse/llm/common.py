@@ -87,47 +87,43 @@ _UP = _powers(_CHUNK, _BASE)
 _DOWN = _powers(_CHUNK, pow(_BASE, -1, 1 << 64))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of spans of bytes that follow each other without overlap; with lower, A-Z count as a-z.
+
+    Sums of code times a power of an odd base, from running sums over windows of at most a megabyte,
+    so that a text of any length takes bounded memory.
+    """
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        low = int(start[k])
+        stop = int(np.searchsorted(end, low + _CHUNK, "right"))
+        if stop > k:
+            part = raw[low : int(end[stop - 1])]
+            code = _CODES[_LOWER[part] if lower else part]
+            sums = np.empty(len(part) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(code * _UP[: len(part)], out=sums[1:])
+            a = start[k:stop] - low
+            out[k:stop] = (sums[end[k:stop] - low] - sums[a]) * _DOWN[np.minimum(a, _CHUNK - 1)]
+            k = stop
+        else:  # one span longer than a window
+            total = 0
+            for i in range(low, int(end[k]), _CHUNK):
+                part = raw[i : min(i + _CHUNK, int(end[k]))]
+                code = _CODES[_LOWER[part] if lower else part]
+                total += int((code * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, i - low, 1 << 64)
+            out[k] = total % (1 << 64)
+            k += 1
+    return mix(out)
+
+
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of one text, in order, after lower-casing A-Z. A word is a run of bytes that aren't white space."""
     if not len(raw):
         return np.zeros(0, np.uint64)
-    blank = _SPACES[raw]
-    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    code = _CODES[_LOWER[raw]]
-    if len(raw) < _CHUNK:
-        sums = np.empty(len(raw) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(code * _UP[: len(raw)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * _DOWN[start])
-    # A text of over a megabyte: sums of runs, so that the powers needn't be longer than a chunk.
-    out = np.empty(len(start), np.uint64)
-    long = np.flatnonzero(end - start >= _CHUNK // 2)
-    for k in long:
-        total, w = 0, code[start[k] : end[k]]
-        for i in range(0, len(w), _CHUNK):
-            part = w[i : i + _CHUNK]
-            total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64)
-        out[k] = mix(np.array([total % (1 << 64)], np.uint64))[0]
-    k, is_long = 0, np.zeros(len(start), bool)
-    is_long[long] = True
-    while k < len(start):
-        if is_long[k]:
-            k += 1
-            continue
-        low = start[k]
-        stop = min(int(np.searchsorted(end, low + _CHUNK, "left")), len(start))
-        sums = np.empty(end[stop - 1] - low + 1, np.uint64) if end[stop - 1] > low else np.empty(1, np.uint64)
-        sums[0] = 0
-        n = len(sums) - 1
-        np.cumsum(code[low : low + n] * _UP[:n], out=sums[1:])
-        take = np.arange(k, stop)
-        take = take[~is_long[take]]
-        out[take] = mix((sums[end[take] - low] - sums[start[take] - low]) * _DOWN[start[take] - low])
-        k = stop
-    return out
+    edge = np.flatnonzero(np.diff(_SPACES[raw], prepend=True, append=True))
+    return span_hashes(raw, edge[::2], edge[1::2], lower=True)
 
 
 def shingles(raw: np.ndarray, size: int) -> np.ndarray:

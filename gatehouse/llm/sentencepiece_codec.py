@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +158,7 @@ class Codec:
             at[live] -= back[at[live], rows[live]]
         return (out >= 0).sum(1), out[out >= 0]
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word and all ids; a word is what stands between spaces, with the spaces before it as U+2581."""
         lengths = np.array(list(map(len, words)), np.int64)
         order = np.argsort(lengths, kind="stable")
@@ -175,11 +175,9 @@ class Codec:
                     n, states = self._spelled(n, states)
                 size[some] = n
                 found.append(states)
-        start = np.cumsum(size) - size
-        own = size[order]
         ids = np.empty(int(size.sum()), np.int32)
-        ids[np.arange(len(ids)) + np.repeat(start[order] - (np.cumsum(own) - own), own)] = np.concatenate(found)
-        return size, [ids]
+        ids[chunks.ragged((np.cumsum(size) - size)[order], size[order])] = np.concatenate(found)
+        return size, ids
 
     def _spelled(self, n: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become the pieces of their bytes."""
@@ -191,29 +189,21 @@ class Codec:
         out[np.repeat(states >= self.size, grown)] = np.concatenate(spelled).astype(np.int64) + self.byte0
         return np.add.reduceat(grown, np.cumsum(n) - n), out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; the space that encoding puts before a text goes."""
-        size = self.spell_size[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.arange(total) + np.repeat(self.spell_start[ids] - (ends - size), size)
-        text = self.spelling[index].tobytes().decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
-
-
-_RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-
+    def encode_chunks(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for spans of a run of texts that spaced() has made."""
+        words = [raw[a:b].tobytes().decode().replace(" ", SPACE) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return self.encode_words(words)
 
-def words(text: str) -> list[str]:
-    """A text's words with the spaces before them; no piece reaches over the end of one."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    parts = text.split(" ")
-    if "" in parts:
-        return _RUNS.findall(SPACE + text.replace(" ", SPACE))
-    return [SPACE + p for p in parts]
+    def decode(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts whose ids lie between starts and ends, and the number of bytes of each; the space that encoding puts before a text goes."""
+        size = self.spell_size[ids]
+        size[starts[ends > starts]] -= 1
+        skip = np.zeros(len(ids), np.int64)
+        skip[starts[ends > starts]] = 1
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        upto = np.append(0, stop)
+        return self.spelling[np.arange(total) + np.repeat(self.spell_start[ids] + skip - (stop - size), size)], upto[ends] - upto[starts]
 
 
 _CODECS: dict[str, tuple[Codec, chunks.ChunkTable]] = {}
@@ -223,26 +213,36 @@ def codec(model: str) -> tuple[Codec, chunks.ChunkTable]:
     """The codec of a model and its table of words, kept while the process lives; both are bounded."""
     if model not in _CODECS:
         own = Codec(model)
-        _CODECS[model] = own, chunks.ChunkTable(own.encode_words)
+        _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks)
     return _CODECS[model]
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts in which U+2581 is a space, with the space before them that encoding puts there; null and empty texts are empty."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
+    empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    return pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(space, texts, empty))
+
+
 def _coder(model: str, digest: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = codec(model)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").cast(pa.int64()), [t or "" for t in batch.column("text").to_pylist()]
-            for low, high, ends, (ids,), _, _ in chunks.by_document(texts, words, table):
+            doc_ids, texts = batch.column("doc_id").cast(pa.int64()), spaced(batch.column("text"))
+            for low, high, raw, begins, stops, ids, ends in chunks.by_document(texts, chunks.word_cuts, table):
                 starts = np.concatenate([[0], ends[:-1]])
-                decoded = [own.decode(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
+                decoded, sizes = own.decode(ids, starts, ends)
+                upto = np.cumsum(sizes)
                 out = {"doc_id": doc_ids.slice(low, high - low), "n_pieces": pa.array(ends - starts, pa.int64())}
+                spans = list(zip((upto - sizes).tolist(), upto.tolist(), strict=True))
                 if digest:
-                    out["ids_crc32"] = pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())
-                    out["decoded_crc32"] = pa.array([zlib.crc32(t.encode()) for t in decoded], pa.int64())
+                    little = ids.astype("<u4")
+                    out["ids_crc32"] = pa.array([zlib.crc32(little[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())
+                    out["decoded_crc32"] = pa.array([zlib.crc32(decoded[a:b].tobytes()) for a, b in spans], pa.int64())
                 else:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-                    out["decoded"] = pa.array(decoded, pa.large_string()).cast(pa.string())
-                out["exact"] = pa.array([d == t.replace(SPACE, " ") for d, t in zip(decoded, texts[low:high], strict=True)])
+                    out["decoded"] = pa.array([decoded[a:b].tobytes().decode("utf-8", "replace") for a, b in spans], pa.string())
+                out["exact"] = pa.array([np.array_equal(decoded[a:b], raw[c + 1 : d]) for (a, b), c, d in zip(spans, begins.tolist(), stops.tolist(), strict=True)])
                 yield pa.RecordBatch.from_pydict(out)
 
     return code

@@ -16,17 +16,10 @@ VOCABULARY = "byte_bpe_50k.json"
 RULES = ("first", "last", "most")
 
 
-def line_sections(text: str) -> np.ndarray:
-    """Starts of a text's sections: each line with the newline that ends it. An empty text has one empty section."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    cut = np.flatnonzero(codes == 10) + 1
-    return np.concatenate([[0], cut[cut < len(codes)]]).astype(np.int64)
-
-
 def attribute(starts: np.ndarray, first: np.ndarray, last: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Interval join of one document: the section of each token by the rule, and whether it crosses a boundary.
+    """Interval join of tokens with adjoining sections: the section of each token by the rule, and whether it crosses a boundary.
 
-    starts: ascending starts of adjoining sections; first, last: places of each token's first and last character.
+    starts: ascending starts of the sections; first, last: places of each token's first and last character.
     """
     a = np.searchsorted(starts, first, "right") - 1
     b = np.searchsorted(starts, last, "right") - 1
@@ -43,50 +36,36 @@ def attribute(starts: np.ndarray, first: np.ndarray, last: np.ndarray, rule: str
     return a, crosses
 
 
-def offsets_table(vocabulary: str) -> chunks.ChunkTable:
-    """A chunk table with, for each id, the places of its first and last character in the chunk, its leading space included."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-
-    def encode(new: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        sizes, ids, firsts, lasts = [], [], [], []
-        for chunk, e in zip(new, own.encode_batch(new, add_special_tokens=False), strict=True):
-            spans = e.offsets
-            first = [s - (s == 1 and chunk[0] == " " and (k == 0 or spans[k - 1][1] == 0)) if s < t else min(s, len(chunk) - 1) for k, (s, t) in enumerate(spans)]
-            sizes.append(len(first))
-            ids += e.ids
-            firsts += first
-            lasts += [max(t - 1, f) for f, (_, t) in zip(first, spans, strict=True)]
-        return np.array(sizes, np.int64), [np.array(x, np.int32) for x in (ids, firsts, lasts)]
-
-    return chunks.ChunkTable(encode, width=3)
-
-
 def _counter(vocabulary: str, rule: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = offsets_table(vocabulary)
+        own = chunks.ByteLevel(vocabulary)
+        table = own.table()
         for batch in batches:
-            own, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for low, high, stops, (_, first, last), lists, size in chunks.by_document(texts, chunks.byte_level_chunks, table):
-                lengths = np.array([len(c) for x in lists for c in x], np.int64)
-                at_chunk = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-                out: list[list] = [[], [], [], [], [], []]
-                at = 0
-                for k in range(high - low):
-                    a, b = at_chunk[k], at_chunk[k + 1]
-                    base = np.repeat(np.cumsum(lengths[a:b]) - lengths[a:b], size[a:b])
-                    stop, starts = int(stops[k]), line_sections(texts[low + k])
-                    section, crosses = attribute(starts, first[at:stop] + base, last[at:stop] + base, rule)
-                    n = len(starts)
-                    ends = np.append(starts[1:], len(texts[low + k]))
-                    for column, x in zip(out, (np.repeat(np.array([-1 if own[low + k] is None else own[low + k]], np.int64), n), np.arange(n), starts, ends, np.bincount(section, minlength=n), np.bincount(section, weights=crosses, minlength=n)), strict=True):
-                        column.append(x)
-                    at = stop
-                arrays = [np.concatenate(x).astype(np.int64) for x in out]
-                null = np.repeat([x is None for x in own[low:high]], [len(x) for x in out[0]])
-                yield pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int64(), mask=null), *[pa.array(x, pa.int64()) for x in arrays[1:]]], ["doc_id", "section", "start", "stop", "n_tokens", "n_crossing"])
+            doc_ids = batch.column("doc_id")
+            for low, high, raw, begins, stops, ids, _ in chunks.by_document(batch.column("text"), chunks.byte_level_cuts, table):
+                # Bytes of the run, and with them its tokens, in characters.
+                place = np.append(np.cumsum((raw & 0xC0) != 0x80) - 1, 0)
+                ends = np.cumsum(own.bytes[ids])
+                cut = np.flatnonzero(raw == 10) + 1
+                starts = np.concatenate([begins, cut[~np.isin(cut, stops)]])
+                document = np.concatenate([np.arange(high - low), np.searchsorted(begins, cut[~np.isin(cut, stops)], "right") - 1])
+                # Documents without text have a section of their own that no token can reach.
+                order = np.lexsort((starts, document))
+                starts, document = starts[order], document[order]
+                filled = stops[document] > begins[document]
+                bounds = place[starts[filled]]
+                n, over = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+                if filled.any():
+                    section, crosses = attribute(bounds, place[ends - own.bytes[ids]], place[ends - 1], rule)
+                    n[filled] = np.bincount(section, minlength=len(bounds))
+                    over[filled] = np.bincount(section[crosses], minlength=len(bounds))
+                fresh = np.flatnonzero(np.diff(document, prepend=-1))
+                number = np.arange(len(starts)) - np.repeat(fresh, np.diff(np.append(fresh, len(starts))))
+                length = place[-2] + 1 if len(raw) else 0
+                at = np.append(place[:-1], length)
+                base = at[begins[document]]
+                upto = np.where(np.append(document[1:] == document[:-1], False), np.append(starts[1:], 0), stops[document])
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(document + low)), *[pa.array(x, pa.int64()) for x in (number, at[starts] - base, at[upto] - base, n, over)]], ["doc_id", "section", "start", "stop", "n_tokens", "n_crossing"])
 
     return count
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,24 +61,10 @@ _SCHEMA = "pid int, seq int, n_tokens long, doc_ids array<long>, ends array<long
 _SEGMENT = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(pa.binary())), ("marks", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 
 
-def tokenizer_table(vocabulary: str) -> chunks.ChunkTable:
-    """A chunk table over one of the public vocabularies of the tokenizers library."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-
-    def encode_chunks(new: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        ids = [e.ids for e in own.encode_batch(new, add_special_tokens=False)]
-        sizes = np.array(list(map(len, ids)), np.int64)
-        return sizes, [np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))]
-
-    return chunks.ChunkTable(encode_chunks)
-
-
 def _writer(vocabulary: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seq, pid = tokenizer_table(vocabulary), 0, 0
+        table, seq, pid = chunks.ByteLevel(vocabulary).table(), 0, 0
+        closing = np.array([end], np.int32)
         held: list[np.ndarray] = []
         doc_ids: list = []
         ends: list[int] = []
@@ -93,14 +78,14 @@ def _writer(vocabulary: str, end: int):
             if not batch.num_rows:
                 continue
             pid = batch.column("pid")[0].as_py()
-            own, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for low, high, stops, (ids,), _, _ in chunks.by_document(texts, chunks.byte_level_chunks, table):
+            own = batch.column("doc_id").to_pylist()
+            for low, high, _, _, _, ids, stops in chunks.by_document(batch.column("text"), chunks.byte_level_cuts, table):
                 at = 0
-                for doc_id, stop in zip(own[low:high], stops, strict=True):
-                    held.append(np.append(ids[at:stop], np.int32(end)))
-                    ends.append((ends[-1] if ends else 0) + int(stop) - at + 1)
+                for doc_id, stop in zip(own[low:high], stops.tolist(), strict=True):
+                    held += [ids[at:stop], closing]
+                    ends.append((ends[-1] if ends else 0) + stop - at + 1)
                     doc_ids.append(doc_id)
-                    at = int(stop)
+                    at = stop
                     if ends[-1] >= IDS or len(ends) >= DOCUMENTS:
                         yield segment()
                         seq += 1
