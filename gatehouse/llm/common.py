@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of ids, of 8 bytes each, up to which a checked side is broadcast.
+BROADCAST_IDS = 1 << 20
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """df joined by how ("left_semi" or "left_anti") with the doc_ids of ids, which is computed and counted first: a small one is broadcast, so that texts needn't be shuffled; a larger one is joined plainly."""
+    ids = checkpoint(ids.select("doc_id").distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, and the start and end of each row; null is empty."""
     column = column.cast(pa.large_string())

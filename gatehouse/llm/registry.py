@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from gatehouse.llm.fingerprints import op7_fingerprints
 from gatehouse.llm.mixing import op10_mixing
+from gatehouse.llm.ngram_join import op1_ngram_join
 from gatehouse.llm.sentencepiece_codec import op5_sentencepiece
 from gatehouse.llm.token_counts import op6_token_counts
 from gatehouse.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
