@@ -14,12 +14,12 @@ from gatehouse.llm import common
 
 #: Vectors, by smallest hash of their id, on which the lists' centres are fitted, and the most lists.
 SAMPLE, LISTS = 20_000, 1024
-#: Share of the lists that a query probes, and the least number of them.
-SHARE, PROBES = 0.3, 8
+#: Share of true neighbours, among the sample, whose lists a query must probe; the number of probes follows from it. Sampled queries that tell it.
+COVERED, TRIED = 0.96, 256
 #: Vectors and queries that one task holds together.
 BLOCK, QUERIES = 4096, 2048
 #: Dimensions of a column block, and how many deviations a partial distance may lie below the bound.
-COLUMNS, DEVIATIONS = 8, 2.1
+COLUMNS, DEVIATIONS = 8, 3.0
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -38,8 +38,8 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return good, sizes[0] if sizes else 0
 
 
-def centres(good: DataFrame, dim: int, n: int, seed: int = 5) -> np.ndarray:
-    """Centres of the lists, fitted with a few rounds of k-means on at most SAMPLE vectors."""
+def centres(good: DataFrame, dim: int, n: int, k_near: int, covered: float, seed: int = 5) -> tuple[np.ndarray, int]:
+    """Centres of the lists, fitted with a few rounds of k-means on at most SAMPLE vectors, and the number of probes with which TRIED of them reach the lists of a share `covered` of their nearest in the sample."""
     rows = good.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding")
     x = _matrix(rows, dim)
     k = max(1, min(LISTS, int(math.sqrt(n)), len(x) // 8))
@@ -51,7 +51,15 @@ def centres(good: DataFrame, dim: int, n: int, seed: int = 5) -> np.ndarray:
         np.add.at(sums, at, x)
         held = np.bincount(at, minlength=k)
         own[held > 0] = sums[held > 0] / held[held > 0, None]
-    return own
+    half = 0.5 * (own * own).sum(1)
+    at = np.argmax(x @ own.T - half, axis=1)
+    some = rng.permutation(len(x))[:TRIED]
+    near = x[some] @ x.T
+    near[np.arange(len(some)), some] = -np.inf
+    best = np.argsort(-near, axis=1)[:, : min(k_near, len(x) - 1)]
+    place = np.argsort(np.argsort(half - x[some] @ own.T, axis=1), axis=1)
+    reached = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
+    return own, int(reached[min(len(reached) - 1, math.ceil(covered * len(reached)))]) + 1 if len(reached) else 1
 
 
 def _assigner(points: np.ndarray, dim: int):
@@ -67,10 +75,9 @@ def _assigner(points: np.ndarray, dim: int):
     return assign
 
 
-def _prober(points: np.ndarray, dim: int, held: np.ndarray, k: int, share: float, least: int):
-    """Lists of each query, nearest first: `least` or `share` of them, and more until they surely hold k candidates."""
+def _prober(points: np.ndarray, dim: int, held: np.ndarray, k: int, wanted: int):
+    """Lists of each query, nearest first: `wanted` of them, and more until they surely hold k candidates."""
     half = 0.5 * (points * points).sum(1)
-    wanted = max(least, math.ceil(share * len(points)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +150,10 @@ def _searcher(dim: int, top: float, k: int, seed: int):
     return search
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, least: int = PROBES, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, covered: float = COVERED, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors with the largest inner product found for each vector whose id is divisible by `every`.
 
-    Every vector goes to the list of its nearest centre; a query probes its nearest lists. A list is
+    Every vector goes to the list of its nearest centre; a query probes its nearest lists, as many as the sample asks for (centres). A list is
     dealt into blocks of about BLOCK vectors by a hash, and its queries into blocks of about QUERIES, so
     that a hot list is many small groups; each pair of blocks is scanned (scan), and only k rows a query
     and block go on. Counts of the lists, at most LISTS numbers, are all that reaches the driver beside
@@ -161,13 +168,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHA
     empty = "query_id long, rank int, vec_id long, score double"
     if not dim:
         return spark.createDataFrame([], empty)
-    points = centres(good, dim, good.count(), seed)
+    points, wanted = centres(good, dim, good.count(), k, covered, seed)
     listed = common.checkpoint(good.mapInArrow(_assigner(points, dim), "vec_id long, embedding array<double>, list int, square double"))
     counts = {r["list"]: r for r in listed.groupBy("list").agg(F.count("*").alias("n"), F.max("square").alias("top")).collect()}
     held = np.array([counts[i]["n"] if i in counts else 0 for i in range(len(points))], np.int64)
     top = max(r["top"] for r in counts.values())
     queries = listed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
-    probed = queries.mapInArrow(_prober(points, dim, held, k, share, least), "vec_id long, embedding array<double>, probes array<int>")
+    probed = queries.mapInArrow(_prober(points, dim, held, k, wanted), "vec_id long, embedding array<double>, probes array<int>")
     probed = common.checkpoint(probed.select("vec_id", "embedding", F.explode("probes").alias("list")))
     asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     dealt = [(i, max(1, -(-int(held[i]) // BLOCK)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(points)) if held[i] and asked.get(i, 0)]

@@ -18,11 +18,13 @@ from gatehouse.llm import common
 #: Labelled rows of each class, by smallest hash of their id, on which lexicon and weights are fitted.
 FIT_ROWS = 3000
 #: Terms in the lexicon at most; shortest and longest stem; share of a longer stem's support that must remain.
-TERMS, STEM, STEM_MOST, REMAINS = 2000, 3, 12, 0.95
+TERMS, STEM, STEM_MOST, REMAINS = 2000, 3, 12, 0.9
 #: Least support (different contexts in toxic texts) of a term: a number and a share of the toxic rows.
 SUPPORT, SUPPORT_SHARE = 3, 0.01
-#: Share of a term's weighted support that must come from toxic texts.
-PRECISION = 0.95
+#: Share of a term's weighted support that must come from toxic texts, and by how many nats its counts must speak against chance; thousands of words are tried.
+PRECISION, EVIDENCE = 0.85, 12.0
+#: Log odds that give a term its full weight.
+FULL = 5.0
 #: Words before and behind a match in which quotation marks and other matches count.
 WINDOW = 6
 #: Tokens whose matches a task remembers at most.
@@ -99,29 +101,31 @@ class Trie:
 
 
 class Matcher(dict):
-    """Matches by token, forgotten when there are too many."""
+    """Weight and edits of the match of each token, forgotten when there are too many. Terms are (term, whether it is a stem, weight)."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.trie = Trie(terms)
+    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
+        self.trie = Trie([t[:2] for t in terms])
+        self.weights = {t: w for t, _, w in terms}
 
     def __missing__(self, word: str):
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = self.trie.match(word) if len(word) < 64 else None
+        found = self.trie.match(word) if len(word) < 64 else None
+        self[word] = found = found and (self.weights[found[0]], found[1])
         return found
 
 
-def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int]:
-    """Context-window scores of exact and of misspelled matches, and how many matches are exact, misspelled, quoted.
+def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int, int]:
+    """Context-window scores of exact and of misspelled matches, and how many words there are and how many matches are exact, misspelled, quoted.
 
-    A match within quotation marks counts a quarter; other matches in the window, outside quotation,
-    add half a match each, up to one.
+    A match counts its term's weight, a quarter of it within quotation marks; other matches in the
+    window, outside quotation, add half of it each, up to all.
     """
     low = text.lower()
     words = WORDS.findall(low)
     hits = [(i, m) for i, m in enumerate(map(matcher.__getitem__, words)) if m]
     if not hits:
-        return 0.0, 0.0, 0, 0, 0
+        return 0.0, 0.0, len(words), 0, 0, 0
     quoted: set[int] = set()
     if any(c in QUOTES for c in low):
         spans = [m.span() for m in WORDS.finditer(low)]
@@ -134,97 +138,130 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int]:
     places = [i for i, _ in hits if i not in quoted]
     lows = np.searchsorted(places, [i - WINDOW for i, _ in hits])
     highs = np.searchsorted(places, [i + WINDOW for i, _ in hits], "right")
-    for (i, (_, edits)), a, b in zip(hits, lows.tolist(), highs.tolist(), strict=True):
-        weight = 0.25 if i in quoted else 1.0 + 0.5 * min(2, b - a - 1)
+    for (i, (own, edits)), a, b in zip(hits, lows.tolist(), highs.tolist(), strict=True):
+        weight = own * (0.25 if i in quoted else 1.0 + 0.5 * min(2, b - a - 1))
         if edits:
             fuzzy += weight / (1 + edits)
         else:
             exact += weight
     n_exact = sum(not m[1] for _, m in hits)
-    return exact, fuzzy, n_exact, len(hits) - n_exact, len(quoted)
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of a text the hash of its neighbours, once."""
-    for batch in batches:
-        words, contexts, toxic = [], [], []
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = ["", *WORDS.findall((text or "").lower()), ""]
-            seen = {(w, zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))) for a, w, b in zip(found, found[1:], found[2:], strict=False)}
-            words += [w for w, _ in seen]
-            contexts += [c for _, c in seen]
-            toxic += [label] * len(seen)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "context": pa.array(contexts, pa.int64()), "toxic": pa.array(toxic, pa.int32())})
+    return exact, fuzzy, len(words), n_exact, len(hits) - n_exact, len(quoted)
 
 
-def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
-    """Terms (and whether they are stems) that tell toxic texts of a bounded labelled sample.
+def _occurrences(terms: dict[str, bool] | None = None):
+    """One row for each text and each of its words: a hash of the neighbours of one of its occurrences, the smallest. With terms, those words and stems alone count."""
 
-    A word's support is the number of different neighbourhoods it has, so that copies of a text, which
-    repeat its words in the same places, don't make terms of them. Stems sum up the words they begin; a
-    stem grows while it keeps its support and becomes a word where one word has it.
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = max(map(len, terms), default=0) if terms else 0
+        for batch in batches:
+            words, contexts, toxic = [], [], []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                found = ["", *WORDS.findall((text or "").lower()), ""]
+                least: dict[str, int] = {}
+                for a, w, b in zip(found, found[1:], found[2:], strict=False):
+                    own = [w] if terms is None else [w[:k] for k in range(STEM, min(len(w), longest) + 1) if terms.get(w[:k]) or (k == len(w) and w in terms)]
+                    if own:
+                        context = zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))
+                        for term in own:
+                            least[term] = min(context, least.get(term, context))
+                words += least
+                contexts += least.values()
+                toxic += [label] * len(least)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "context": pa.array(contexts, pa.int64()), "toxic": pa.array(toxic, pa.int32())})
+
+    return occur
+
+
+def _supports(sample: DataFrame, terms: dict[str, bool] | None = None) -> DataFrame:
+    """(word, bad, good): in how many different neighbourhoods toxic and clean texts have a word."""
+    seen = sample.select("text", "toxic").mapInArrow(_occurrences(terms), "word string, context long, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
+    return seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+
+
+def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
+    """Terms (whether they are stems, and their weights by log odds) that tell toxic texts of a bounded labelled sample.
+
+    A word's support is the number of different neighbourhoods it has, one a text, so that neither
+    copies of a text nor a text that repeats a word make terms. Stems that may have enough support, by
+    the sums of the words they begin, are counted the same way; a stem grows while it keeps its support
+    and becomes a word where one word has it.
     """
     if not n_toxic or not n_clean:
         return []
-    seen = sample.select("text", "toxic").mapInArrow(_occurrences, "word string, context long, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
-    words = common.checkpoint(seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")))
+    words = common.checkpoint(_supports(sample))
     least = max(SUPPORT, SUPPORT_SHARE * n_toxic)
-    sure = (F.col("bad") >= least) & (F.col("bad") * n_clean >= PRECISION * (F.col("bad") * n_clean + F.col("good") * n_toxic))
-    whole = {r["word"]: r["bad"] for r in words.where(sure & (F.length("word") >= STEM)).orderBy(F.desc("bad"), "word").limit(TERMS).collect()}
+    share, both = n_toxic / (n_toxic + n_clean), F.col("bad") + F.col("good")
+    evidence = F.col("bad") * F.log(F.greatest("bad", F.lit(1)) / both / share) + F.col("good") * F.log(F.greatest("good", F.lit(1)) / both / (1 - share))
+    sure = (F.col("bad") >= least) & (evidence >= EVIDENCE) & (F.col("bad") * n_clean >= PRECISION * (F.col("bad") * n_clean + F.col("good") * n_toxic))
+    odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1) / ((F.col("good") + 0.5) / (n_clean + 1)))
+    weight = F.least(odds / FULL, F.lit(1.0)).alias("weight")
+    whole, weights = {}, {}
+    for r in words.where(sure & (F.length("word") >= STEM)).orderBy(F.desc("bad"), "word").limit(TERMS).select("*", weight).collect():
+        whole[r["word"]], weights[r["word"]] = r["bad"], r["weight"]
     longest = F.least(F.length("word"), F.lit(STEM_MOST))
     stems = words.where(F.length("word") >= STEM).select("bad", "good", F.explode(F.transform(F.sequence(F.lit(STEM), longest), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
-    stems = stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n"))
-    held = {r["stem"]: (r["bad"], r["n"]) for r in stems.where(sure).orderBy(F.desc("bad"), "stem").limit(STEM_MOST * TERMS).collect()}
+    stems = stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    likely = {r["stem"]: True for r in stems.where(sure).orderBy(F.desc("bad"), "stem").limit(STEM_MOST * TERMS).collect()}
+    held, stem_weights = {}, {}
+    for r in _supports(sample, likely).where(sure).select("*", weight).collect() if likely else []:
+        held[r["word"]], stem_weights[r["word"]] = r["bad"], r["weight"]
     terms: dict[str, bool] = dict.fromkeys(whole, False)
     longer: dict[str, list[str]] = {}
     for stem in held:
         longer.setdefault(stem[:-1], []).append(stem)
-    for stem, (bad, _) in held.items():
+    for stem, bad in held.items():
         if stem[:-1] in held:
             continue  # grown from a shorter one
         while True:
-            heir = max(longer.get(stem, []), key=lambda s: held[s][0], default=None)
-            if heir is None or held[heir][0] < REMAINS * bad:
+            heir = max(longer.get(stem, []), key=lambda s: held[s], default=None)
+            if heir is None or held[heir] < REMAINS * bad - 1:
                 break
             stem = heir
-        if max((n for w, n in whole.items() if w.startswith(stem)), default=0) < REMAINS * bad:
-            terms[stem] = True
-    return sorted(terms.items())[:TERMS]
+        if max((n for w, n in whole.items() if w.startswith(stem)), default=0) < REMAINS * bad - 1:
+            terms[stem], weights[stem] = True, stem_weights[stem]
+    for stem in [t for t, is_stem in terms.items() if is_stem]:
+        for word in [w for w in whole if w != stem and w.startswith(stem)]:
+            terms.pop(word, None)  # the stem has it
+    return [(t, is_stem, weights[t]) for t, is_stem in sorted(terms.items())][:TERMS]
+
+
+def _logs(exact: float, fuzzy: float, n_words: int) -> tuple[float, ...]:
+    return 1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(n_words)
 
 
-def _weights(rows: list[tuple[float, float, int]]) -> tuple[float, float, float]:
-    """Logistic regression on the two log scores, by Newton steps with a small ridge."""
-    x = np.array([(1.0, math.log1p(a), math.log1p(b)) for a, b, _ in rows])
-    y = np.array([r[2] for r in rows], float)
+def _weights(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
+    """Logistic regression on the logarithms of both scores and of the number of words, by Newton steps with a small ridge."""
+    x = np.array([_logs(*r[:3]) for r in rows])
+    y = np.array([r[3] for r in rows], float)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w = np.zeros(3)
-    ridge = np.diag([1e-3, 0.1, 0.1]) * math.sqrt(len(y))
+    w = np.zeros(4)
+    ridge = np.diag([1e-3, 0.1, 0.1, 0.1]) * math.sqrt(len(y))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (balance * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (balance * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(map(float, w))
 
 
 class Model:
     """A fitted lexicon and weights; small, so it goes to the tasks as it is."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: tuple[float, float, float]) -> None:
+    def __init__(self, terms: list[tuple[str, bool, float]], weights: tuple[float, ...]) -> None:
         self.terms, self.weights = terms, weights
 
-    def score(self, exact: float, fuzzy: float) -> float:
-        z = self.weights[0] + self.weights[1] * math.log1p(exact) + self.weights[2] * math.log1p(fuzzy)
+    def score(self, exact: float, fuzzy: float, n_words: int) -> float:
+        z = sum(a * b for a, b in zip(self.weights, _logs(exact, fuzzy, n_words), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _measured(terms: list[tuple[str, bool]]):
+def _measured(terms: list[tuple[str, bool, float]]):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in batches:
-            found = [features(t or "", matcher)[:2] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"exact": pa.array([f[0] for f in found], pa.float64()), "fuzzy": pa.array([f[1] for f in found], pa.float64()), "toxic": batch.column("toxic").cast(pa.int32())})
+            found = [features(t or "", matcher) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"exact": pa.array([f[0] for f in found], pa.float64()), "fuzzy": pa.array([f[1] for f in found], pa.float64()), "n_words": pa.array([f[2] for f in found], pa.int64()), "toxic": batch.column("toxic").cast(pa.int32())})
 
     return measure
 
@@ -248,10 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     counts = Counter({r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()})
     terms = lexicon(sample, counts[1], counts[0])
     if not terms:
-        return Model([], (-30.0, 0.0, 0.0))
-    # One row for each pair of scores and class; the scores are sums of quarters and thirds, so they are few.
-    measured = sample.select("text", "toxic").mapInArrow(_measured(terms), "exact double, fuzzy double, toxic int").collect()
-    return Model(terms, _weights([(r["exact"], r["fuzzy"], r["toxic"]) for r in measured]))
+        return Model([], (-30.0, 0.0, 0.0, 0.0))
+    # At most 2 * rows scores.
+    measured = sample.select("text", "toxic").mapInArrow(_measured(terms), "exact double, fuzzy double, n_words long, toxic int").collect()
+    return Model(terms, _weights([(r["exact"], r["fuzzy"], r["n_words"], r["toxic"]) for r in measured]))
 
 
 def _scorer(model: Model):
@@ -259,8 +296,8 @@ def _scorer(model: Model):
         matcher = Matcher(model.terms)
         for batch in batches:
             found = [features(t.as_py() or "", matcher) for t in batch.column("text")]
-            values = [model.score(f[0], f[1]) for f in found]
-            columns = [pa.array(values, pa.float64()), *[pa.array([f[k] for f in found], pa.int32()) for k in (2, 3, 4)]]
+            values = [model.score(*f[:3]) for f in found]
+            columns = [pa.array(values, pa.float64()), *[pa.array([f[k] for f in found], pa.int32()) for k in (3, 4, 5)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], *columns], [*[c for c in batch.schema.names if c != "text"], "score", "n_terms", "n_misspelled", "n_quoted"])
 
     return score
@@ -286,7 +323,7 @@ def _keeper(model: Model):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
         for batch in batches:
-            mask = [model.score(*features(t.as_py() or "", matcher)[:2]) < 0.5 for t in batch.column("text")]
+            mask = [model.score(*features(t.as_py() or "", matcher)[:3]) < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return keep

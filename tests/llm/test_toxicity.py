@@ -30,13 +30,13 @@ def test_automaton_equals_edit_distance():
 
 
 def test_stems_windows_and_quotation():
-    matcher = Matcher([("idiot", False), ("lowei", True)])
-    assert features("Du loweischaft!", matcher)[2:] == (1, 0, 0)
-    assert features("an idiott here", matcher)[2:] == (0, 1, 0)
+    matcher = Matcher([("idiot", False, 1.0), ("lowei", True, 0.5)])
+    assert features("Du loweischaft!", matcher)[2:] == (2, 1, 0, 0)
+    assert features("an idiott here", matcher)[2:] == (3, 0, 1, 0)
     plain, quoted = features("he is an idiot so", matcher), features('he wrote "an idiot" so', matcher)
-    assert quoted[4] == 1 and quoted[0] < plain[0]
+    assert quoted[5] == 1 and quoted[0] < plain[0]
     assert features("idiot idiot", matcher)[0] > 2 * plain[0]
-    assert features("", matcher) == (0.0, 0.0, 0, 0, 0)
+    assert features("", matcher) == (0.0, 0.0, 0, 0, 0, 0)
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -54,7 +54,7 @@ def test_held_out_accuracy_and_edges(spark):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     marks = spark.createDataFrame([(d, 1, t) for d, t in labels.items()] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, marks)
-    assert {"idiot", "worthless", "qvex"} <= {t for t, _ in model.terms}
+    assert {"idiot", "worthless", "qvex"} <= {t[0] for t in model.terms}
     got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
     assert len(got) == len(rows)
     assert all((got[d].score >= 0.5) == bool(t) for d, t in labels.items())
@@ -63,4 +63,4 @@ def test_held_out_accuracy_and_edges(spark):
     kept = {r.doc_id for r in toxicity.without_toxic(docs, model).collect()}
     assert kept == {d for d, t in labels.items() if not t} | {1000, 1001, None}
     assert toxicity.scored(docs.limit(0), model).count() == 0
-    assert toxicity.fit(docs, marks.limit(0)).score(5.0, 5.0) < 0.5
+    assert toxicity.fit(docs, marks.limit(0)).score(5.0, 5.0, 9) < 0.5
