@@ -10,9 +10,9 @@ import numpy as np
 from gatehouse.llm import common
 
 #: Bits of the table's slots; at half as many chunks, or CODES codes, it starts afresh.
-SLOTS, CODES = 20, 1 << 22
-#: Bytes of the documents that are encoded together.
-TOGETHER = 1 << 21
+SLOTS, CODES = 21, 1 << 23
+#: Bytes of the documents that are encoded together, and texts of the library's calls.
+TOGETHER, FEW = 1 << 20, 8
 
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -161,9 +161,12 @@ class ByteLevel:
     """A byte-level vocabulary of the tokenizers library, used on chunks; every id stands for a fixed number of bytes."""
 
     def __init__(self, vocabulary: str) -> None:
+        import os
+
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; more threads only hold more memory
         self.own = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         size = self.own.get_vocab_size()
         self.bytes = np.array([len(self.own.id_to_token(i)) for i in range(size)], np.int64)
@@ -190,7 +193,8 @@ class ByteLevel:
         return sizes, both[ragged(begins, sizes)]
 
     def _batch(self, texts: list[str]) -> np.ndarray:
-        found = [np.array(e.ids, np.int32) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        """A few texts at a time, as what the library returns takes many times their size."""
+        found = [np.array(e.ids, np.int32) for k in range(0, len(texts), FEW) for e in self.own.encode_batch_fast(texts[k : k + FEW], add_special_tokens=False)]
         return np.concatenate(found) if found else np.zeros(0, np.int32)
 
     def table(self) -> ChunkTable:
