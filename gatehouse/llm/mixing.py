@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     inside = joined.where(F.col("_slice") == at).withColumn("_upto", F.col("_end._before") + F.sum("size").over(edge))
     inside = inside.withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_part")).cast("int")).drop("_upto")
     both = outside.unionByName(inside)
-    return both.withColumn("times", F.col("_whole") + F.col("_more")).select(*kept, "size", "source_size", "target", "times")
+    return both.withColumn("times", F.col("_whole") + F.when(F.col("size") > 0, F.col("_more")).otherwise(0)).select(*kept, "size", "source_size", "target", "times")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
