@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatehouse.llm import common
@@ -15,6 +16,8 @@ from gatehouse.llm import common
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: A shingle that so many documents hold, by its counter, is frequent: only combinations of two are indexed.
 FREQUENT = 4096
+#: Bits of the parity sketch of a shingle set, 64 a word.
+PARITY = 512
 #: Sizes within such a factor have one leader in a bucket.
 BAND = 1.05
 
@@ -71,8 +74,8 @@ def frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarr
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys, prefix and the last prefix token's frequency for a document's shingles in global order (rare first).
+def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: int) -> np.ndarray:
+    """Index keys for a document's shingles in global order (rare first).
 
     Two documents that link share at least one token among the first P = n - ceil(t n) + 1 of each,
     and at least s among the first P + s - 1. Where the first P tokens are all rare, each is a key.
@@ -85,7 +88,7 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: i
     first = n - _need(percent, n, 100) + 1
     prefix = tokens[:first]
     if often[first - 1] < frequent:
-        return prefix, prefix, int(often[first - 1])
+        return prefix
     least = _need(percent, n, 100)
     keys = [tokens[:first][often[:first] < frequent]]
     for classes in {_classes(first), _classes(least - _need(percent, least, 100) + 1)}:
@@ -96,7 +99,13 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: i
             some = np.sort(hot[own == k])
             a, b = np.triu_indices(len(some), 1)
             keys.append(common.mix(some[a] * np.uint64(3) + common.mix(some[b] + np.uint64(classes))))
-    return np.unique(np.concatenate(keys)), prefix, int(often[first - 1])
+    return np.unique(np.concatenate(keys))
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """PARITY bits, each set if an odd number of tokens fall on it: two sets differ in at least as many tokens as their sketches in bits."""
+    bits = np.bincount((common.mix(tokens + np.uint64(1)) >> np.uint64(65 - PARITY.bit_length())).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _classes(first: int) -> int:
@@ -109,20 +118,20 @@ def _indexer(size: int, percent: int, frequent: int, counts):
         shift = np.uint64(65 - len(table).bit_length())
         for batch in batches:
             raw, start, end = common.texts_of(batch.column("text"))
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(5)]
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 tokens = common.shingles(raw[a:b], size)
                 n = len(tokens)
                 ones = tokens.sum(dtype=np.uint64), (common.mix(tokens) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-                keys, prefix, last = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+                keys = np.zeros(0, np.uint64)
                 if n:
                     often = table[(tokens >> shift).astype(np.int64)]
                     order = np.lexsort((tokens.view(np.int64), often))
-                    keys, prefix, last = prefix_keys(tokens[order], often[order], percent, frequent)
-                for column, x in zip(rows, (n, np.array(ones[0]).view(np.int64).item(), np.array(ones[1]).view(np.int64).item(), keys.view(np.int64), prefix.view(np.int64), last), strict=True):
+                    keys = prefix_keys(tokens[order], often[order], percent, frequent)
+                for column, x in zip(rows, (n, np.array(ones[0]).view(np.int64).item(), np.array(ones[1]).view(np.int64).item(), keys.view(np.int64), parity(tokens)), strict=True):
                     column.append(x)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in rows[3:5]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in rows[:3]], *lists, pa.array(rows[5], pa.int64())], ["doc_id", "n", "d1", "d2", "keys", "prefix", "last"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in rows[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in rows[:3]], *lists], ["doc_id", "n", "d1", "d2", "keys", "sketch"])
 
     return index
 
@@ -163,9 +172,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
        buckets), the one it meets most often; leaders of neighbouring bands are compared as well.
        Links are contracted to components, so a large group of near copies costs a pair a member.
     4. In buckets that still hold several components, pairs of different components are compared,
-       each once (at the first key the two share), if sizes and the number of shared prefix tokens
-       leave a link possible. No pair that could join two components is left out, so components
-       are exact.
+       each once, if their sizes and parity sketches leave a link possible: 512 bits a document, in
+       which two sets differ at most as often as in their shingles. No pair that could join two
+       components is left out, so components are exact.
 
     Texts without words have no shingles and link with nothing, their component is their own id.
     Rows of one doc_id count as one document that has each text; each row comes back, all with one
@@ -175,11 +184,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = spark.sparkContext.broadcast(frequencies(plain, size, bits))
-    indexed = common.written(plain.mapInArrow(_indexer(size, percent, frequent, counts), "doc_id long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, last long"), "ngram-index")
+    index = plain.mapInArrow(_indexer(size, percent, frequent, counts), "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
+    indexed = common.written(index.withColumn("row", F.monotonically_increasing_id()), "ngram-index")
     named = indexed.where("doc_id is not null and n > 0")
-    classes = named.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys", "prefix", "last")).alias("x"))
-    reps = common.written(classes.select(F.col("x.doc_id").alias("rep"), "n", "d1", "d2", "x.keys", "x.prefix", "x.last"), "ngram-classes")
-    members = named.join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = common.checkpoint(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    first = named.join(classes, ["n", "d1", "d2"]).where("doc_id = rep").groupBy("rep", "n", "d1", "d2").agg(F.min("row").alias("row"))
+    only = common.checkpoint(first.select("row"))
+    reps = indexed.join(F.broadcast(only) if only.count() <= common.BROADCAST_IDS else only, "row", "left_semi").withColumnRenamed("doc_id", "rep")
+    members = named.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
     posted = reps.select("rep", "n", band.alias("band"), F.explode("keys").alias("key"))
@@ -200,13 +212,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     so_far = common.components(near)
     grouped = posts.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = grouped.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = common.checkpoint(grouped.join(mixed, "key").join(reps.select("rep", "n", "keys", "prefix", "last"), "rep"))
+    left = common.checkpoint(grouped.join(mixed, "key").join(reps.select("rep", "n", "sketch"), "rep"))
     x, y = left.alias("x"), left.alias("y")
-    both = F.array_intersect("x.prefix", "y.prefix")
-    beyond = F.when(F.struct("x.last", F.element_at("x.prefix", -1)) <= F.struct("y.last", F.element_at("y.prefix", -1)), F.col("x.n") - F.size("x.prefix")).otherwise(F.col("y.n") - F.size("y.prefix"))
-    once = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & ((F.size(both) + beyond) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & once)
-    rest = common.checkpoint(_verified(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), texts, size, percent))
+    apart = reduce(Column.__add__, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(PARITY // 64)])
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
+    met = common.checkpoint(met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("shared")))
+    rest = common.checkpoint(_verified(met.select("a", "b"), texts, size, percent))
 
     links = members.unionByName(near).unionByName(rest)
     found = common.components(links).select(F.col("id").alias("doc_id"), "component")
