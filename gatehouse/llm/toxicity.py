@@ -40,9 +40,10 @@ def edits_for(length: int) -> int:
 
 
 class Trie:
-    """Lexicon terms as a trie; a term is a word or, with a stem flag, the beginning of one."""
+    """Lexicon terms as a trie; a term is a word or, with a stem flag, the beginning of one. With any_first a word's first letter may be wrong too."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], any_first: bool = False) -> None:
+        self.any_first, self.longest = any_first, max((len(t[0]) for t in terms), default=0)
         self.next: list[dict[str, int]] = [{}]
         self.end: list[tuple[str, bool] | None] = [None]
         for term, stem in terms:
@@ -68,23 +69,26 @@ class Trie:
         return found or self._fuzzy(word)
 
     def _fuzzy(self, word: str) -> tuple[str, int] | None:
-        """States of the automaton are bit sets of reached places in the word, one for each number of edits so far; the first letter must be right."""
+        """States of the automaton are bit sets of reached places in the word, one for each number of edits so far.
+
+        A word is matched at its end, a stem at any place. Places that no term reaches aren't held.
+        """
         n, most = len(word), edits_for(len(word) + 1)
-        first = self.next[0].get(word[0]) if word else None
+        first = 0 if self.any_first else self.next[0].get(word[0]) if word else None
         if not most or first is None or n < 4:
             return None
         masks: dict[str, int] = {}
-        for i, c in enumerate(word):
+        for i, c in enumerate(word[: self.longest + most]):
             masks[c] = masks.get(c, 0) | 1 << i
-        full, best = (1 << (n + 1)) - 1, None
-        start = [((1 << (e + 1)) - 1) << 1 & full for e in range(most + 1)]
+        full, best = (1 << (min(n, self.longest + most) + 1)) - 1, None
+        start = [((1 << (e + 1)) - 1) << (first != 0) & full for e in range(most + 1)]
         stack = [(first, start)]
         while stack:
             at, states = stack.pop()
             term = self.end[at]
-            if term and not term[1]:
+            if term:
                 for e in range(1, min(most, edits_for(len(term[0]))) + 1):
-                    if states[e] >> n & 1:
+                    if states[e] if term[1] else states[e] >> n & 1:
                         if best is None or (e, term[0]) < (best[1], best[0]):
                             best = term[0], e
                         break
@@ -101,17 +105,19 @@ class Trie:
 
 
 class Matcher(dict):
-    """Weight and edits of the match of each token, forgotten when there are too many. Terms are (term, whether it is a stem, weight)."""
+    """Weight and edits of the match of each token, forgotten when there are too many. Terms are (term, whether it is a stem, weight, and where it is another one, the weight of its misspellings)."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
-        self.trie = Trie([t[:2] for t in terms])
-        self.weights = {t: w for t, _, w in terms}
+    def __init__(self, terms: list[tuple]) -> None:
+        self.trie = Trie([t[:2] for t in terms], any_first=True)
+        self.weights = {t: (w, *near, w)[:2] for t, _, w, *near in terms}
 
     def __missing__(self, word: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.trie.match(word) if len(word) < 64 else None
-        self[word] = found = found and (self.weights[found[0]], found[1])
+        found = self.trie.match(word)
+        found = found and (self.weights[found[0]][found[1] > 0], found[1])
+        if len(word) < 64:  # longer ones hardly come again
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -135,7 +141,7 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int,
             if any(c in QUOTES for c in before) and any(c in QUOTES for c in behind):
                 quoted.add(i)
     exact = fuzzy = 0.0
-    places = [i for i, _ in hits if i not in quoted]
+    places = [i for i, m in hits if i not in quoted and m[0] > 0]
     lows = np.searchsorted(places, [i - WINDOW for i, _ in hits])
     highs = np.searchsorted(places, [i + WINDOW for i, _ in hits], "right")
     for (i, (own, edits)), a, b in zip(hits, lows.tolist(), highs.tolist(), strict=True):
@@ -219,10 +225,9 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bo
             stem = heir
         if max((n for w, n in whole.items() if w.startswith(stem)), default=0) < REMAINS * bad - 1:
             terms[stem], weights[stem] = True, stem_weights[stem]
-    for stem in [t for t, is_stem in terms.items() if is_stem]:
-        for word in [w for w in whole if w != stem and w.startswith(stem)]:
-            terms.pop(word, None)  # the stem has it
-    return [(t, is_stem, weights[t]) for t, is_stem in sorted(terms.items())][:TERMS]
+    # Words that a stem begins stay for their own misspellings, behind the others where there are too many.
+    begun = {w for w in whole if not terms[w] and any(terms.get(w[:k]) for k in range(STEM, len(w)))}
+    return [(t, is_stem, weights[t]) for t, is_stem in sorted(terms.items(), key=lambda x: (x[0] in begun, x))][:TERMS]
 
 
 def _logs(exact: float, fuzzy: float, n_words: int) -> tuple[float, ...]:
@@ -242,13 +247,43 @@ def _weights(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    if w[2] < 0:  # misspellings never speak for a text
+        return _weights([(r[0], 0.0, *r[2:]) for r in rows])
     return tuple(map(float, w))
 
 
+def _misspelled(terms: list[tuple]):
+    """One row for each text and term of which it has a misspelling."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Matcher(terms).trie
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            found, toxic = [], []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                words = set(WORDS.findall((text or "").lower()))
+                for word in words - known.keys():
+                    match = trie.match(word)
+                    known[word] = match[0] if match and match[1] else None
+                own = {known[w] for w in words} - {None}
+                found += own
+                toxic += [label] * len(own)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "toxic": pa.array(toxic, pa.int32())})
+
+    return find
+
+
+def _with_misspellings(sample: DataFrame, terms: list[tuple[str, bool, float]], n_toxic: int, n_clean: int) -> list[tuple]:
+    """terms with the weights of their misspellings, by the log odds of the sample's texts that have any; none below 0, so that ordinary words near a term don't speak for a text."""
+    seen = sample.select("text", "toxic").mapInArrow(_misspelled(terms), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    near = {r["term"]: math.log((r["bad"] + 0.5) / (n_toxic + 1) / ((r["n"] - r["bad"] + 0.5) / (n_clean + 1))) / FULL for r in seen.collect()}
+    return [(t, stem, w, max(0.0, min(1.0, near[t]))) if t in near else (t, stem, w) for t, stem, w in terms]
+
+
 class Model:
     """A fitted lexicon and weights; small, so it goes to the tasks as it is."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], weights: tuple[float, ...]) -> None:
+    def __init__(self, terms: list[tuple], weights: tuple[float, ...]) -> None:
         self.terms, self.weights = terms, weights
 
     def score(self, exact: float, fuzzy: float, n_words: int) -> float:
@@ -256,7 +291,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _measured(terms: list[tuple[str, bool, float]]):
+def _measured(terms: list[tuple]):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in batches:
@@ -286,6 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     terms = lexicon(sample, counts[1], counts[0])
     if not terms:
         return Model([], (-30.0, 0.0, 0.0, 0.0))
+    terms = _with_misspellings(sample, terms, counts[1], counts[0])
     # At most 2 * rows scores.
     measured = sample.select("text", "toxic").mapInArrow(_measured(terms), "exact double, fuzzy double, n_words long, toxic int").collect()
     return Model(terms, _weights([(r["exact"], r["fuzzy"], r["n_words"], r["toxic"]) for r in measured]))

@@ -29,6 +29,35 @@ def test_automaton_equals_edit_distance():
         assert trie.match(word) == (best and (best[1], best[0])), word
 
 
+def test_stems_and_first_letters_equal_prefix_edit_distance():
+    rng = random.Random(4)
+    terms = [("moron", False), ("worthles", True), ("worthlessness", False), ("idiot", True), ("tra", True), ("achlich", True), ("réeux", True), ("scum", False)]
+    trie, weights = Trie(terms, any_first=True), {t: k + 1.0 for k, (t, _) in enumerate(terms)}
+    matcher = Matcher([(t, stem, weights[t]) for t, stem in terms])
+    for _ in range(6000):
+        word = list(rng.choice(terms)[0])
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(word) + 1)
+            word[k : k + rng.randrange(2)] = rng.choice(["", "a", "o", "st"])
+        word = "".join(word) + rng.choice(["", "", "en", "haft" * 3, "x" * 70])
+        exact = [t for t, stem in terms if word == t or (stem and word.startswith(t))]
+        near = []
+        for t, stem in terms:
+            away = min(distance(word[:p], t) for p in range(min(len(word), len(t) + 3) + 1)) if stem else distance(word, t)
+            if len(word) >= 4 and away <= min(edits_for(len(t)), edits_for(len(word) + 1)):
+                near.append((away, t))
+        wanted = (max(exact, key=len), 0) if exact else min(near)[::-1] if near else None
+        assert trie.match(word) == wanted, word
+        assert matcher[word] == (wanted and (weights[wanted[0]], wanted[1])), word
+
+
+def test_misspellings_never_speak_for_a_text():
+    assert toxicity._weights([(1.0, 0.0, 20, 1)] * 9 + [(0.0, 1.0, 20, 0)] * 9 + [(0.0, 0.0, 20, 0)] * 9)[2] >= 0
+    near = Matcher([("idiot", False, 1.0, 0.0)])
+    assert features("an idiott here", near)[1:5] == (0.0, 3, 0, 1)
+    assert features("an idiott idiot", near)[0] == features("an other idiot", near)[0]
+
+
 def test_stems_windows_and_quotation():
     matcher = Matcher([("idiot", False, 1.0), ("lowei", True, 0.5)])
     assert features("Du loweischaft!", matcher)[2:] == (2, 1, 0, 0)
