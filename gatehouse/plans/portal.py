@@ -69,6 +69,12 @@ def grants_orphaned(spark, sf):
     return access.orphaned(T.grants(spark, sf), known)
 
 
+@query(sql("""SELECT g.resource_id, g.principal_type, g.principal_id FROM grants g LEFT JOIN users u ON g.principal_type = 'user' AND u.id = g.principal_id
+  LEFT JOIN departments d ON g.principal_type = 'dept' AND d.id = g.principal_id LEFT JOIN roles r ON g.principal_type = 'role' AND r.id = g.principal_id WHERE u.id IS NULL AND d.id IS NULL AND r.id IS NULL"""))
+def grants_orphaned_all(spark, sf):
+    return access.orphaned(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark)))
+
+
 @query(sql("SELECT resource_id, principal_type, principal_id FROM grants WHERE NOT (principal_type = 'dept' AND principal_id = 103) UNION ALL SELECT id, 'dept', 103 FROM resources WHERE id < 20"))
 def grants_replaced(spark, sf):
     resources = T.resources(spark, sf)
@@ -141,6 +147,11 @@ def dept_delete_guard(spark, sf):
     return directory.delete_guard(T.departments(spark, sf), T.users(spark, sf).where("id % 50 = 0"))
 
 
+@query(sql("SELECT id, CASE WHEN id IN (SELECT parent_id FROM departments WHERE parent_id IS NOT NULL) THEN 'has_children' WHEN id IN (SELECT dept_id FROM users WHERE dept_id IS NOT NULL) THEN 'has_users' ELSE 'ok' END AS outcome FROM departments"))
+def dept_delete_guard_all(spark, sf):
+    return directory.delete_guard(T.departments(spark, sf), T.users(spark, sf))
+
+
 @query(sql("SELECT id, user_id, app_id, last_seq FROM talks WHERE NOT deleted ORDER BY last_seq DESC, id DESC LIMIT 20"))
 def conversation_list(spark, sf):
     live = T.conversations(spark, sf).where(~F.col("deleted"))
@@ -192,6 +203,13 @@ def audit_page(spark, sf):
     return own.join(known, "user_id", "left").select("id", "user_name", "action", "detail")
 
 
+@query(sql("SELECT a.id, u.name AS user_name, a.action, a.detail FROM audit a LEFT JOIN users u ON u.id = a.user_id ORDER BY a.id DESC LIMIT 50 OFFSET 50"))
+def audit_page_all(spark, sf):
+    known = T.users(spark, sf).select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    own = directory.page(T.audit(spark, sf).select("id", "user_id", "action", "detail"), [F.desc("id")], number=2, size=50)
+    return own.join(known, "user_id", "left").select("id", "user_name", "action", "detail")
+
+
 @query(sql("SELECT action, count(*) AS n, count(DISTINCT user_id) AS n_users FROM audit GROUP BY action"))
 def audit_action_counts(spark, sf):
     return T.audit(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))

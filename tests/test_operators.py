@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
 from gatehouse.operators import access, directory, tokens, turns
+from gatehouse.plans.registry import QUERIES
+from gatehouse.sources import tables as T
 
 GRANT = "resource_id long, principal_type string, principal_id long"
 
@@ -105,3 +107,23 @@ def test_token_states(spark):
     rows = [(1, 1, None, 9), (2, 1, 1, 9), (3, 1, None, 2), (4, 2, None, 9), (5, 7, None, 9)]
     states = tokens.states(spark.createDataFrame(rows, "id long, user_id long, revoked_at long, expires_at long"), users, F.lit(5))
     assert {r.id: r.state for r in states.collect()} == {1: "valid", 2: "revoked", 3: "expired", 4: "inactive_user", 5: "inactive_user"}
+
+
+def test_missing_principals_and_guards(spark):
+    users = spark.createDataFrame([(7, "u7", 3), (9, "u9", None)], "id long, name string, dept_id long")
+    departments = spark.createDataFrame([(1, "A", None), (2, "B", 1), (3, "C", None), (4, "D", None)], "id long, name string, parent_id long")
+    roles = spark.createDataFrame([(4, "ADMIN")], "id long, code string")
+    held = [(1, "user", 7), (1, "user", 8), (2, "dept", 3), (2, "dept", 7), (3, "role", 4), (3, "role", 9)]
+    gone = access.orphaned(spark.createDataFrame(held, GRANT), access.names(users, departments, roles))
+    assert sorted((r.resource_id, r.principal_type, r.principal_id) for r in gone.collect()) == [(1, "user", 8), (2, "dept", 7), (3, "role", 9)]
+    assert {r.id: r.outcome for r in directory.delete_guard(departments, users).collect()} == {1: "has_children", 2: "ok", 3: "has_users", 4: "ok"}
+
+
+def test_queries_over_all_users(spark):
+    sf = "/root/testdata/sf0.001"
+    users = T.users(spark, sf)
+    ids, depts = {r.id for r in users.select("id").collect()}, {r.dept_id for r in users.select("dept_id").collect()}
+    assert not [r for r in QUERIES["grants_orphaned_all"](spark, sf).where("principal_type = 'user'").collect() if r.principal_id in ids]
+    assert not [r for r in QUERIES["dept_delete_guard_all"](spark, sf).where("outcome = 'ok'").collect() if r.id in depts]
+    page = QUERIES["audit_page_all"](spark, sf).join(T.audit(spark, sf).select("id", "user_id"), "id").collect()
+    assert page and all((r.user_name is not None) == (r.user_id in ids) for r in page)
