@@ -330,11 +330,21 @@ def filename_sanitize(spark, sf):
     return T.table(spark, sf, "pages").where(plain).select("page_id", scalars.safe_filename(F.col("url")).alias("name"))
 
 
+@query(r"""SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_extract(replace(url, '\', '/'), '[^/]*$'), '[^A-Za-z0-9._\x{4e00}-\x{9fff}-]', '_', 'g'), '^\.+', ''), 120), ''), 'file') AS name FROM pages""")
+def filename_sanitize_all(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", scalars.safe_filename(F.col("url")).alias("name"))
+
+
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) END AS label FROM documents WHERE n_chars > 0 AND n_chars < 1048576")
 def size_label(spark, sf):
     return T.table(spark, sf, "documents").where("n_chars > 0 and n_chars < 1048576").select("doc_id", scalars.size_label(F.col("n_chars")).alias("label"))
 
 
+@query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) <= 0 THEN '0 B' WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 10 / 1048576.0 + 0.5) / 10) END AS label FROM documents")
+def size_label_all(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", scalars.size_label(F.col("n_chars")).alias("label"))
+
+
 @query(f"SELECT event_id, CASE WHEN date_diff('day', ts, TIMESTAMP '{CLOCK}') = 0 THEN strftime(ts, '%H:%M') WHEN date_diff('day', ts, TIMESTAMP '{CLOCK}') < 7 THEN date_diff('day', ts, TIMESTAMP '{CLOCK}') || ' 天前' ELSE strftime(ts, '%m-%d') END AS label FROM events")
 def relative_times(spark, sf):
     return T.table(spark, sf, "events").select("event_id", scalars.relative_time(F.col("ts"), F.expr(f"timestamp_ntz'{CLOCK}'")).alias("label"))

@@ -80,6 +80,17 @@ def error_redact(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", scalars.redacted(text).alias("reason"))
 
 
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STRIP = f"'^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'"
+
+
+@query(rf"""SELECT doc_id, coalesce(nullif(left(CASE WHEN joined = '' THEN x ELSE joined END, 200), ''), 'workflow failed') AS reason FROM (
+  SELECT doc_id, x, array_to_string(list_filter(list_transform(list_filter(string_split_regex(x, '\r\n|\r|\n'), lambda s: length(s) <= 120), lambda s: regexp_replace(s, {_STRIP})), lambda s: s <> ''), ' ') AS joined FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(text, 'https?://[^{_SPACE}]+', '[url]', 'g'), {_STRIP}) AS x FROM documents))""")
+def error_redact_texts(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", scalars.redacted(F.col("text")).alias("reason"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY day, event_type")
 def stream_tumbling_counts(spark, sf):
     return stateful.tumbling(spark, sf)

@@ -1,11 +1,12 @@
 """Operators on the small cases that define them."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
 from gatehouse.operators import access, directory, tokens, turns
-from gatehouse.plans.registry import QUERIES
+from gatehouse.plans.registry import ORACLE_SQL, QUERIES
 from gatehouse.sources import tables as T
 
 GRANT = "resource_id long, principal_type string, principal_id long"
@@ -127,3 +128,22 @@ def test_queries_over_all_users(spark):
     assert not [r for r in QUERIES["dept_delete_guard_all"](spark, sf).where("outcome = 'ok'").collect() if r.id in depts]
     page = QUERIES["audit_page_all"](spark, sf).join(T.audit(spark, sf).select("id", "user_id"), "id").collect()
     assert page and all((r.user_name is not None) == (r.user_id in ids) for r in page)
+
+
+def test_names_labels_and_reasons_of_all_rows(spark, tmp_path):
+    long = "a" * 130
+    pages = [(1, "http://a/b c?q=1#x"), (2, "http://a/..hidden"), (3, f"http://a/{long}"), (4, "http://a/"), (5, "http://a/报告.pdf"), (6, None), (7, "a/b\\c.txt")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = [(1, None, None), (2, "", 0), (3, "see https://a/b?c now\r\n\u3000x \n\n" + "y" * 121, 1536), (4, "z" * 300, 3 << 20), (5, " \u2003 ", 1048576), (6, "ab\rc", 1023)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {
+        "filename_sanitize_all": {1: "b_c_q_1_x", 2: "hidden", 3: "a" * 120, 4: "file", 5: "报告.pdf", 6: "file", 7: "c.txt"},
+        "size_label_all": {1: "0 B", 2: "0 B", 3: "1.5 KB", 4: "3.0 MB", 5: "1.0 MB", 6: "1023 B"},
+        "error_redact_texts": {1: "workflow failed", 2: "workflow failed", 3: "see [url] now x", 4: "z" * 200, 5: "workflow failed", 6: "ab c"},
+    }
+    db = duckdb.connect()
+    for name in ("pages", "documents"):
+        db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, rows in wanted.items():
+        assert dict(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == rows, name
+        assert dict(db.sql(ORACLE_SQL[name]).fetchall()) == rows, name
