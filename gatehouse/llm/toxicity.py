@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,9 @@ WINDOW = 6
 REMEMBERED = 400_000
 
 WORDS = re.compile(r"[^\W_]+")
-QUOTES = frozenset("\"“”„«»‹›‘’")
+#: The marks that close each opening mark; a mark may open in one language and close in another.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}
+MARKS = re.compile("[%s]" % "".join(sorted(set("".join(QUOTES) + "".join(QUOTES.values())))))
 
 
 def edits_for(length: int) -> int:
@@ -46,15 +49,29 @@ class Trie:
         self.any_first, self.longest = any_first, max((len(t[0]) for t in terms), default=0)
         self.next: list[dict[str, int]] = [{}]
         self.end: list[tuple[str, bool] | None] = [None]
-        for term, stem in terms:
-            at = 0
+        #: Bit sets of terms: those below each node, those that a part at a place leaves possible, those that a word's length does.
+        self.below, parts = [0], {}
+        self.of_length = [0] * (self.longest + edits_for(self.longest) + 2)
+        for i, (term, stem) in enumerate(terms):
+            at, most, own = 0, edits_for(len(term)), 1 << i
+            # Of a term in most + 1 parts one is left whole by so many edits, moved by as many places at most.
+            for k in range(most + 1):
+                a, b = k * len(term) // (most + 1), (k + 1) * len(term) // (most + 1)
+                for place in range(max(0, a - most), a + most + 1):
+                    held = parts.setdefault((place, place + b - a), {})
+                    held[term[a:b]] = held.get(term[a:b], 0) | own
+            for n in range(len(term) - most, len(self.of_length) if stem else len(term) + most + 1):
+                self.of_length[n] |= own
             for c in term:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.end.append(None)
+                    self.below.append(0)
                 at = self.next[at][c]
+                self.below[at] |= own
             self.end[at] = (term, stem or bool(self.end[at] and self.end[at][1]))
+        self.parts = [(a, b, held) for (a, b), held in sorted(parts.items())]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term nearest to a word and its edits: an exact word or stem, else the word's Levenshtein automaton run along the trie."""
@@ -71,12 +88,19 @@ class Trie:
     def _fuzzy(self, word: str) -> tuple[str, int] | None:
         """States of the automaton are bit sets of reached places in the word, one for each number of edits so far.
 
-        A word is matched at its end, a stem at any place. Places that no term reaches aren't held.
+        A word is matched at its end, a stem at any place. Places that no term reaches aren't held, nor
+        are branches entered whose terms differ from the word in every part or in too much length.
         """
         n, most = len(word), edits_for(len(word) + 1)
         first = 0 if self.any_first else self.next[0].get(word[0]) if word else None
         if not most or first is None or n < 4:
             return None
+        possible = 0
+        for a, b, held in self.parts:
+            possible |= held.get(word[a:b], 0)
+        possible &= self.of_length[min(n, len(self.of_length) - 1)]
+        if not possible:
+            return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word[: self.longest + most]):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -93,6 +117,8 @@ class Trie:
                             best = term[0], e
                         break
             for c, to in self.next[at].items():
+                if not self.below[to] & possible:
+                    continue
                 mask = masks.get(c, 0)
                 moved = [(states[0] & mask) << 1]
                 for e in range(1, most + 1):
@@ -121,6 +147,37 @@ class Matcher(dict):
         return found
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end: an opening mark and the next mark that closes it. A mark between two letters or digits is an apostrophe; a straight one opens only before a letter or digit, behind a space or at the beginning of the text."""
+    found, opened = [], None
+    for m in MARKS.finditer(text):
+        mark, at = m.group(), m.start()
+        before, behind = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        if before.isalnum() and behind.isalnum():
+            continue
+        opens = mark in QUOTES and (mark != '"' or (not before.strip() and behind.isalnum()))
+        if opened is not None and mark in QUOTES[text[opened]] and (mark != '"' or not opens):
+            found.append((opened, at))
+            opened = None
+        elif opens:
+            opened = at
+    return found
+
+
+def _quoted(text: str, hits: list[int]) -> set[int]:
+    """Those of the numbered words that stand in a quotation, at most WINDOW words behind its first word and before its last."""
+    around = quotations(text)
+    if not around:
+        return set()
+    starts, begins = [m.start() for m in WORDS.finditer(text)], [a for a, _ in around]
+    out = set()
+    for i in hits:
+        a, b = around[max(0, bisect_right(begins, starts[i]) - 1)]
+        if a < starts[i] < b and i - bisect_right(starts, a) <= WINDOW and bisect_right(starts, b) - 1 - i <= WINDOW:
+            out.add(i)
+    return out
+
+
 def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int, int]:
     """Context-window scores of exact and of misspelled matches, and how many words there are and how many matches are exact, misspelled, quoted.
 
@@ -132,14 +189,7 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int,
     hits = [(i, m) for i, m in enumerate(map(matcher.__getitem__, words)) if m]
     if not hits:
         return 0.0, 0.0, len(words), 0, 0, 0
-    quoted: set[int] = set()
-    if any(c in QUOTES for c in low):
-        spans = [m.span() for m in WORDS.finditer(low)]
-        for i, _ in hits:
-            before = low[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-            behind = low[spans[i][1] : spans[min(len(spans) - 1, i + WINDOW)][1]]
-            if any(c in QUOTES for c in before) and any(c in QUOTES for c in behind):
-                quoted.add(i)
+    quoted = _quoted(low, [i for i, _ in hits])
     exact = fuzzy = 0.0
     places = [i for i, m in hits if i not in quoted and m[0] > 0]
     lows = np.searchsorted(places, [i - WINDOW for i, _ in hits])

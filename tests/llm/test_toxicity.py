@@ -66,6 +66,10 @@ def test_stems_windows_and_quotation():
     assert quoted[5] == 1 and quoted[0] < plain[0]
     assert features("idiot idiot", matcher)[0] > 2 * plain[0]
     assert features("", matcher) == (0.0, 0.0, 0, 0, 0, 0)
+    # An apostrophe is no quotation mark, nor is a place between two quotations quoted.
+    assert features("you’re an idiot, don’t", matcher)[:2] == features("youre an idiot, don", matcher)[:2]
+    assert features('"yes" idiot "no"', matcher)[5] == features("“yes” idiot “no”", matcher)[5] == 0
+    assert [features(t, matcher)[5] for t in ("er sagte „du idiot“", "«idiot»", "»idiot«", "‘idiot’", "“an idiot’s idiot”", '"idiot')] == [1, 1, 1, 1, 2, 0]
 
 
 def test_held_out_accuracy_and_edges(spark):
