@@ -39,12 +39,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+def placed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and its path there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    return placed(df, name)[0]
+
+
+def cleared(spark: SparkSession, *paths: str) -> None:
+    """The space of tables that nothing reads any more (placed) is given back: an empty one takes the place of each."""
+    for path in paths:
+        spark.range(0, numPartitions=1).write.mode("overwrite").parquet(path)
 
 
 #: Rows of ids, of 8 bytes each, up to which a checked side is broadcast.

@@ -14,8 +14,8 @@ from gatehouse.llm import common
 
 #: Counters of the shingle frequencies (a power of two of them) and how many travel in a row.
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
-#: A shingle that so many documents hold, by its counter, is frequent: only combinations of two are indexed.
-FREQUENT = 4096
+#: Share of the used counters below which a shingle is rare; of the others, the frequent ones, only combinations of two are indexed.
+RARE = 0.999
 #: Bits of the parity sketch of a shingle set, 64 a word.
 PARITY = 512
 #: Sizes within such a factor have one leader in a bucket.
@@ -74,6 +74,12 @@ def frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarr
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
+def frequent_from(counts: np.ndarray, rare: float = RARE) -> int:
+    """The counter from which a shingle is frequent: a quantile of the counters that count anything, so that it goes with the size of the corpus, and 2 at least."""
+    used = counts[counts > 0]
+    return max(2, int(np.quantile(used, rare))) if len(used) else 2
+
+
 def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: int) -> np.ndarray:
     """Index keys for a document's shingles in global order (rare first).
 
@@ -81,8 +87,9 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: i
     and at least s among the first P + s - 1. Where the first P tokens are all rare, each is a key.
     Otherwise rare ones are keys, and frequent ones are dealt into m classes by hash: with s = m + 1
     shared tokens, one is rare or two frequent ones are of one class, so the pairs within classes
-    are the keys. m goes by the power of two below P, about eight tokens a class; a document also
-    uses the m of the smallest document it can link with.
+    are the keys. m goes by the power of two below P, about eight tokens a class; a document uses
+    every m from that of the smallest document it can link with to its own, so two that link have one
+    in common, the smaller one's.
     """
     n = len(tokens)
     first = n - _need(percent, n, 100) + 1
@@ -91,7 +98,8 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: i
         return prefix
     least = _need(percent, n, 100)
     keys = [tokens[:first][often[:first] < frequent]]
-    for classes in {_classes(first), _classes(least - _need(percent, least, 100) + 1)}:
+    low, high = _classes(least - _need(percent, least, 100) + 1), _classes(first)
+    for classes in [1 << k for k in range(min(low, high).bit_length() - 1, max(low, high).bit_length())]:
         extended = tokens[: first + classes]
         hot = extended[often[: first + classes] >= frequent]
         own = (hot % np.uint64(classes)).astype(np.int64)
@@ -138,14 +146,15 @@ def _indexer(size: int, percent: int, frequent: int, counts):
 
 def _verifier(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
+        held: tuple = (None, None)  # the left text, whose pairs follow each other, and its shingles
         for batch in batches:
             ids = [batch.column(k).to_pylist() for k in ("a", "b")]
             (left, l0, l1), (right, r0, r1) = (common.texts_of(batch.column(k)) for k in ("text_a", "text_b"))
             keep = []
             for k in range(batch.num_rows):
-                if held[0] != ids[0][k]:
-                    held = ids[0][k], common.shingles(left[l0[k] : l1[k]], size)
+                text = left[l0[k] : l1[k]].tobytes()
+                if held[0] != text:
+                    held = text, common.shingles(left[l0[k] : l1[k]], size)
                 x, y = held[1], common.shingles(right[r0[k] : r1[k]], size)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
@@ -155,36 +164,58 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose texts link. Only the texts of documents in pairs travel, and the joins are plain ones that can be split where a key is hot."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose texts link, checkpointed. Only the texts of documents in pairs travel, and the joins are plain ones that can be split where a key is hot."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts, texts_at = common.placed(common.keep_ids(docs, wanted, "left_semi"), "ngram-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long")
+    near = common.checkpoint(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long"))
+    common.cleared(docs.sparkSession, texts_at)
+    return near
+
+
+def _band(n: Column, factor: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(factor)))).cast("int")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent: int = FREQUENT, bits: int = SKETCH_BITS) -> DataFrame:
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and parity sketches of two rows leave a link possible: a set of n shingles and one of m differ, where they link, in (n + m) * (100 - percent) / (100 + percent) shingles at most."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(PARITY // 64)])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent: int | None = None, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose sets of `size`-word shingles have a Jaccard likeness of percent / 100 or more are linked.
 
-    1. Counters give every shingle a frequency, rare ones come first (frequencies).
+    1. Counters give every shingle a frequency, rare ones come first (frequencies); frequent ones are
+       those from the counter `frequent` on, where it isn't given from a quantile of the counters on.
     2. Documents with equal sets become one representative, the smallest doc_id.
     3. Representatives meet in the buckets of their prefix keys (prefix_keys). Each is compared with
        one leader: of the leaders of its buckets and size bands (the member with most shared
        buckets), the one it meets most often; leaders of neighbouring bands are compared as well.
        Links are contracted to components, so a large group of near copies costs a pair a member.
     4. In buckets that still hold several components, pairs of different components are compared,
-       each once, if their sizes and parity sketches leave a link possible: 512 bits a document, in
-       which two sets differ at most as often as in their shingles. No pair that could join two
-       components is left out, so components are exact.
+       each once, dealt by bucket and size band. No pair that could join two components is left out,
+       so components are exact.
+
+    Texts are compared only for pairs whose sizes and parity sketches leave a link possible: 512 bits
+    a document, in which two sets differ at most as often as in their shingles. Only texts of such
+    pairs travel. Scratch tables are cleared as soon as nothing reads them.
 
     Texts without words have no shingles and link with nothing, their component is their own id.
     Rows of one doc_id count as one document that has each text; each row comes back, all with one
     component. Null doc_ids link with nothing and have a null component. An empty table gives no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. percent is 51 to 100: below that, two sets may link by a single common shingle, and combinations would miss them.
     """
+    if not 51 <= percent <= 100:
+        raise ValueError("percent must be 51 to 100")
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = spark.sparkContext.broadcast(frequencies(plain, size, bits))
-    index = plain.mapInArrow(_indexer(size, percent, frequent, counts), "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
+    counts = frequencies(plain, size, bits)
+    frequent = frequent_from(counts) if frequent is None else frequent
+    index = plain.mapInArrow(_indexer(size, percent, frequent, spark.sparkContext.broadcast(counts)), "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
     indexed = common.written(index.withColumn("row", F.monotonically_increasing_id()), "ngram-index")
     named = indexed.where("doc_id is not null and n > 0")
     classes = common.checkpoint(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
@@ -193,31 +224,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     reps = indexed.join(F.broadcast(only) if only.count() <= common.BROADCAST_IDS else only, "row", "left_semi").withColumnRenamed("doc_id", "rep")
     members = named.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
-    posted = reps.select("rep", "n", band.alias("band"), F.explode("keys").alias("key"))
+    posted = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    posts = common.checkpoint(posted.join(shared, "key"))
-    central = posts.groupBy("rep").agg(F.count("*").alias("met"))
-    ranked = posts.join(central, "rep")
+    posts, posts_at = common.placed(posted.join(shared, "key"), "ngram-posts")
+    central = posts.groupBy("rep").agg(F.count("*").cast("int").alias("met"))
+    ranked = posts.join(central, "rep").withColumn("band", _band(F.col("n"), BAND))
     leaders = ranked.groupBy("key", "band").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "n")).alias("x"))
-    leaders = leaders.select("key", "band", (-F.col("x.minus")).alias("leader"), F.col("x.n").alias("m"))
-    own = posts.join(leaders, ["key", "band"]).where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("met"))
-    first = own.groupBy("rep").agg(F.max(F.struct("met", (-F.col("leader")).alias("minus"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.minus")).alias("a"))
+    leaders = common.checkpoint(leaders.select("key", "band", (-F.col("x.minus")).alias("leader"), F.col("x.n").alias("m")))
+    own = posts.withColumn("band", _band(F.col("n"), BAND)).join(leaders, ["key", "band"]).where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("met"))
+    nearest = own.groupBy("rep").agg(F.max(F.struct("met", (-F.col("leader")).alias("minus"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.minus")).alias("a"))
     step = Window.partitionBy("key").orderBy("band")
     chain = leaders.withColumn("a", F.lead("leader").over(step)).withColumn("upper", F.lead("m").over(step)).where("a is not null and a <> leader and 100 * m >= %d * upper" % percent)
-    pairs = first.select("a", "b").unionByName(chain.select("a", F.col("leader").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = common.written(common.keep_ids(plain, posts.select(F.col("rep").alias("doc_id")), "left_semi"), "ngram-texts")
-    near = common.checkpoint(_verified(pairs, texts, size, percent))
+    pairs = nearest.select("a", "b").unionByName(chain.select("a", F.col("leader").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    facts = reps.select("rep", "n", "sketch")
+    x, y = facts.alias("x"), facts.alias("y")
+    pairs = common.checkpoint(pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_may_link("x", "y", percent)).select("a", "b").distinct())
+    near = _verified(pairs, plain, size, percent)
 
     so_far = common.components(near)
     grouped = posts.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = grouped.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = common.checkpoint(grouped.join(mixed, "key").join(reps.select("rep", "n", "sketch"), "rep"))
-    x, y = left.alias("x"), left.alias("y")
-    apart = reduce(Column.__add__, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(PARITY // 64)])
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
-    met = common.checkpoint(met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("shared")))
-    rest = common.checkpoint(_verified(met.select("a", "b"), texts, size, percent))
+    # Sizes that can link are in one band of this width or in two that follow each other.
+    wide = _band(F.col("n"), 100 / percent * 1.001)
+    left, left_at = common.placed(grouped.join(mixed, "key").join(facts, "rep").withColumn("band", wide), "ngram-mixed")
+    x, y = left.alias("x"), left.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
+    once = (F.col("y.own") != F.col("x.band")) | (F.col("x.rep") < F.col("y.rep"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & once & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", percent))
+    met = common.checkpoint(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    rest = _verified(met, plain, size, percent)
+    common.cleared(spark, posts_at, left_at)
 
     links = members.unionByName(near).unionByName(rest)
     found = common.components(links).select(F.col("id").alias("doc_id"), "component")

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from gatehouse.llm import ngram_join
+from gatehouse.llm import common, ngram_join
 
 SCHEMA = "doc_id long, text string, lang string, keys string, n long"
 
@@ -43,7 +44,7 @@ def corpus(seed, n=70):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "frequent"), [(3, 90, 4096), (3, 90, 3), (5, 80, 4096), (5, 80, 4), (2, 60, 5)])
+@pytest.mark.parametrize(("size", "percent", "frequent"), [(3, 90, 4096), (3, 90, 3), (5, 80, 4096), (5, 80, 4), (2, 60, 5), (3, 90, None), (1, 55, 2), (2, 100, 3)])
 def test_components_equal_brute_force(spark, size, percent, frequent):
     rows = corpus(size * percent)
     docs = spark.createDataFrame([(d, t, "en", "k", 5) for d, t in rows], SCHEMA).repartition(5)
@@ -51,6 +52,34 @@ def test_components_equal_brute_force(spark, size, percent, frequent):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, size, percent)
 
 
+def test_repeated_ids_count_as_each_text(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(3)]
+    rows = [(5, texts[0]), (5, texts[1]), (9, texts[0] + " x"), (7, texts[1] + " y"), (3, texts[2]), (8, texts[2] + " z")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(3)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs, 3, 90).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (3, 3), (8, 3)}
+
+
+def test_combinations_are_used_with_default_parameters(spark):
+    """Documents made of common passages alone are indexed by pairs of shingles, not by single ones, and still link as brute force says."""
+    rng = random.Random(6)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(6)]
+    rows = [(i, " ".join([*rng.sample(passages, 4), *(["extra"] * (i % 3))])) for i in range(60)]
+    rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(3000))) for i in range(6)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(4)
+    counts = ngram_join.frequencies(docs.select("text"), 3)
+    frequent = ngram_join.frequent_from(counts, 0.99)
+    tokens = common.shingles(np.frombuffer(rows[0][1].encode(), np.uint8), 3)
+    often = counts[(tokens >> np.uint64(44)).astype(np.int64)]
+    order = np.lexsort((tokens.view(np.int64), often))
+    keys = ngram_join.prefix_keys(tokens[order], often[order], 90, frequent)
+    singles, pairs = np.isin(keys, tokens).sum(), (~np.isin(keys, tokens)).sum()
+    assert pairs > 0 and singles < len(tokens) // 10 + 1
+    got = ngram_join.near_duplicates(docs, 3, 90, frequent).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 90)
+
+
 def test_one_of_each_and_empty(spark):
     rows = [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (9, None), (8, "z"), (None, "a b c d e f")]
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA)
