@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,51 @@ def test_recall_and_order(spark, monkeypatch, scale):
     assert recall >= 0.9
 
 
+def test_shares_are_beta_quantiles():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((200_000, 64)) ** 2
+    for done, share in nearest.shares(64, 0.01)[:-1]:
+        assert np.mean(x[:, :done].sum(1) / x.sum(1) > share) == pytest.approx(0.01, abs=0.002)
+
+
+def test_scan_finds_what_is_within_the_bound():
+    rng = np.random.default_rng(2)
+    q, x = rng.standard_normal((30, 65)), rng.standard_normal((2000, 65))
+    away = ((q[:, None] - x[None]) ** 2).sum(2)
+    bound = np.partition(away, 20, axis=1)[:, 20]
+    bound[0] = np.inf
+    found = set(zip(*map(np.ndarray.tolist, nearest.scan(q, x, bound, nearest.shares(65))), strict=True))
+    wanted = set(zip(*map(np.ndarray.tolist, np.nonzero(away <= bound[:, None])), strict=True))
+    assert found <= wanted and len(found) >= 0.99 * len(wanted) and len(found) < len(wanted) + 1
+
+
+def test_odd_lengths_and_repeated_queries(spark):
+    rows = [(20, [3.0, 1.0], 0, ""), (20, [1.0, 3.0], 0, ""), (1, [1.0, 0.0], 0, ""), (2, [0.0, 1.0], 0, ""), (40, [1.0, 0.0, 0.0], 0, ""), (5, [1.0], 0, "")]
+    got = [tuple(r) for r in search(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()]
+    assert got == [(20, 1, 2, 3.0), (20, 2, 1, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1", "check_s"])
+def test_recall_on_the_given_tables(spark, name):
+    path = f"/root/testdata/{name}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    table = spark.read.parquet(path)
+    rows = table.select("vec_id", "embedding").toArrow()
+    ids, x = np.asarray(rows.column("vec_id")), nearest._matrix(rows.column("embedding"), 64)
+    found = {}
+    for r in search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert found.keys() == set(ids[asked].tolist())
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = ids[np.argsort(-scores, axis=1)[:, :20]]
+    recall = np.mean([len(found[int(i)] & set(b.tolist())) / 20 for i, b in zip(ids[asked], best, strict=True)])
+    print(name, round(recall, 3))
+    assert recall >= 0.9
+
+
 def test_few_vectors_and_none(spark):
     rows = [(0, [1.0, 0.0], 0, ""), (20, [0.0, 1.0], 0, ""), (3, [1.0, 1.0], 0, ""), (3, [1.0, 1.0], 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
