@@ -16,7 +16,7 @@ from gatehouse.llm import common
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
 #: Share of the used counters below which a shingle is rare; of the others, the frequent ones, only combinations of two are indexed.
 RARE = 0.999
-#: Bits of the parity sketch of a shingle set, 64 a word.
+#: Bits of the parity sketch of a shingle set, 64 a word, at least; larger sets have as many bits as shingles or more, in powers of two.
 PARITY = 512
 #: Sizes within such a factor have one leader in a bucket.
 BAND = 1.05
@@ -111,9 +111,10 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: i
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """PARITY bits, each set if an odd number of tokens fall on it: two sets differ in at least as many tokens as their sketches in bits."""
-    bits = np.bincount((common.mix(tokens + np.uint64(1)) >> np.uint64(65 - PARITY.bit_length())).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Bits, each set if an odd number of tokens fall on it: two sets differ in at least as many tokens as their sketches in bits. A sketch's halves put together by exclusive or are the sketch of half as many bits."""
+    bits = max(PARITY, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else PARITY
+    odd = np.bincount((common.mix(tokens + np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _classes(first: int) -> int:
@@ -180,9 +181,14 @@ def _band(n: Column, factor: float) -> Column:
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and parity sketches of two rows leave a link possible: a set of n shingles and one of m differ, where they link, in (n + m) * (100 - percent) / (100 + percent) shingles at most."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(PARITY // 64)])
+    """Whether sizes and parity sketches of two rows leave a link possible: a set of n shingles and one of m differ, where they link, in (n + m) * (100 - percent) / (100 + percent) shingles at most. Of two sketches the longer one is folded to the shorter one's length."""
+    n, m, a, b = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    words = PARITY // 64
+    short = reduce(Column.__add__, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)])
+    half = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.when(F.size(c) == half, c).otherwise(F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda i, j: i.bitwiseXOR(j)))
+    long = F.aggregate(F.zip_with(folded(a), folded(b), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, i: s + i)
+    apart = F.when((F.size(a) == words) & (F.size(b) == words), short).otherwise(long)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -200,8 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
        each once, dealt by bucket and size band. No pair that could join two components is left out,
        so components are exact.
 
-    Texts are compared only for pairs whose sizes and parity sketches leave a link possible: 512 bits
-    a document, in which two sets differ at most as often as in their shingles. Only texts of such
+    Texts are compared only for pairs whose sizes and parity sketches leave a link possible: a bit or
+    more a shingle, in which two sets differ at most as often as in their shingles. Only texts of such
     pairs travel. Scratch tables are cleared as soon as nothing reads them.
 
     Texts without words have no shingles and link with nothing, their component is their own id.

@@ -52,6 +52,35 @@ def test_components_equal_brute_force(spark, size, percent, frequent):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, size, percent)
 
 
+def test_sketches_fold_and_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (400, 500), (513, 600), (700, 1300), (3000, 3300)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, m, dtype=np.uint64)])
+        a, b = ngram_join.parity(x), ngram_join.parity(y)
+        while len(a) < len(b):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        while len(b) < len(a):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        apart = sum(int(i).bit_count() for i in (a ^ b).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+        assert len(ngram_join.parity(y)) * 64 >= max(512, len(y))
+
+
+def test_long_documents_link_as_brute_force_says(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(8):
+        base = [rng.choice(words) for _ in range(rng.choice([500, 900, 1020, 1100, 2100]))]
+        rows.append((3 * i, " ".join(base)))
+        rows.append((3 * i + 1, " ".join(base[: int(len(base) * 0.93)])))
+        rows.append((3 * i + 2, " ".join(base + [rng.choice(words) for _ in range(len(base) // 8)])))
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(4)
+    got = sorted(((tuple(r) for r in ngram_join.near_duplicates(docs, 3, 90).collect())), key=str)
+    assert got == brute(rows, 3, 90) and any(c != d for d, _, c in got)
+
+
 def test_repeated_ids_count_as_each_text(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(3)]
