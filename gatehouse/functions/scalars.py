@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 TITLE_CHARS, NAME_CHARS, REASON_CHARS, LINE_CHARS = 20, 120, 200, 120
 NO_REASON = "workflow failed"
 FINISHED = ("completed", "error", "paused")
+STATUS_LABELS = {"completed": "已完成", "error": "失败", "paused": "已暂停", "waiting": "排队中", "parsing": "解析中", "splitting": "切分中", "indexing": "索引中", "cleaning": "清洗中"}
+CONTENT_CHARS, STATUS_CHARS, FILE_BYTES = 8000, 24, 20 * 1024 * 1024
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 FORMULA = r"^[=+\-@\t\r]"
-KINDS = {"image": "^image/", "pdf": "^application/pdf$", "sheet": "(spreadsheet|excel|csv)", "text": "^text/"}
+KINDS = {"application/pdf": "pdf", DOCX: "word", "text/plain": "text", "text/markdown": "markdown", "image/png": "image", "image/jpeg": "image"}
+COLOURS = {"pdf": "#DC2626", "word": "#2563EB", "text": "#64748B", "markdown": "#0F766E", "image": "#D97706", "generic": "#94A3B8"}
 
 
 def stripped(x: Column) -> Column:
@@ -44,11 +48,68 @@ def mime_type(x: Column) -> Column:
     return F.lower(F.trim(F.substring_index(x, ";", 1)))
 
 
+def _chosen(x: Column, by: dict[str, str], default: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in by.items():
+        out = F.when(x == k, v).otherwise(out)
+    return F.coalesce(out, default)
+
+
 def mime_kind(x: Column) -> Column:
-    out = F.lit("file")
-    for kind, pattern in reversed(KINDS.items()):
-        out = F.when(mime_type(x).rlike(pattern), kind).otherwise(out)
-    return out
+    """pdf, word, text, markdown, image or generic, by the exact type."""
+    return _chosen(x, KINDS, F.lit("generic"))
+
+
+def mime_colour(x: Column) -> Column:
+    return _chosen(mime_kind(x), COLOURS, F.lit(COLOURS["generic"]))
+
+
+def mime_class(x: Column) -> Column:
+    """image or document."""
+    return F.when(mime_type(x).startswith("image/"), "image").otherwise("document")
+
+
+def file_reason(name: Column, size: Column, mime: Column) -> Column:
+    """Why a file isn't taken: "size" above the limit, "type" for one that isn't allowed, unless its name ends in .txt or .md; null where it is."""
+    by_name = F.lower(name).endswith(".txt") | F.lower(name).endswith(".md")
+    return F.when(size > FILE_BYTES, "size").when(~F.coalesce(by_name, F.lit(False)) & ~F.coalesce(mime.isin(*KINDS), F.lit(False)), "type")
+
+
+def status_label(x: Column, error: Column) -> Column:
+    """The label of an indexing status, an unknown one as it is, with the beginning of the error, if any."""
+    return F.concat(_chosen(x, STATUS_LABELS, x), F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("（"), F.substring(error, 1, STATUS_CHARS), F.lit("）"))).otherwise(""))
+
+
+def is_finished(x: Column) -> Column:
+    return F.coalesce(x.isin(*FINISHED), F.lit(False))
+
+
+def content_of(query: Column, inputs: Column) -> Column:
+    """A turn's question, or where there is none the beginning of its inputs as JSON."""
+    return F.coalesce(F.nullif(query, F.lit("")), F.substring(F.to_json(inputs), 1, CONTENT_CHARS))
+
+
+def workflow_title(order: Column, inputs: Column, query: Column) -> Column:
+    """The first code points of the first non-blank input in the form's order, else of the question."""
+    own = F.filter(F.transform(order, lambda n: stripped(F.coalesce(F.try_element_at(inputs, n), F.lit("")))), lambda v: v != "")
+    return title(F.coalesce(F.try_element_at(own, F.lit(1)), query))
+
+
+def uuid_of(x: Column) -> Column:
+    """A UUID in its usual form from one written with or without hyphens, braces or a urn prefix; null for anything else."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(x), "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
+    parts = [F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts))
+
+
+def iso_utc(x: Column) -> Column:
+    """A UTC time as ISO 8601 with its offset; none is empty."""
+    return F.coalesce(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(""))
+
+
+def given(params: Column) -> Column:
+    """A map's entries that are neither null nor empty."""
+    return F.map_filter(params, lambda k, v: F.coalesce(v, F.lit("")) != "")
 
 
 def redacted(x: Column) -> Column:
@@ -56,7 +117,7 @@ def redacted(x: Column) -> Column:
     text = stripped(F.regexp_replace(x, r"(?U)https?://\S+", "[url]"))
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda s: (stripped(s) != "") & (F.length(s) <= LINE_CHARS))
     joined = F.array_join(F.transform(lines, stripped), " ")
-    return F.coalesce(F.nullif(F.substring(F.when(joined == "", text).otherwise(joined), 1, REASON_CHARS), F.lit("")), F.lit(NO_REASON))
+    return stripped(F.coalesce(F.nullif(F.substring(F.when(joined == "", text).otherwise(joined), 1, REASON_CHARS), F.lit("")), F.lit(NO_REASON)))
 
 
 def size_label(n: Column) -> Column:

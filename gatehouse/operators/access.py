@@ -32,20 +32,42 @@ def visible(users: DataFrame, user_roles: DataFrame, grants: DataFrame, resource
 
 
 def decided(requests: DataFrame, users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame) -> DataFrame:
-    """requests (user_id, resource_id, …) with outcome allow, deny, not_found (no such resource) or inactive (of user or resource). Closed by default."""
-    seen = visible(users, user_roles, grants, resources).withColumn("seen", F.lit(True))
-    who = users.select(F.col("id").alias("user_id"), F.col("status").alias("user_status"))
+    """requests (user_id, resource_id, …) with outcome allow, deny, not_found (no such resource) or inactive (of user or resource). Closed by default.
+
+    Only pairs that are asked for are looked at: the principals of their users are joined with the grants
+    of their resources, so no product of users and resources is built; administrators are a flag.
+    """
+    who = users.select(F.col("id").alias("user_id"), F.col("status").alias("user_status"), F.col("admin"))
     what = resources.select(F.col("id").alias("resource_id"), F.col("status").alias("resource_status"))
+    asked = requests.select("user_id", "resource_id").distinct()
+    held = asked.join(principals(users.where("status = 1"), user_roles), "user_id")
+    seen = held.join(grants, ["resource_id", "principal_type", "principal_id"], "left_semi").select("user_id", "resource_id").distinct().withColumn("seen", F.lit(True))
     joined = requests.join(who, "user_id", "left").join(what, "resource_id", "left").join(seen, ["user_id", "resource_id"], "left")
-    outcome = F.when(F.col("resource_status").isNull(), "not_found").when((F.coalesce("user_status", F.lit(0)) != 1) | (F.col("resource_status") != 1), "inactive").when(F.col("seen"), "allow").otherwise("deny")
+    outcome = F.when(F.col("resource_status").isNull(), "not_found").when((F.coalesce("user_status", F.lit(0)) != 1) | (F.col("resource_status") != 1), "inactive").when(F.col("admin") | F.col("seen"), "allow").otherwise("deny")
     return joined.select(*requests.columns, outcome.alias("outcome"))
 
 
 def effective_roles(users: DataFrame, user_roles: DataFrame, roles: DataFrame, default: str = "USER") -> DataFrame:
-    """(user_id, codes): role codes by role id, or the default one."""
-    held = user_roles.join(roles.withColumnRenamed("id", "role_id"), "role_id").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("role_id", "code"))).alias("held"))
-    joined = users.select(F.col("id").alias("user_id")).join(held, "user_id", "left")
-    return joined.select("user_id", F.coalesce(F.col("held.code"), F.array(F.lit(default))).alias("codes"))
+    """(user_id, codes): role codes by role id; without any, the codes of the JSON array in roles_json, where users has that column, as they stand there; without those, the default one."""
+    held = user_roles.join(F.broadcast(roles.withColumnRenamed("id", "role_id")), "role_id").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("role_id", "code"))).alias("held"))
+    told = F.from_json("roles_json", "array<string>") if "roles_json" in users.columns else F.lit(None).cast("array<string>")
+    joined = users.select(F.col("id").alias("user_id"), F.when(F.size(told) > 0, told).alias("told")).join(held, "user_id", "left")
+    return joined.select("user_id", F.coalesce(F.col("held.code"), "told", F.array(F.lit(default))).alias("codes"))
+
+
+def administrators(users: DataFrame, user_roles: DataFrame, roles: DataFrame, code: str) -> DataFrame:
+    """(user_id, admin): whether the administrators' role is among the effective ones, asked live."""
+    return effective_roles(users, user_roles, roles).select("user_id", F.array_contains("codes", code).alias("admin"))
+
+
+def grants_of(grants: DataFrame, principal_type: str, principal_id: int) -> DataFrame:
+    """(resource_id) granted to one principal, each once, sorted."""
+    return grants.where((F.col("principal_type") == principal_type) & (F.col("principal_id") == principal_id)).select("resource_id").distinct().orderBy("resource_id")
+
+
+def roles_to_pick(roles: DataFrame, hidden: str) -> DataFrame:
+    """The roles that may be granted by hand, by id."""
+    return roles.where(F.col("code") != hidden).orderBy("id")
 
 
 def names(users: DataFrame, departments: DataFrame, roles: DataFrame) -> DataFrame:
@@ -64,10 +86,22 @@ def orphaned(grants: DataFrame, known: DataFrame) -> DataFrame:
     return grants.join(known, ["principal_type", "principal_id"], "left_anti")
 
 
-def replaced(grants: DataFrame, of: Column, wanted: DataFrame, resources: DataFrame) -> DataFrame:
-    """grants in which those that `of` selects give way to `wanted`, sorted out to distinct existing resources."""
-    fresh = wanted.join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_semi").distinct()
-    return grants.where(~of).unionByName(fresh.select(*grants.columns))
+def replaced(grants: DataFrame, of: Column, wanted: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """grants in which those that `of` selects give way to `wanted`, each once, with outcome on every row.
+
+    Where resources are given, ids that aren't among them abort the change: the grants stay as they are,
+    and outcome is "unknown: " with how many there are and the smallest; else it is "replaced".
+    """
+    keys = grants.columns
+    fresh = wanted.select(*keys).distinct()
+    if resources is None:
+        return grants.where(~of).unionByName(fresh).withColumn("outcome", F.lit("replaced"))
+    unknown = fresh.join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_anti").select("resource_id").distinct()
+    # One row, whatever is asked for.
+    verdict = unknown.agg(F.count("*").alias("n"), F.min("resource_id").alias("least")).select(F.when(F.col("n") > 0, F.concat(F.lit("unknown: "), F.col("n").cast("string"), F.lit(" from "), F.col("least").cast("string"))).otherwise("replaced").alias("outcome"))
+    rows = grants.withColumn("_new", F.lit(False)).withColumn("_old", of).unionByName(fresh.withColumn("_new", F.lit(True)).withColumn("_old", F.lit(False)))
+    refused = F.col("outcome") != "replaced"
+    return rows.join(F.broadcast(verdict), how="cross").where(F.when(refused, ~F.col("_new")).otherwise(~F.col("_old"))).select(*keys, "outcome")
 
 
 def upserted(grants: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,3 +114,16 @@ def upserted(grants: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame
 def removed(grants: DataFrame, unwanted: DataFrame) -> DataFrame:
     """grants without the rows of unwanted."""
     return grants.join(unwanted, ["resource_id", "principal_type", "principal_id"], "left_anti")
+
+
+def roles_replaced(user_roles: DataFrame, user_id: int, codes: list[str], roles: DataFrame) -> DataFrame:
+    """user_roles in which the user has the roles of codes and no others, each once, with outcome on every row; codes that don't exist abort the change, and outcome lists them, sorted."""
+    asked = sorted(set(codes))
+    # As many rows as are asked for.
+    wanted = roles.sparkSession.createDataFrame([(c,) for c in asked], "code string").join(F.broadcast(roles), "code", "left")
+    verdict = wanted.agg(F.array_sort(F.collect_list(F.when(F.col("id").isNull(), F.col("code")))).alias("gone"))
+    verdict = verdict.select(F.when(F.size("gone") > 0, F.concat(F.lit("unknown: "), F.array_join("gone", ","))).otherwise("replaced").alias("outcome"))
+    new = wanted.where("id is not null").select(F.lit(user_id).cast("long").alias("user_id"), F.col("id").alias("role_id"))
+    rows = user_roles.select("user_id", "role_id", F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
+    kept = F.when(F.col("outcome") == "replaced", F.col("_new") | (F.col("user_id") != user_id)).otherwise(~F.col("_new"))
+    return rows.join(F.broadcast(verdict), how="cross").where(kept).select("user_id", "role_id", "outcome")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -13,14 +13,16 @@ K1, B = 1.2, 0.75
 def lexical(documents: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(doc_id, score): the k documents with the highest BM25 score for the query's words, ties to the smaller id.
 
-    Two scans: one counts, of the query's words alone, how many documents hold each; the second scores
-    and keeps k.
+    Each text is split once, into its length and its counts of the query's words, and only these narrow
+    rows are kept for the second step: the corpus statistics are a one-row aggregate of them, and the
+    scores are computed from both.
     """
     words = sorted({w.lower() for w in query.split()})
-    own = F.split(F.lower("text"), r"\s+")
-    count = lambda q: F.size(F.filter(own, lambda w: w == F.lit(q)))
-    counts = [count(q) for q in words]
-    held = documents.select("doc_id", F.size(own).alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(counts)])
+    # Java's regular expressions count a word between white space without an array of all words.
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\s+", "  "), F.lit(" "))
+    n = (F.length(low) - F.length(F.replace(low, F.lit("  "), F.lit(" "))) + 1).alias("n")
+    counts = [((F.length("low") - F.length(F.replace("low", F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2)).cast("long").alias(f"c{i}") for i, w in enumerate(words)]
+    held = documents.where("text is not null").select("doc_id", low.alias("low"), n).select("doc_id", "n", *counts)
     stats = held.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -29,6 +31,24 @@ def lexical(documents: DataFrame, query: str, k: int = 10) -> DataFrame:
     return held.select("doc_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def changed(documents: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """documents without those whose doc_id is gone, and with the new ones."""
+    return documents.join(gone, "doc_id", "left_anti").unionByName(new)
+
+
+def page_then_filter(catalog: DataFrame, key: str, seen: Column, number: int, size: int) -> DataFrame:
+    """A page of the catalog by key, of which the entries that may be seen stay, and total, their number: a page may be short or empty."""
+    page = catalog.orderBy(key).offset((number - 1) * size).limit(size).where(seen)
+    return page.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))  # at most a page of rows
+
+
+def filter_then_page(catalog: DataFrame, key: str, seen: Column, number: int, size: int) -> DataFrame:
+    """A page of those entries of the catalog that may be seen, and total, the number of them all."""
+    own = catalog.where(seen)
+    total = own.agg(F.count("*").alias("total"))  # one row
+    return own.orderBy(key).offset((number - 1) * size).limit(size).join(F.broadcast(total), how="cross")
+
+
 def vector(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     """(vec_id, score): the k vectors most like the query's one row (q) by cosine, ties to the smaller id."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -24,13 +24,15 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20,
 def with_paths(departments: DataFrame) -> DataFrame:
     """departments with path, "/1/3/7/", from parent_id by recursion; those on a cycle or below a missing parent have none."""
     spark: SparkSession = departments.sparkSession
-    departments.createOrReplaceTempView("gatehouse_departments")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE t(id, name, parent_id, path) AS (
-          SELECT id, name, parent_id, concat('/', id, '/') FROM gatehouse_departments WHERE parent_id IS NULL
+          SELECT id, name, parent_id, concat('/', id, '/') FROM {own} WHERE parent_id IS NULL
           UNION ALL
-          SELECT d.id, d.name, d.parent_id, concat(t.path, d.id, '/') FROM gatehouse_departments d JOIN t ON d.parent_id = t.id)
-        SELECT * FROM t""")
+          SELECT d.id, d.name, d.parent_id, concat(t.path, d.id, '/') FROM {own} d JOIN t ON d.parent_id = t.id)
+        SELECT * FROM t""",
+        own=departments,
+    )
 
 
 def ancestors(paths: DataFrame) -> DataFrame:
@@ -44,17 +46,28 @@ def subtree(paths: DataFrame, root: str) -> DataFrame:
 
 
 def moved(paths: DataFrame, id_: int, new_parent: int | None) -> DataFrame:
-    """paths after department id_ goes below new_parent (None: becomes a root), with outcome moved, unknown_parent, cycle or unchanged on every row; a refused move changes nothing."""
-    one = paths.where(F.col("id") == id_).select(F.col("path").alias("old"))
-    parent = paths.where(F.col("id") == (-1 if new_parent is None else new_parent)).select(F.col("path").alias("above"))
-    # One row each, by primary key.
-    joined = paths.join(F.broadcast(one)).join(F.broadcast(parent), F.lit(True), "left")
+    """paths after department id_ goes below new_parent (None: becomes a root), with outcome moved, not_found, self_parent, unknown_parent or cycle, in this order, on every row; a refused move changes nothing."""
+    # One row: at most one path each, by primary key.
+    facts = paths.agg(F.max(F.when(F.col("id") == id_, F.col("path"))).alias("old"), F.max(F.when(F.col("id") == F.lit(new_parent), F.col("path"))).alias("above"))
     above = F.lit("/") if new_parent is None else F.col("above")
-    outcome = F.when(above.isNull(), "unknown_parent").when(above.contains(f"/{id_}/"), "cycle").otherwise("moved")
-    hit = (outcome == "moved") & F.col("path").startswith(F.col("old"))
-    path = F.when(hit, F.concat(above, F.lit(f"{id_}/"), F.expr("substring(path, length(old) + 1)"))).otherwise(F.col("path"))
+    outcome = F.when(F.col("old").isNull(), "not_found").when(F.lit(new_parent == id_), "self_parent").when(above.isNull(), "unknown_parent").when(above.contains(f"/{id_}/"), "cycle").otherwise("moved")
+    joined = paths.join(F.broadcast(facts.select("old", above.alias("above"), outcome.alias("outcome"))), how="cross")
+    hit = (F.col("outcome") == "moved") & F.col("path").startswith(F.col("old"))
+    path = F.when(hit, F.concat("above", F.lit(f"{id_}/"), F.expr("substring(path, length(old) + 1)"))).otherwise(F.col("path"))
     above_id = F.when(hit & (F.col("id") == id_), F.lit(new_parent).cast("long")).otherwise(F.col("parent_id"))
-    return joined.select("id", "name", above_id.alias("parent_id"), path.alias("path"), outcome.alias("outcome"))
+    return joined.select("id", "name", above_id.alias("parent_id"), path.alias("path"), "outcome")
+
+
+def deleted(departments: DataFrame, users: DataFrame, grants: DataFrame, id_: int) -> tuple[DataFrame, DataFrame]:
+    """(departments, grants) without department id_ and its grants, if the guard lets it go; else both as they are."""
+    gone = delete_guard(departments, users).where((F.col("id") == id_) & (F.col("outcome") == "ok")).select("id")
+    left = grants.join(F.broadcast(gone.select(F.lit("dept").alias("principal_type"), F.col("id").alias("principal_id"))), ["principal_type", "principal_id"], "left_anti")
+    return departments.join(F.broadcast(gone), "id", "left_anti"), left
+
+
+def after(rows: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The next batch of rows by a unique key, behind the last one seen (None: from the beginning): each batch reads on from where the other ended."""
+    return (rows if last is None else rows.where(F.col(key) > last)).orderBy(key).limit(size)
 
 
 def delete_guard(departments: DataFrame, users: DataFrame) -> DataFrame:

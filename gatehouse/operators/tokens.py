@@ -17,3 +17,23 @@ def revoked_of(tokens: DataFrame, user_ids: DataFrame, now: Column) -> DataFrame
     """tokens in which the live ones of user_ids are revoked now."""
     hit = tokens.join(user_ids.select("user_id").distinct().withColumn("_hit", F.lit(True)), "user_id", "left")
     return hit.select(*[F.when(F.col("_hit") & F.col("revoked_at").isNull(), now).otherwise(F.col(c)).alias(c) if c == "revoked_at" else c for c in tokens.columns])
+
+
+def asked(requests: DataFrame, tokens: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """requests (token_hash, …) with the state of the token with that hash, missing where there is none."""
+    known = states(tokens, users, now).select("token_hash", "state")
+    return requests.join(known, "token_hash", "left").select(*[requests[c] for c in requests.columns], F.coalesce("state", F.lit("missing")).alias("state"))
+
+
+def rotated(tokens: DataFrame, used: DataFrame, now: Column) -> DataFrame:
+    """tokens (id, user_id, revoked_at) after those used (id, new_id) are exchanged: each is revoked now, and a live one with the new id takes its place."""
+    joined = tokens.join(used, "id", "left")
+    old = joined.select("id", "user_id", F.when(F.col("new_id").isNotNull(), now).otherwise(F.col("revoked_at")).alias("revoked_at"))
+    new = joined.where("new_id is not null").select(F.col("new_id").alias("id"), "user_id", F.lit(None).cast("timestamp_ntz").alias("revoked_at"))
+    return old.unionByName(new)
+
+
+def eligible(attempts: DataFrame, users: DataFrame) -> DataFrame:
+    """attempts (email, …) with outcome unknown, inactive or ok; emails are compared letter by letter."""
+    known = users.select("email", "status")
+    return attempts.join(known, "email", "left").select(*[attempts[c] for c in attempts.columns], F.when(F.col("status").isNull(), "unknown").when(F.col("status") != 1, "inactive").otherwise("ok").alias("outcome"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Events of workflow runs that say nothing to a reader.
 SILENT = ("ping", "workflow_started", "node_started", "node_finished")
+#: Fixed value: what stands before a failed run's reason.
+FAILED = "上游工作流执行失败: "
 
 
 def split_frames(lines: DataFrame) -> DataFrame:
@@ -22,13 +24,14 @@ def split_frames(lines: DataFrame) -> DataFrame:
 
 
 def text_of(data: Column, path: str) -> Column:
-    """A non-empty string at a path of JSON text, else null."""
-    return F.nullif(F.get_json_object(data, path), F.lit(""))
+    """A non-empty string at a path of JSON text, else null; numbers and the like are no strings."""
+    at = F.try_variant_get(F.try_parse_json(data), path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.nullif(F.try_variant_get(at, "$", "string"), F.lit("")))
 
 
-def reasoning_of(data: Column) -> Column:
+def reasoning_of(data: Column, within: str = "$") -> Column:
     """The first non-empty one of the fields in which models leave their reasoning."""
-    return F.coalesce(*[text_of(data, f"$.{k}") for k in ("reasoning_content", "reasoning", "thought")])
+    return F.coalesce(*[text_of(data, f"{within}.{k}") for k in ("reasoning_content", "reasoning", "thought")])
 
 
 def usage_total(data: Column, at: str = "$.metadata.usage") -> Column:
@@ -36,48 +39,72 @@ def usage_total(data: Column, at: str = "$.metadata.usage") -> Column:
     return F.coalesce(F.get_json_object(data, f"{at}.total").try_cast("long"), F.get_json_object(data, f"{at}.total_tokens").try_cast("long"), F.lit(0).cast("long"))
 
 
+def is_object(data: Column) -> Column:
+    """Whether text is a JSON object."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(data)).startswith("OBJECT"), F.lit(False))
+
+
 def name_of(event: Column, data: Column) -> Column:
     """The event line's name, else the name within the data."""
     return F.coalesce(F.nullif(event, F.lit("")), F.get_json_object(data, "$.event"))
 
 
+def thought_of(event: Column, data: Column) -> Column:
+    """The reasoning of a frame; a thought's may lie in an object of its own."""
+    inner = F.when(name_of(event, data) == "agent_thought", reasoning_of(data, "$.data"))
+    return F.coalesce(inner, reasoning_of(data))
+
+
 def translate_chat(frames: DataFrame) -> DataFrame:
-    """(stream_id, seq, sub_seq, event, data) of chat frames.
+    """(stream_id, seq, sub_seq, event, data) of chat frames, and their other columns.
 
-    Reasoning comes as an event of its own before the message that carries it; thoughts become
-    reasoning, empty ones vanish; all else passes as it is.
+    Reasoning comes as an event of its own before the message that carries it; thoughts, which may lie
+    in an object of their own, become reasoning, empty ones vanish; all else passes as it is.
     """
-    named = frames.withColumn("name", name_of(F.col("event"), F.col("data"))).withColumn("reasoning", reasoning_of(F.col("data")))
-    thought = F.struct(F.lit(0).alias("sub_seq"), F.lit("reasoning").alias("event"), F.to_json(F.struct("reasoning")).alias("data"))
+    named = frames.withColumn("name", name_of(F.col("event"), F.col("data"))).withColumn("reasoning", thought_of(F.col("event"), F.col("data")))
+    thought = F.struct(F.lit(0).alias("sub_seq"), F.lit("reasoning").alias("event"), F.to_json(F.struct(F.col("reasoning").alias("content"))).alias("data"))
     itself = F.struct(F.lit(1).alias("sub_seq"), F.coalesce("name", F.lit("message")).alias("event"), F.col("data"))
     has = F.col("reasoning").isNotNull()
     none = F.expr("filter(array(named_struct('sub_seq', 0, 'event', '', 'data', '')), x -> false)")
     out = F.when(F.col("name") == "agent_thought", F.when(has, F.array(thought)).otherwise(none)).when((F.col("name") == "message") & has, F.array(thought, itself)).otherwise(F.array(itself))
-    return named.select("stream_id", "seq", F.explode(out).alias("x")).select("stream_id", "seq", "x.sub_seq", "x.event", "x.data")
+    others = [c for c in frames.columns if c not in ("stream_id", "seq", "event", "data")]
+    return named.select("stream_id", "seq", *others, F.explode(out).alias("x")).select("stream_id", "seq", "x.sub_seq", "x.event", "x.data", *others)
 
 
 def translate_workflow(frames: DataFrame, redact) -> DataFrame:
-    """(stream_id, seq, event, data) of workflow frames: text chunks are messages, a finished run is message_end with its total or an error with the redacted reason, all else goes."""
-    named = frames.withColumn("name", name_of(F.col("event"), F.col("data"))).where(~F.col("name").isin(*SILENT))
-    chunk, ok = text_of(F.col("data"), "$.data.text"), F.get_json_object("data", "$.data.status") == "succeeded"
+    """(stream_id, seq, event, data) of workflow frames: text chunks are messages, a finished run is message_end with its total or, where it failed, an error with the redacted reason; all else goes, what isn't a JSON object too."""
+    named = frames.withColumn("name", name_of(F.col("event"), F.col("data"))).where(~F.col("name").isin(*SILENT) & is_object(F.col("data")))
+    chunk = F.nullif(F.get_json_object("data", "$.data.text"), F.lit(""))
+    ok = F.coalesce(F.get_json_object("data", "$.data.status"), F.lit("")) != "failed"
     total = F.coalesce(F.get_json_object("data", "$.data.total_tokens").try_cast("long"), F.lit(0).cast("long"))
     event = F.when((F.col("name") == "text_chunk") & chunk.isNotNull(), "message").when((F.col("name") == "workflow_finished") & ok, "message_end").when(F.col("name") == "workflow_finished", "error")
-    data = F.when(event == "message", F.to_json(F.struct(chunk.alias("answer")))).when(event == "message_end", F.to_json(F.struct(F.struct(F.struct(total.alias("total")).alias("usage")).alias("metadata")))).otherwise(F.to_json(F.struct(redact(F.coalesce(F.get_json_object("data", "$.data.error"), F.lit(""))).alias("message"))))
+    data = F.when(event == "message", F.to_json(F.struct(chunk.alias("answer")))).when(event == "message_end", F.to_json(F.struct(F.struct(F.struct(total.alias("total")).alias("usage")).alias("metadata")))).otherwise(F.to_json(F.struct(F.concat(F.lit(FAILED), redact(F.coalesce(F.get_json_object("data", "$.data.error"), F.lit("")))).alias("message"))))
     return named.select("stream_id", "seq", event.alias("event"), data.alias("data")).where("event is not null")
 
 
+def usage_of(event: Column, data: Column) -> Column:
+    """The total of a message_end that tells its usage."""
+    told = F.schema_of_variant(F.try_variant_get(F.try_parse_json(data), "$.metadata.usage", "variant")).startswith("OBJECT")
+    return F.when((event == "message_end") & told, usage_total(data))
+
+
+def upstream_of(event: Column, data: Column) -> Column:
+    """The conversation id of any event but reasoning, which is ours."""
+    return F.when(event != "reasoning", F.nullif(F.get_json_object(data, "$.conversation_id"), F.lit("")))
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """One row a stream: answers and reasoning joined in order, the last usage, the first conversation id, and whether an error came. Streams without an answer give no row."""
+    """One row a stream: answers and reasoning joined in order, the last usage there is, the last conversation id, and whether an error came. Streams without an answer give no row."""
     at = F.struct("seq", "sub_seq")
     answer = F.when(F.col("event") == "message", text_of(F.col("data"), "$.answer"))
-    thought = F.when(F.col("event") == "reasoning", text_of(F.col("data"), "$.reasoning"))
-    usage = F.when(F.col("event") == "message_end", usage_total(F.col("data")))
+    thought = F.when(F.col("event") == "reasoning", text_of(F.col("data"), "$.content"))
+    usage, upstream = usage_of(F.col("event"), F.col("data")), upstream_of(F.col("event"), F.col("data"))
     ordered = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("seq", "sub_seq", c.alias("x"))))).getField("x"), "")
     folded = events.groupBy("stream_id").agg(
         ordered(answer).alias("content"),
         ordered(thought).alias("reasoning"),
         F.max_by(usage, F.when(usage.isNotNull(), at)).alias("total_tokens"),
-        F.min_by(F.get_json_object("data", "$.conversation_id"), F.when(F.get_json_object("data", "$.conversation_id").isNotNull(), at)).alias("upstream_id"),
+        F.max_by(upstream, F.when(upstream.isNotNull(), at)).alias("upstream_id"),
         F.max((F.col("event") == "error").cast("int")).alias("failed"),
     )
     return folded.where("content <> ''")
@@ -88,6 +115,40 @@ def closed(streams: DataFrame) -> DataFrame:
     reason = F.col("reason")
     text = F.when(reason.startswith("http_"), F.concat(F.lit("Upstream error: "), F.expr("substring(reason, 6)"))).when(reason == "timeout", "Upstream timeout").when(reason == "proxy_error", "Proxy error")
     failed = F.struct(F.lit(0).alias("sub_seq"), F.lit("error").alias("event"), F.to_json(F.struct(text.alias("message"))).alias("data"))
-    done = F.struct(F.lit(1).alias("sub_seq"), F.lit("agent_done").alias("event"), F.to_json(F.struct(F.col("stream_id"))).alias("data"))
+    done = F.struct(F.lit(1).alias("sub_seq"), F.lit("agent_done").alias("event"), F.to_json(F.struct(F.col("stream_id").cast("string").alias("conversation_id"))).alias("data"))
     rows = streams.where("reason <> 'client_abort'").select("stream_id", F.explode(F.when(text.isNotNull(), F.array(failed, done)).otherwise(F.array(done))).alias("x"))
     return rows.select("stream_id", "x.sub_seq", "x.event", "x.data")
+
+
+def sse(event: Column, data: Column) -> Column:
+    """An event as the text that a browser's event source reads."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.coalesce(data, F.lit("{}")), F.lit("\n\n"))
+
+
+def lines_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, line) of chunks of text (stream_id, seq, chunk) that may end within a line; carriage returns at line ends go, seq numbers a stream's lines from 0. A stream is one turn, so its text is one row's."""
+    whole = chunks.groupBy("stream_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).getField("chunk"), "").alias("text"))
+    lines = whole.select("stream_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    return lines.select("stream_id", F.col("seq").cast("long").alias("seq"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def dispatched(frames: DataFrame, known: tuple[str, ...] = ("message", "reasoning", "message_end", "error", "agent_done")) -> DataFrame:
+    """(stream_id, seq, event, data) as a reader's page takes frames: without a name they are messages, unknown names are ignored, and data that isn't JSON is {}."""
+    event = F.coalesce(F.nullif("event", F.lit("")), F.lit("message"))
+    data = F.when(F.try_parse_json("data").isNotNull(), F.col("data")).otherwise("{}")
+    return frames.select("stream_id", "seq", event.alias("event"), data.alias("data")).where(F.col("event").isin(*known))
+
+
+def states(events: DataFrame, closes: DataFrame) -> DataFrame:
+    """(stream_id, status, content) at the end of each stream (closes: stream_id, reason): an error stays one though agent_done follows, and its message replaces the answer; a reader's abort is done with what came so far."""
+    at = F.struct("seq", "sub_seq")
+    answer = F.when(F.col("event") == "message", text_of(F.col("data"), "$.answer"))
+    wrong = F.when(F.col("event") == "error", F.coalesce(F.get_json_object("data", "$.message"), F.col("data")))
+    folded = events.groupBy("stream_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(answer.isNotNull(), F.struct("seq", "sub_seq", answer.alias("x"))))).getField("x"), "").alias("text"),
+        F.max_by(wrong, F.when(wrong.isNotNull(), at)).alias("wrong"),
+    )
+    joined = closes.join(folded, "stream_id", "left")
+    failed = F.when(F.col("reason").startswith("http_") | F.col("reason").isin("timeout", "proxy_error"), F.concat(F.lit("closed: "), F.col("reason")))
+    message = F.coalesce(failed, F.col("wrong"))
+    return joined.select("stream_id", F.when(message.isNotNull(), "error").otherwise("done").alias("status"), F.coalesce(message, "text", F.lit("")).alias("content"))

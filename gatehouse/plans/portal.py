@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
-from gatehouse.operators import access, corpus, directory, tokens
+from gatehouse.operators import access, corpus, directory, history, limits, tokens
 from gatehouse.plans.register import query
 from gatehouse.sources import tables as T
 from gatehouse.sources.tables import sql
@@ -63,24 +63,37 @@ def grants_with_names(spark, sf):
     return access.grants_with_names(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark)))
 
 
-@query(sql("SELECT resource_id, principal_type, principal_id FROM grants WHERE principal_type = 'user' AND principal_id NOT IN (SELECT id FROM users WHERE id % 5 <> 0)"))
-def grants_orphaned(spark, sf):
-    known = access.names(T.users(spark, sf).where("id % 5 <> 0"), T.departments(spark, sf), T.roles(spark))
-    return access.orphaned(T.grants(spark, sf), known)
-
-
 @query(sql("""SELECT g.resource_id, g.principal_type, g.principal_id FROM grants g LEFT JOIN users u ON g.principal_type = 'user' AND u.id = g.principal_id
   LEFT JOIN departments d ON g.principal_type = 'dept' AND d.id = g.principal_id LEFT JOIN roles r ON g.principal_type = 'role' AND r.id = g.principal_id WHERE u.id IS NULL AND d.id IS NULL AND r.id IS NULL"""))
-def grants_orphaned_all(spark, sf):
+def grants_orphaned(spark, sf):
     return access.orphaned(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark)))
 
 
-@query(sql("SELECT resource_id, principal_type, principal_id FROM grants WHERE NOT (principal_type = 'dept' AND principal_id = 103) UNION ALL SELECT id, 'dept', 103 FROM resources WHERE id < 20"))
-def grants_replaced(spark, sf):
-    resources = T.resources(spark, sf)
-    wanted = spark.range(0, 20).select(F.col("id").alias("resource_id"), F.lit("dept").alias("principal_type"), F.lit(103).cast("long").alias("principal_id"))
+_OLD = "SELECT resource_id, principal_type, principal_id, '%s' AS outcome FROM grants"
+_OTHERS = f"{_OLD % 'replaced'} WHERE NOT (principal_type = 'dept' AND principal_id = 103)"
+
+
+def _replaced(spark, sf, first: int, checked: bool):
+    wanted = spark.range(first, first + 9).select(F.col("id").alias("resource_id"), F.lit("dept").alias("principal_type"), F.lit(103).cast("long").alias("principal_id"))
     of = (F.col("principal_type") == "dept") & (F.col("principal_id") == 103)
-    return access.replaced(T.grants(spark, sf), of, wanted, resources)
+    return access.replaced(T.grants(spark, sf), of, wanted.unionByName(wanted), T.resources(spark, sf) if checked else None)
+
+
+@query(sql(f"{_OTHERS} UNION ALL SELECT id, 'dept', 103, 'replaced' FROM resources WHERE id BETWEEN 1 AND 9"))
+def grants_replaced(spark, sf):
+    return _replaced(spark, sf, 1, True)
+
+
+@query(sql(_OLD % "unknown: 8 from 1000000"))
+def grants_replace_rejected(spark, sf):
+    """Ids that don't exist abort the change."""
+    wanted = spark.range(999_993, 1_000_008).select(F.greatest(F.col("id"), F.lit(1_000_000)).alias("resource_id"), F.lit("dept").alias("principal_type"), F.lit(103).cast("long").alias("principal_id"))
+    return access.replaced(T.grants(spark, sf), (F.col("principal_type") == "dept") & (F.col("principal_id") == 103), wanted, T.resources(spark, sf))
+
+
+@query(sql(f"{_OTHERS} UNION ALL SELECT unnest(range(999999, 1000008)), 'dept', 103, 'replaced'"))
+def grants_replaced_unchecked(spark, sf):
+    return _replaced(spark, sf, 999_999, False)
 
 
 @query(sql("SELECT * FROM (SELECT id AS resource_id, 'role' AS principal_type, 1::BIGINT AS principal_id FROM resources) EXCEPT SELECT * FROM grants"))
@@ -137,25 +150,32 @@ def dept_move_subtree(spark, sf):
     return directory.moved(directory.with_paths(T.departments(spark, sf)), 2, 1)
 
 
+@query(sql("SELECT id, name, parent_id, path, o.outcome FROM departments, (SELECT unnest(['not_found', 'unknown_parent', 'self_parent']) AS outcome) o"))
+def dept_move_refused(spark, sf):
+    """Moves of an unknown department, below an unknown one, and below itself change nothing."""
+    paths = directory.with_paths(T.departments(spark, sf))
+    return directory.moved(paths, 99_999, 1).unionByName(directory.moved(paths, 1, 99_999)).unionByName(directory.moved(paths, 1, 1))
+
+
 @query(sql("SELECT id, name, parent_id, path, 'cycle' AS outcome FROM departments"))
 def dept_move_cycle(spark, sf):
     return directory.moved(directory.with_paths(T.departments(spark, sf)), 1, 100)
 
 
-@query(sql("SELECT id, CASE WHEN id IN (SELECT parent_id FROM departments WHERE parent_id IS NOT NULL) THEN 'has_children' WHEN id IN (SELECT dept_id FROM users WHERE id % 50 = 0) THEN 'has_users' ELSE 'ok' END AS outcome FROM departments"))
-def dept_delete_guard(spark, sf):
-    return directory.delete_guard(T.departments(spark, sf), T.users(spark, sf).where("id % 50 = 0"))
-
-
 @query(sql("SELECT id, CASE WHEN id IN (SELECT parent_id FROM departments WHERE parent_id IS NOT NULL) THEN 'has_children' WHEN id IN (SELECT dept_id FROM users WHERE dept_id IS NOT NULL) THEN 'has_users' ELSE 'ok' END AS outcome FROM departments"))
-def dept_delete_guard_all(spark, sf):
+def dept_delete_guard(spark, sf):
     return directory.delete_guard(T.departments(spark, sf), T.users(spark, sf))
 
 
-@query(sql("SELECT id, user_id, app_id, last_seq FROM talks WHERE NOT deleted ORDER BY last_seq DESC, id DESC LIMIT 20"))
+@query(sql("SELECT id, app_id, last_seq, 1 + (SELECT count(*) FROM talks o WHERE o.user_id = t.user_id AND NOT o.deleted AND (o.last_seq, o.id) > (t.last_seq, t.id)) AS place FROM talks t WHERE user_id = 3 AND NOT deleted ORDER BY place LIMIT 100"))
 def conversation_list(spark, sf):
-    live = T.conversations(spark, sf).where(~F.col("deleted"))
-    return live.orderBy(F.desc("last_seq"), F.desc("id")).limit(20).select("id", "user_id", "app_id", "last_seq")
+    """One user's own conversations, the latest first; 500 asked for are 100 at most."""
+    return history.own(T.conversations(spark, sf), 3, limit=500)
+
+
+@query(sql("SELECT id, app_id, last_seq, row_number() OVER (ORDER BY last_seq DESC, id DESC) AS place FROM talks WHERE user_id = 4 AND app_id = 4 AND NOT deleted ORDER BY place LIMIT 1"))
+def conversation_list_of_app(spark, sf):
+    return history.own(T.conversations(spark, sf), 4, app_id=4, limit=0)
 
 
 @query(sql("SELECT id, user_id, app_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, app_id ORDER BY last_seq DESC, id DESC) AS r FROM talks WHERE NOT deleted) WHERE r = 1"))
@@ -189,22 +209,14 @@ def conversation_transcript(spark, sf):
     return T.messages(spark, sf).groupBy("conversation_id").agg(body.alias("b")).select("conversation_id", F.concat(F.lit("# "), F.col("conversation_id").cast("string"), F.lit("\n"), F.col("b")).alias("markdown"))
 
 
-@query(sql("SELECT conversation_id, arg_max(content, seq) FILTER (WHERE role = 'user') AS retried FROM messages GROUP BY conversation_id"))
+@query(sql("SELECT conversation_id, arg_max(content, seq) FILTER (WHERE role = 'user') AS retried, count(*) FILTER (WHERE NOT (role = 'assistant' AND seq % 5 = 3)) AS kept FROM messages GROUP BY conversation_id HAVING retried IS NOT NULL"))
 def last_question(spark, sf):
-    asked = F.when(F.col("role") == "user", F.col("seq"))
-    return T.messages(spark, sf).groupBy("conversation_id").agg(F.max_by("content", asked).alias("retried"))
-
-
-@query(sql("SELECT a.id, u.name AS user_name, a.action, a.detail FROM audit a LEFT JOIN users u ON u.id = a.user_id AND u.id % 4 <> 0 ORDER BY a.id DESC LIMIT 50 OFFSET 50"))
-def audit_page(spark, sf):
-    known = T.users(spark, sf).where("id % 4 <> 0").select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
-    # The page first: the left join by primary key can't change it.
-    own = directory.page(T.audit(spark, sf).select("id", "user_id", "action", "detail"), [F.desc("id")], number=2, size=50)
-    return own.join(known, "user_id", "left").select("id", "user_name", "action", "detail")
+    """The question that a retry asks again, and how many messages stay once answers that failed are gone."""
+    return history.retried(T.messages(spark, sf).withColumn("failed", (F.col("role") == "assistant") & (F.col("seq") % 5 == 3)))
 
 
 @query(sql("SELECT a.id, u.name AS user_name, a.action, a.detail FROM audit a LEFT JOIN users u ON u.id = a.user_id ORDER BY a.id DESC LIMIT 50 OFFSET 50"))
-def audit_page_all(spark, sf):
+def audit_page(spark, sf):
     known = T.users(spark, sf).select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
     own = directory.page(T.audit(spark, sf).select("id", "user_id", "action", "detail"), [F.desc("id")], number=2, size=50)
     return own.join(known, "user_id", "left").select("id", "user_name", "action", "detail")
@@ -222,9 +234,12 @@ def audit_time_range_csv(spark, sf):
     return within.select("id", scalars.csv_guarded(F.concat(mark, F.col("action"))).alias("cell"))
 
 
-@query(sql("SELECT id, 'k=' || tokens AS label FROM audit"))
+@query(sql("""SELECT id, CASE id % 4 WHEN 0 THEN 'k=' || tokens || ' · user=' || user_id WHEN 1 THEN 'not json ' || id WHEN 2 THEN NULL ELSE 'k=' || tokens END AS label FROM audit"""))
 def audit_detail_label(spark, sf):
-    return T.audit(spark, sf).select("id", scalars.detail_label(F.col("detail")).alias("label"))
+    """Details with two entries, with one, that are no JSON, and none."""
+    k, who, kind = F.col("tokens").cast("string"), F.col("user_id").cast("string"), F.col("id") % 4
+    detail = F.when(kind == 0, F.concat(F.lit('{"k":'), k, F.lit(',"user":"'), who, F.lit('"}'))).when(kind == 1, F.concat(F.lit("not json "), F.col("id").cast("string"))).when(kind == 3, F.col("detail"))
+    return T.audit(spark, sf).select("id", scalars.detail_label(detail).alias("label"))
 
 
 @query(sql("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS active_users FROM audit GROUP BY day"))
@@ -261,10 +276,11 @@ def stats_feedback(spark, sf):
     return T.audit(spark, sf).groupBy("user_id").agg(F.count_if(F.col("tokens") % 2 == 0).alias("up"), F.count_if(F.col("tokens") % 2 == 1).alias("down"))
 
 
-@query(sql("SELECT user_id, time_bucket(INTERVAL 1 HOUR, created_at) AS hour, count(*) AS n FROM audit GROUP BY user_id, hour HAVING count(*) > 2"))
+@query(sql("""SELECT user_id, minute, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 1 MINUTE, created_at) AS minute, unnest(range(1 + 15 * (tokens % 6))) AS i FROM audit) GROUP BY user_id, minute HAVING count(*) > 60"""))
 def rate_limit_breaches(spark, sf):
-    own = T.audit(spark, sf).groupBy("user_id", F.window("created_at", "1 hour").alias("w")).agg(F.count("*").alias("n")).where("n > 2")
-    return own.select("user_id", F.col("w.start").alias("hour"), "n")
+    """Minutes in which a user made more than 60 requests; an audit row stands for up to 76 of them."""
+    asked = T.audit(spark, sf).select("user_id", "created_at", F.explode(F.sequence(F.lit(0).cast("long"), 15 * (F.col("tokens") % 6))))
+    return limits.breaches(asked, "created_at", "1 minute", 60).select("user_id", F.col("start").alias("minute"), "n")
 
 
 @query("SELECT source, count(*) AS n_documents, sum(n_chars)::BIGINT AS n_chars, min(doc_id) AS first_doc FROM documents GROUP BY source")
@@ -323,25 +339,13 @@ def tokens_revoked(spark, sf):
     return tokens.revoked_of(_tokens(spark, sf), who, F.expr(f"timestamp_ntz'{CLOCK}'")).select("id", "revoked_at")
 
 
-@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages WHERE NOT regexp_matches(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9._-]') AND length(regexp_extract(url, '[^/]*$')) BETWEEN 1 AND 120 AND NOT starts_with(regexp_extract(url, '[^/]*$'), '.')")
-def filename_sanitize(spark, sf):
-    last = F.substring_index("url", "/", -1)
-    plain = ~last.rlike(r"[^A-Za-z0-9._-]") & F.length(last).between(1, 120) & ~last.startswith(".")
-    return T.table(spark, sf, "pages").where(plain).select("page_id", scalars.safe_filename(F.col("url")).alias("name"))
-
-
 @query(r"""SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_extract(replace(url, '\', '/'), '[^/]*$'), '[^A-Za-z0-9._\x{4e00}-\x{9fff}-]', '_', 'g'), '^\.+', ''), 120), ''), 'file') AS name FROM pages""")
-def filename_sanitize_all(spark, sf):
+def filename_sanitize(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", scalars.safe_filename(F.col("url")).alias("name"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) END AS label FROM documents WHERE n_chars > 0 AND n_chars < 1048576")
-def size_label(spark, sf):
-    return T.table(spark, sf, "documents").where("n_chars > 0 and n_chars < 1048576").select("doc_id", scalars.size_label(F.col("n_chars")).alias("label"))
-
-
 @query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) <= 0 THEN '0 B' WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * 10 / 1048576.0 + 0.5) / 10) END AS label FROM documents")
-def size_label_all(spark, sf):
+def size_label(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", scalars.size_label(F.col("n_chars")).alias("label"))
 
 

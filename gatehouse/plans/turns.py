@@ -11,8 +11,14 @@ from gatehouse.sources import tables as T
 from gatehouse.sources.tables import sql
 from gatehouse.streaming import stateful
 
-_NAMED = """(SELECT *, coalesce(event, CASE WHEN json_valid(data) THEN data->>'$.event' END) AS name, CASE WHEN json_valid(data) THEN coalesce(nullif(data->>'$.reasoning_content', ''), nullif(data->>'$.thought', '')) END AS reasoning FROM frames)"""
-_EVENTS = f"""(SELECT stream_id, seq, 0 AS sub_seq, 'reasoning' AS event, '{{"reasoning":"' || reasoning || '"}}' AS data FROM {_NAMED} WHERE name IN ('message', 'agent_thought') AND reasoning IS NOT NULL
+def _text(path: str) -> str:
+    return f"CASE WHEN json_type(j, '{path}') = 'VARCHAR' THEN nullif(j->>'{path}', '') END"
+
+
+_TOP = f"coalesce({_text('$.reasoning_content')}, {_text('$.reasoning')}, {_text('$.thought')})"
+_NAMED = f"""(SELECT *, coalesce(event, j->>'$.event') AS name, coalesce(CASE WHEN coalesce(event, j->>'$.event') = 'agent_thought' THEN coalesce({_text('$.data.reasoning_content')}, {_text('$.data.reasoning')}, {_text('$.data.thought')}) END, {_TOP}) AS reasoning
+  FROM (SELECT *, CASE WHEN json_valid(data) THEN data::JSON END AS j FROM frames))"""
+_EVENTS = f"""(SELECT stream_id, seq, 0 AS sub_seq, 'reasoning' AS event, '{{"content":"' || reasoning || '"}}' AS data FROM {_NAMED} WHERE name IN ('message', 'agent_thought') AND reasoning IS NOT NULL
   UNION ALL SELECT stream_id, seq, 1, coalesce(name, 'message'), data FROM {_NAMED} WHERE name IS DISTINCT FROM 'agent_thought')"""
 
 
@@ -22,9 +28,9 @@ def event_translate(spark, sf):
 
 
 FOLD = f"""SELECT * FROM (SELECT stream_id, coalesce(string_agg(CASE WHEN event = 'message' THEN data->>'$.answer' END, '' ORDER BY seq, sub_seq), '') AS content,
-  coalesce(string_agg(CASE WHEN event = 'reasoning' THEN data->>'$.reasoning' END, '' ORDER BY seq, sub_seq), '') AS reasoning,
-  arg_max((data->>'$.metadata.usage.total_tokens')::BIGINT, seq) FILTER (WHERE event = 'message_end') AS total_tokens,
-  arg_min(data->>'$.conversation_id', seq) FILTER (WHERE event = 'message_end') AS upstream_id, max(CASE WHEN event = 'error' THEN 1 ELSE 0 END) AS failed
+  coalesce(string_agg(CASE WHEN event = 'reasoning' THEN data->>'$.content' END, '' ORDER BY seq, sub_seq), '') AS reasoning,
+  arg_max((data->>'$.metadata.usage.total_tokens')::BIGINT, seq) FILTER (WHERE event = 'message_end' AND json_type(data, '$.metadata.usage') = 'OBJECT') AS total_tokens,
+  arg_max(data->>'$.conversation_id', seq) FILTER (WHERE event <> 'reasoning' AND coalesce(data->>'$.conversation_id', '') <> '') AS upstream_id, max(CASE WHEN event = 'error' THEN 1 ELSE 0 END) AS failed
   FROM (SELECT * REPLACE (CASE WHEN json_valid(data) THEN data END AS data) FROM {_EVENTS}) GROUP BY stream_id) WHERE content <> ''"""
 
 
@@ -41,7 +47,7 @@ def event_fold_turns_streamed(spark, sf):
 
 @query(sql(f"SELECT stream_id, seq, reasoning FROM {_NAMED} WHERE reasoning IS NOT NULL"))
 def reasoning_extract(spark, sf):
-    found = T.frames(spark, sf).select("stream_id", "seq", turns.reasoning_of(F.col("data")).alias("reasoning"))
+    found = T.frames(spark, sf).select("stream_id", "seq", turns.thought_of(F.col("event"), F.col("data")).alias("reasoning"))
     return found.where("reasoning is not null")
 
 
@@ -60,37 +66,45 @@ def frame_split(spark, sf):
     return split.select("stream_id", F.floor(F.col("seq") / 3).alias("seq"), F.coalesce("event", F.lit("")).alias("event"), "data")
 
 
-@query(sql("""SELECT stream_id, seq, event, data FROM (SELECT id AS seq, user_id AS stream_id, CASE action WHEN 'view' THEN 'message' WHEN 'purchase' THEN 'message_end' WHEN 'error' THEN 'error' END AS event,
-  CASE action WHEN 'view' THEN '{"answer":"x' || id || '"}' WHEN 'purchase' THEN '{"metadata":{"usage":{"total":' || tokens || '}}}' ELSE '{"message":"see [url] now"}' END AS data FROM audit) WHERE event IS NOT NULL"""))
+@query(sql("""SELECT stream_id, seq, event, data FROM (SELECT id AS seq, user_id AS stream_id, CASE WHEN action = 'view' THEN 'message' WHEN action = 'purchase' OR (action = 'error' AND id % 3 > 0) THEN 'message_end' WHEN action = 'error' THEN 'error' END AS event,
+  CASE WHEN action = 'view' THEN '{"answer":"x' || id || '"}' WHEN action = 'purchase' THEN '{"metadata":{"usage":{"total":' || tokens || '}}}' WHEN id % 3 > 0 THEN '{"metadata":{"usage":{"total":0}}}' ELSE '{"message":"上游工作流执行失败: see [url] now"}' END AS data FROM audit) WHERE event IS NOT NULL"""))
 def workflow_translate(spark, sf):
+    """Chunks, runs that succeeded, failed, were stopped, and that end without a status or data."""
     n, action = F.col("id").cast("string"), F.col("action")
     data = (
         F.when(action == "view", F.concat(F.lit('{"event":"text_chunk","data":{"text":"x'), n, F.lit('"}}')))
         .when(action == "purchase", F.concat(F.lit('{"event":"workflow_finished","data":{"status":"succeeded","total_tokens":'), F.col("tokens").cast("string"), F.lit("}}")))
+        .when((action == "error") & (F.col("id") % 3 == 1), F.lit('{"event":"workflow_finished","data":{"status":"stopped"}}'))
+        .when((action == "error") & (F.col("id") % 3 == 2), F.lit('{"event":"workflow_finished"}'))
         .when(action == "error", F.lit('{"event":"workflow_finished","data":{"status":"failed","error":"see https://a.b/c?d now"}}'))
+        .when(action == "signup", F.lit("no JSON"))
         .otherwise(F.lit('{"event":"node_started"}'))
     )
     frames = T.audit(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("id").alias("seq"), F.lit(None).cast("string").alias("event"), data.alias("data"))
     return turns.translate_workflow(frames, scalars.redacted)
 
 
-@query("SELECT doc_id, left('see [url] ' || doc_id, 200) AS reason FROM documents")
-def error_redact(spark, sf):
-    text = F.concat(F.lit("  see https://host/path "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.repeat(F.lit("at frame "), 30))
-    return T.table(spark, sf, "documents").select("doc_id", scalars.redacted(text).alias("reason"))
-
-
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STRIP = f"'^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'"
 
 
-@query(rf"""SELECT doc_id, coalesce(nullif(left(CASE WHEN joined = '' THEN x ELSE joined END, 200), ''), 'workflow failed') AS reason FROM (
+@query(rf"""SELECT doc_id, regexp_replace(coalesce(nullif(left(CASE WHEN joined = '' THEN x ELSE joined END, 200), ''), 'workflow failed'), {_STRIP}) AS reason FROM (
   SELECT doc_id, x, array_to_string(list_filter(list_transform(list_filter(string_split_regex(x, '\r\n|\r|\n'), lambda s: length(s) <= 120), lambda s: regexp_replace(s, {_STRIP})), lambda s: s <> ''), ' ') AS joined FROM (
   SELECT doc_id, regexp_replace(regexp_replace(text, 'https?://[^{_SPACE}]+', '[url]', 'g'), {_STRIP}) AS x FROM documents))""")
-def error_redact_texts(spark, sf):
+def error_redact(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", scalars.redacted(F.col("text")).alias("reason"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY day, event_type")
 def stream_tumbling_counts(spark, sf):
     return stateful.tumbling(spark, sf)
+
+
+@query("SELECT s AS day, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS s, event_type FROM events) GROUP BY day, event_type")
+def stream_sliding_counts(spark, sf):
+    return stateful.sliding(spark, sf)
+
+
+@query("SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_click_purchases(spark, sf):
+    return stateful.joined(spark, sf)

@@ -1,8 +1,8 @@
-"""Structured Streaming twins: turns folded with state between micro-batches, and windowed counts."""
+"""Structured Streaming: turns folded with state between micro-batches, windowed counts, and a join of two streams."""
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -13,76 +13,125 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatehouse.operators import turns
 from gatehouse.sources import tables as T
+from gatehouse.sources.scratch import shared_dir
 
-OUT = "stream_id long, content string, reasoning string, total_tokens long, upstream_id string, failed int"
-STATE = "content string, reasoning string, total_tokens long, upstream_id string, failed int"
+OUT = "stream_id long, content string, reasoning string, total_tokens long, upstream_id string, failed int, status string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or tempfile.mkdtemp(prefix="gatehouse-")).rstrip("/")
+def fold_stream(events: DataFrame, late: str = "1 hour", silence: str = "1 hour") -> DataFrame:
+    """Translated events (stream_id, seq, sub_seq, event, data, at) folded by stream; each micro-batch sends the changed streams' rows, so a sink keeps a stream's last row.
 
-
-def fold_stream(events: DataFrame) -> DataFrame:
-    """Translated events (stream_id, seq, sub_seq, event, data) folded by stream; each micro-batch sends the changed streams' rows, so a sink keeps the last row a stream. Events of a stream arrive in order."""
+    Pieces of an answer may come in any order, within a micro-batch and across them: the state holds a
+    turn's pieces with their places. status is error once an error came, done after an end, and open
+    before; a stream from which nothing came for `silence` of event time is written once more, as
+    aborted if it was open, and its state goes. Events older than the watermark by `late` are dropped.
+    """
+    at = F.col("at").cast("timestamp")
     flat = events.select(
-        "stream_id", "seq", "sub_seq",
+        "stream_id", "seq", "sub_seq", at.alias("at"), F.unix_millis(at).alias("ms"),
         F.when(F.col("event") == "message", turns.text_of(F.col("data"), "$.answer")).alias("answer"),
-        F.when(F.col("event") == "reasoning", turns.text_of(F.col("data"), "$.reasoning")).alias("thought"),
-        F.when(F.col("event") == "message_end", turns.usage_total(F.col("data"))).alias("usage"),
-        F.get_json_object("data", "$.conversation_id").alias("upstream"),
-        (F.col("event") == "error").cast("int").alias("error"),
-    )
+        F.when(F.col("event") == "reasoning", turns.text_of(F.col("data"), "$.content")).alias("thought"),
+        turns.usage_of(F.col("event"), F.col("data")).alias("usage"),
+        turns.upstream_of(F.col("event"), F.col("data")).alias("upstream"),
+        (F.col("event") == "error").alias("error"), (F.col("event") == "message_end").alias("end"),
+    ).withWatermark("at", late)
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
+
+    def row(key: tuple, held: dict, gone: bool) -> pd.DataFrame:
+        pieces = [[t for *_, t in sorted(held[k])] for k in ("answer", "thought")]
+        last = [max(held[k])[-1] if held[k] else None for k in ("usage", "upstream")]
+        status = "error" if held["error"] else "done" if held["end"] else "aborted" if gone else "open"
+        return pd.DataFrame({"stream_id": [key[0]], "content": ["".join(pieces[0])], "reasoning": ["".join(pieces[1])], "total_tokens": pd.array([last[0]], "Int64"), "upstream_id": [last[1]], "failed": [int(held["error"])], "status": [status]})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        content, reasoning, total, upstream, failed = state.get if state.exists else ("", "", None, None, 0)
-        rows = pd.concat(list(batches)).sort_values(["seq", "sub_seq"])
-        content += "".join(rows["answer"].dropna())
-        reasoning += "".join(rows["thought"].dropna())
-        usage, ids = rows["usage"].dropna(), rows["upstream"].dropna()
-        total = int(usage.iloc[-1]) if len(usage) else total
-        upstream = upstream or (ids.iloc[0] if len(ids) else None)
-        failed = max(failed, int(rows["error"].fillna(0).max()))
-        state.update((content, reasoning, total, upstream, failed))
-        if content:
-            yield pd.DataFrame({"stream_id": [key[0]], "content": [content], "reasoning": [reasoning], "total_tokens": pd.array([total], "Int64"), "upstream_id": [upstream], "failed": [failed]})
-
-    return flat.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
+        held = json.loads(state.get[0]) if state.exists else {"answer": [], "thought": [], "usage": [], "upstream": [], "error": False, "end": False, "at": 0}
+        if state.hasTimedOut:
+            state.remove()
+            yield row(key, held, True)
+            return
+        fresh = 0
+        for rows in batches:
+            rows = rows[rows["ms"] >= state.getCurrentWatermarkMs()]
+            fresh += len(rows)
+            if not len(rows):
+                continue
+            for name in ("answer", "thought", "usage", "upstream"):
+                some = rows[rows[name].notna()]
+                held[name] += [[int(a), int(b), int(x) if name == "usage" else x] for a, b, x in zip(some["seq"], some["sub_seq"], some[name], strict=True)]
+            held["error"] |= bool(rows["error"].any())
+            held["end"] |= bool(rows["end"].any())
+            held["at"] = max(held["at"], int(rows["ms"].max()))
+        if not fresh:
+            return
+        for name in ("usage", "upstream"):
+            held[name] = [max(held[name])] if held[name] else []
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(held["at"], state.getCurrentWatermarkMs()) + wait)
+        yield row(key, held, False)
+
+    return flat.groupBy("stream_id").applyInPandasWithState(step, OUT, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def split(spark: SparkSession, rows: DataFrame, order: str, files: int) -> str:
+    """A folder with rows in so many files, by ranges of order: a stream's input where a table is one file."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, order).write.parquet(path)
+    return path
+
+
+def streamed(spark: SparkSession, folder: str, files_a_batch: int = 2) -> DataFrame:
+    """A folder's Parquet files as a stream, so many a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+
+
+def run(stream: DataFrame, mode: str) -> DataFrame:
+    """All rows that a stream sends until its input is used up, with batch, the micro-batch that sent them; they are written to the shared folder, a batch that runs again in its own place."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/sent-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/n{n}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{path}/*")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key that the last micro-batch sent."""
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{str(sf_dir).rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{path}*")
 
+def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames made of events, in several micro-batches, folded by stream."""
+    events = T.table(spark, sf_dir, "events")
+    frames = T.frames_of(streamed(spark, split(spark, events, "event_id", 6))).withColumn("at", F.col("ts"))
+    folded = fold_stream(turns.translate_chat(frames), late="100 days", silence="1000 days")
+    return latest(run(folded, "update"), ["stream_id"]).where("content <> ''").drop("status")
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
+def _counted(spark: SparkSession, sf_dir: str, width: str, slide: str | None) -> DataFrame:
+    events = streamed(spark, split(spark, T.table(spark, sf_dir, "events"), "ts", 6)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "100 days")
+    counted = events.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
+    rows = run(counted.select(F.col("window.start").alias("day"), "event_type", "n"), "update")
+    return latest(rows, ["day", "event_type"]).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
-def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames made of events, run through the stateful fold; each micro-batch is written on, and the longest row a stream is its last."""
 
-    class Streamed:
-        """Reads events as a stream where the batch views read a table."""
+def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a day and type, counted as a stream: each micro-batch sends the windows it changes, the last row of a window counts."""
+    return _counted(spark, sf_dir, "1 day", None)
 
-        class read:
-            parquet = staticmethod(lambda path: _events(spark, sf_dir))
 
-    folded = fold_stream(turns.translate_chat(T.frames(Streamed, sf_dir)))
-    path = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}"
-    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}x")  # noqa: E731  a batch that runs again takes its own place
-    folded.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    rows = spark.read.schema(f"{OUT}, batch long").parquet(f"{path}/*")
-    last = rows.groupBy("stream_id").agg(F.max_by(F.struct("content", "reasoning", "total_tokens", "upstream_id", "failed"), "batch").alias("x"))
-    return last.select("stream_id", "x.*")
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for windows of two days that begin every day."""
+    return _counted(spark, sf_dir, "2 days", "1 day")
 
 
-def tumbling(spark: SparkSession, sf_dir: str, width: str = "1 day") -> DataFrame:
-    """Events a window and type, counted as a stream to its end."""
-    counted = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
-    name = f"t{uuid.uuid4().hex}"
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams, clicks and purchases, joined by user and within six hours; both watermarks and the time bound let Spark forget what can't match any more."""
+    folder = split(spark, T.table(spark, sf_dir, "events"), "ts", 6)
+    ts = F.col("ts").cast("timestamp")
+    one = streamed(spark, folder).where("event_type = 'click'").select(F.col("user_id"), F.col("event_id").alias("click_id"), ts.alias("clicked")).withWatermark("clicked", "100 days")
+    two = streamed(spark, folder).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("purchase_id"), ts.alias("bought")).withWatermark("bought", "100 days")
+    met = one.join(two, F.expr("user_id = buyer and bought >= clicked and bought <= clicked + interval 6 hours"))
+    return run(met.select("user_id", "click_id", "purchase_id"), "append").drop("batch")

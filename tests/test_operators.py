@@ -39,8 +39,10 @@ def test_grants_change(spark):
     assert (after.count(), added.count()) == (4, 1)
     resources = spark.createDataFrame([(1, 1), (5, 1)], "id long, status int")
     of = (F.col("principal_type") == "user") & (F.col("principal_id") == 9)
-    got = access.replaced(grants, of, spark.createDataFrame([(5, "user", 9), (5, "user", 9), (77, "user", 9)], GRANT), resources)
-    assert sorted(map(tuple, got.collect())) == [(2, "dept", 5), (5, "user", 9)]
+    got = access.replaced(grants, of, spark.createDataFrame([(5, "user", 9), (5, "user", 9)], GRANT), resources)
+    assert sorted(map(tuple, got.collect())) == [(2, "dept", 5, "replaced"), (5, "user", 9, "replaced")]
+    refused = access.replaced(grants, of, spark.createDataFrame([(5, "user", 9), (77, "user", 9)], GRANT), resources)
+    assert sorted(map(tuple, refused.collect())) == [(1, "user", 9, "unknown: 1 from 77"), (2, "dept", 5, "unknown: 1 from 77"), (2, "user", 9, "unknown: 1 from 77")]
 
 
 def test_department_moves(spark):
@@ -50,6 +52,9 @@ def test_department_moves(spark):
     assert (after[3], after[4], after[1]) == ("/2/3/", "/2/3/4/", "/1/")
     assert {r.outcome for r in directory.moved(tree, 1, 4).collect()} == {"cycle"}
     assert {r.outcome for r in directory.moved(tree, 1, 99).collect()} == {"unknown_parent"}
+    assert {r.outcome for r in directory.moved(tree, 1, 1).collect()} == {"self_parent"}
+    for parent in (None, 2, 98):
+        assert {(r.id, r.path, r.outcome) for r in directory.moved(tree, 77, parent).collect()} == {(r.id, r.path, "not_found") for r in tree.collect()}
     assert {r.id: r.path for r in directory.moved(tree, 3, None).collect()}[4] == "/3/4/"
     assert sorted((r.id, r.ancestor_id) for r in directory.ancestors(tree).where("id = 4").collect()) == [(4, 1), (4, 3), (4, 4)]
 
@@ -81,7 +86,9 @@ def test_closing_events(spark):
         (scalars.safe_filename, "...", "file"),
         (scalars.safe_extension, "a.TXT", "txt"),
         (scalars.safe_extension, "noext", "bin"),
-        (scalars.mime_kind, "Image/PNG; q=1", "image"),
+        (scalars.mime_kind, "image/png", "image"),
+        (scalars.mime_kind, "text/csv", "generic"),
+        (scalars.mime_class, "Image/PNG; q=1", "image"),
         (scalars.stripped, "\u3000 a b\t", "a b"),
         (scalars.title, "😀" * 30, "😀" * 20),
         (scalars.csv_guarded, "=1+1", "'=1+1"),
@@ -124,9 +131,9 @@ def test_queries_over_all_users(spark):
     sf = "/root/testdata/sf0.001"
     users = T.users(spark, sf)
     ids, depts = {r.id for r in users.select("id").collect()}, {r.dept_id for r in users.select("dept_id").collect()}
-    assert not [r for r in QUERIES["grants_orphaned_all"](spark, sf).where("principal_type = 'user'").collect() if r.principal_id in ids]
-    assert not [r for r in QUERIES["dept_delete_guard_all"](spark, sf).where("outcome = 'ok'").collect() if r.id in depts]
-    page = QUERIES["audit_page_all"](spark, sf).join(T.audit(spark, sf).select("id", "user_id"), "id").collect()
+    assert not [r for r in QUERIES["grants_orphaned"](spark, sf).where("principal_type = 'user'").collect() if r.principal_id in ids]
+    assert not [r for r in QUERIES["dept_delete_guard"](spark, sf).where("outcome = 'ok'").collect() if r.id in depts]
+    page = QUERIES["audit_page"](spark, sf).join(T.audit(spark, sf).select("id", "user_id"), "id").collect()
     assert page and all((r.user_name is not None) == (r.user_id in ids) for r in page)
 
 
@@ -137,9 +144,9 @@ def test_names_labels_and_reasons_of_all_rows(spark, tmp_path):
     docs = [(1, None, None), (2, "", 0), (3, "see https://a/b?c now\r\n\u3000x \n\n" + "y" * 121, 1536), (4, "z" * 300, 3 << 20), (5, " \u2003 ", 1048576), (6, "ab\rc", 1023)]
     spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = {
-        "filename_sanitize_all": {1: "b_c_q_1_x", 2: "hidden", 3: "a" * 120, 4: "file", 5: "报告.pdf", 6: "file", 7: "c.txt"},
-        "size_label_all": {1: "0 B", 2: "0 B", 3: "1.5 KB", 4: "3.0 MB", 5: "1.0 MB", 6: "1023 B"},
-        "error_redact_texts": {1: "workflow failed", 2: "workflow failed", 3: "see [url] now x", 4: "z" * 200, 5: "workflow failed", 6: "ab c"},
+        "filename_sanitize": {1: "b_c_q_1_x", 2: "hidden", 3: "a" * 120, 4: "file", 5: "报告.pdf", 6: "file", 7: "c.txt"},
+        "size_label": {1: "0 B", 2: "0 B", 3: "1.5 KB", 4: "3.0 MB", 5: "1.0 MB", 6: "1023 B"},
+        "error_redact": {1: "workflow failed", 2: "workflow failed", 3: "see [url] now x", 4: "z" * 200, 5: "workflow failed", 6: "ab c"},
     }
     db = duckdb.connect()
     for name in ("pages", "documents"):
