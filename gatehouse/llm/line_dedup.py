@@ -11,25 +11,23 @@ from gatehouse.llm import common
 
 #: Edits (insertions, deletions, substitutions of a code point) within which two lines are copies.
 EDITS = 1
-#: Lines with fewer code points than this always stay.
+#: Lines with fewer code points than this always stay, where the caller names no other length.
 MIN_CHARS = 16
 #: Lines in a bucket from which its pairs aren't compared but its lines are cut into finer windows.
 CROWD = 32
 #: Windows into which a crowded bucket's window is cut.
 FINER = 16
 
-_KEYED = "h1 long, n long, probe boolean, b long, e long, key long"
-
 
 def _key(line: Column, n: Column, b: Column, e: Column) -> Column:
     """Hash of what a line has outside the window [b, e) of an indexed line with n code points: the part before it and the part after it, the latter counted from the line's end."""
     return F.xxhash64(n, b, e, F.substring(line, F.lit(1), b.cast("int")), F.right(line, (n - e).cast("int")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, mark, at, line, n, h1, h2) of the lines that are long enough; mark tells rows of one doc_id apart."""
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = split.withColumn("n", F.length("line").cast("long")).where(F.col("n") >= MIN_CHARS)
+    lines = split.withColumn("n", F.length("line").cast("long")).where(F.col("n") >= min_chars)
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
@@ -68,9 +66,9 @@ def _useful(posts: DataFrame) -> DataFrame:
     return posts.join(sizes, "key")
 
 
-def _pairs(posts: DataFrame) -> DataFrame:
+def _pairs(posts: DataFrame, crowd: int) -> DataFrame:
     """Distinct pairs of lines in buckets that aren't crowded."""
-    few = posts.where(F.col("size") <= CROWD)
+    few = posts.where(F.col("size") <= crowd)
     x, y = few.where("not probe").alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.probe") | (F.col("x.h1") < F.col("y.h1"))) & (F.col("x.h1") != F.col("y.h1")))
     return met.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
@@ -85,85 +83,112 @@ def _finer(crowded: DataFrame, texts: DataFrame) -> DataFrame:
     return cut.join(texts, "h1").select("h1", "n", "probe", "b", "e", _key(F.col("line"), F.col("n"), F.col("b"), F.col("e")).alias("key"))
 
 
-def _narrow(posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links in crowded buckets whose window is one code point: no pair of them is compared.
+def _narrow(posts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and pairs of crowded buckets whose window is one code point; no pair of lines is compared there.
 
-    Indexed lines differ there alone, so each links with the smallest; a probe has two code points
-    there and links with the indexed line, at most one each, that has either.
+    Indexed lines that are alike outside it, which is looked up in the texts, differ there alone, so all
+    of them are within one edit of each other: one group (g, h1). A probe has two code points there and
+    may link with the indexed lines, at most one each, that have either: pairs (a, b) still to be verified.
     """
-    held = posts.join(texts, "h1").select("h1", "key", "probe", F.substring("line", (F.col("b") + 1).cast("int"), F.when(F.col("probe"), 2).otherwise(1)).alias("own"))
-    indexed = held.where("not probe")
-    least = indexed.groupBy("key").agg(F.min("h1").alias("b"))
-    same = indexed.join(least, "key").where("h1 <> b").select(F.col("h1").alias("a"), "b")
+    held = posts.join(texts, "h1").select("h1", "key", "probe", "line", F.col("b").cast("int").alias("b"), F.substring("line", (F.col("b") + 1).cast("int"), F.when(F.col("probe"), 2).otherwise(1)).alias("own"))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("b")), F.expr("substring(line, b + 2)"))
+    indexed = held.where("not probe").withColumn("rest", rest)
+    first = indexed.groupBy("key").agg(F.min_by("rest", "h1").alias("first"))
+    groups = indexed.join(first, "key").where("rest = first").select(F.col("key").alias("g"), "h1")
     either = held.where("probe").select("key", F.col("h1").alias("a"), F.explode(F.array_distinct(F.array(F.substring("own", 1, 1), F.substring("own", 2, 1)))).alias("own"))
-    inserted = either.join(indexed.select("key", "own", F.col("h1").alias("b")), ["key", "own"]).select("a", "b")
-    return same.unionByName(inserted)
+    return groups, either.join(indexed.select("key", "own", F.col("h1").alias("b")), ["key", "own"]).select("a", "b")
 
 
-def line_links(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the hashes of different lines within one edit of each other; every such pair is linked or connected through others.
+def line_links(lines: DataFrame, distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Groups (g, h1) of the hashes of different lines: all lines of a group are within one edit of each other, and any two lines within one edit share a group.
 
-    Buckets of few lines are compared pair by pair with the banded edit distance. A crowded bucket's
-    lines are alike outside its window, so they are keyed again by narrower windows within it, and so
-    on, until the buckets are small or the window is one code point; so a bucket costs a few rows a
-    line and no square of its size.
+    Buckets of up to `crowd` lines are compared pair by pair with the banded edit distance; a pair is a
+    group of two. A larger bucket's lines are alike outside its window, so they are keyed again by
+    narrower windows within it, and so on, until the buckets are small or the window is one code point;
+    so a bucket costs a few rows a line and no square of its size.
     """
     posts = common.checkpoint(_useful(_posted(distinct)))
     wanted = common.checkpoint(posts.select("h1").distinct())
     own = lines.select("h1", "line").join(F.broadcast(wanted) if wanted.count() <= common.BROADCAST_IDS else wanted, "h1")
     texts = common.written(own.dropDuplicates(["h1"]), "line-texts")
-    pairs, narrow = [], []
+    pairs, groups = [], []
     while True:
-        pairs.append(_pairs(posts))
-        crowded = posts.where((F.col("size") > CROWD) & (F.col("e") - F.col("b") > 1))
-        narrow.append(_narrow(posts.where((F.col("size") > CROWD) & (F.col("e") - F.col("b") <= 1)), texts))
+        pairs.append(_pairs(posts, crowd))
+        alike, either = _narrow(posts.where((F.col("size") > crowd) & (F.col("e") - F.col("b") <= 1)), texts)
+        groups.append(alike)
+        pairs.append(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        crowded = posts.where((F.col("size") > crowd) & (F.col("e") - F.col("b") > 1))
         if crowded.isEmpty():
             break
         posts = common.checkpoint(_useful(_finer(crowded, texts)))
     met = reduce(DataFrame.unionByName, pairs).distinct()
     x, y = texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), texts.select(F.col("h1").alias("b"), F.col("line").alias("y"))
-    near = met.join(x, "a").join(y, "b").where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b")
-    return reduce(DataFrame.unionByName, narrow, near)
+    near = met.join(x, "a").join(y, "b").where(F.levenshtein("x", "y", EDITS) >= 0)
+    two = near.select(F.xxhash64(F.lit(11), "a", "b").alias("g"), F.explode(F.array("a", "b")).alias("h1"))
+    return reduce(DataFrame.unionByName, groups, two)
+
 
+def dropped(groups: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1) of the lines that go: each is within one edit of a line that stays, and no two that stay are within one edit.
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+    The commonest line goes first, ties by hash. In each round the lines that come first in all their
+    groups stay, the others of those groups go, and both leave the groups; by the hash a chain of lines
+    falls into short pieces, so rounds are few, and each is a few joins over what is left.
+    """
+    ranked = groups.join(distinct.select("h1", F.struct((-F.col("c")).alias("c"), "h1").alias("rank")), "h1")
+    left = common.checkpoint(ranked.select("g", "h1", "rank").distinct())
+    gone = []
+    while not left.isEmpty():
+        first = left.groupBy("g").agg(F.min("rank").alias("first"))
+        told = left.join(first, "g").withColumn("leads", F.col("rank") == F.col("first"))
+        stay = common.checkpoint(told.groupBy("h1").agg(F.bool_and("leads").alias("stays")).where("stays").select("h1"))
+        hit = left.join(stay, "h1", "left_semi").select("g").distinct()
+        out = common.checkpoint(left.join(hit, "g", "left_semi").select("h1").distinct().join(stay, "h1", "left_anti"))
+        gone.append(out)
+        left = common.checkpoint(left.join(out.unionByName(stay), "h1", "left_anti"))
+    return reduce(DataFrame.unionByName, gone) if gone else groups.select("h1").limit(0)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """docs with their text's repeated lines left out, and n_lines and n_dropped.
 
-    Lines (between newlines) of MIN_CHARS code points or more that are equal or connected by edits of
-    one code point are copies; of each such group the occurrence with the smallest doc_id, and in it the
-    first line, stays, all others go, in the same document too. Shorter lines stay. What stays is joined
-    by newlines in order; n_chars, where docs has it, follows the new text.
+    Lines (between newlines) of min_chars code points or more are looked at; shorter ones stay. Of equal
+    lines the occurrence with the smallest doc_id, and in it the first, stays, all others go, in the same
+    document too. A line goes altogether if it is within one edit of a code point of a line that stays;
+    of two such lines the commoner stays, of equally common ones the one with the smaller hash (dropped).
+    Lines that are connected through others only stay. What stays is joined by newlines in order;
+    n_chars, where docs has it, follows the new text.
 
-    Lines are first counted by hash, map-side, so copies of a line are one row from then on; edits are
-    searched among distinct lines (line_links). Only the texts of lines in shared buckets travel, and
-    each document once, to meet the places of its dropped lines.
+    Lines are first counted by two 64-bit hashes, map-side, so copies of a line are one row from then on;
+    edits are searched among distinct lines (line_links), which one of the hashes names. Only the texts
+    of lines in shared buckets travel, and each document once, to meet the places of its dropped lines.
 
     Null text stays null and has no line; empty text has one line and stays. Of rows that share a
     doc_id each counts as a document of its own, and a line at one place in several of them stays in
-    each. Null doc_ids come first. An empty table gives no rows. Other columns are kept; n_lines and
-    n_dropped replace columns of the same names.
+    each. Null doc_ids come first. An empty table gives no rows. Other columns are kept, whatever their
+    names; n_lines and n_dropped replace columns of the same names.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lines = _lines(docs)
+    lines = _lines(docs, min_chars)
     distinct = common.checkpoint(_distinct(lines))
-    found = common.components(line_links(lines, distinct)).select(F.col("id").alias("h1"), "component")
-    grouped = distinct.join(found, "h1", "inner").select("h1", "h2", "component", "place")
-    keepers = grouped.groupBy("component").agg(F.min("place").alias("keep"))
-    near = grouped.join(keepers, "component").select("h1", "h2", "keep")
-    often = distinct.where("c > 1").join(found, "h1", "left_anti").select("h1", "h2", F.col("place").alias("keep"))
-    copies = common.checkpoint(near.unionByName(often))
+    near = dropped(line_links(lines, distinct, crowd), distinct).withColumn("all", F.lit(True))
+    often = distinct.where("c > 1")
+    copies = often.join(near, "h1", "left_anti").select("h1", "h2", F.col("place").alias("keep")).unionByName(distinct.join(near, "h1").select("h1", "h2", F.lit(None).cast("decimal(38,0)").alias("keep")))
+    copies = common.checkpoint(copies)
     occurring = lines.select("doc_id", "mark", "at", "h1", "h2")
     met = occurring.join(F.broadcast(copies) if copies.count() <= common.BROADCAST_IDS // 2 else copies, ["h1", "h2"])
-    gone = met.where(_place() != F.col("keep")).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "_gone")
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_mark")), "left")
-    split = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone")), lambda i: F.element_at(split, i + 1))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else c for c in docs.columns]
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped")]
-    out = joined.select(*columns, *counts)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    gone = met.where(F.col("keep").isNull() | (_place() != F.col("keep"))).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    split = F.split("row.text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda i: F.element_at(split, i + 1))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    new = joined.withColumn("text", text)
+    values = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    columns = [values.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    counts = [F.when(F.col("row.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")]
+    return new.select(*columns, *counts)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Slices of a source by hash; only the one in which its fraction ends is put in order.
 SLICES = 4096
+#: Sources up to which their targets are broadcast; beyond, a plain join takes over.
+SOURCES = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -46,27 +48,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     The size is the number of words; null or empty text has size 0 and is taken as often as its
     source's whole epochs. A source without words has target 0. Null is a source of its own.
-    Repeated rows count as documents of their own. Added columns replace columns of the same names.
+    Repeated rows and null ids count as documents of their own; an empty table gives no rows. Other
+    columns are kept, whatever their names; added columns replace columns of the same names.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "times")]
-    sized = docs.select(*kept).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))).withColumn("_slice", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(slices)).cast("int"))
-    sliced = common.checkpoint(sized.groupBy("source", "_slice").agg(F.sum("size").alias("_words")))
-    wanted = targets(sliced.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most)
-    wanted = wanted.withColumn("_epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    wanted = wanted.withColumn("_whole", F.floor("_epochs")).withColumn("_part", (F.col("_epochs") - F.col("_whole")) * F.col("source_size"))
-    before = F.sum("_words").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_words")
-    ends = sliced.withColumn("_before", before).alias("s").join(wanted.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")))
-    over = F.when(F.col("_before") + F.col("_words") > F.col("_part"), F.struct("_slice", "_before"))
-    ends = ends.groupBy(F.col("w.source").alias("_source"), "source_size", "target", "_whole", "_part").agg(F.min(over).alias("_end"))
-    joined = sized.join(ends, sized["source"].eqNullSafe(ends["_source"]))
-    at = F.coalesce(F.col("_end._slice"), F.lit(-1))
-    outside = joined.where(F.col("_slice") != at).withColumn("_more", (F.col("_slice") < at).cast("int"))
-    edge = Window.partitionBy("_source").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = joined.where(F.col("_slice") == at).withColumn("_upto", F.col("_end._before") + F.sum("size").over(edge))
-    inside = inside.withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_part")).cast("int")).drop("_upto")
+    sized = docs.select(F.struct(*kept).alias("row"), "source", F.col("doc_id").alias("id"), F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
+    sized = sized.withColumn("slice", F.pmod(F.shiftrightunsigned("h", 40), F.lit(slices)).cast("int"))
+    sliced = common.checkpoint(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+    wanted = targets(sliced.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    wanted = wanted.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    wanted = wanted.withColumn("whole", F.floor("epochs")).withColumn("part", (F.col("epochs") - F.col("whole")) * F.col("source_size"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
+    ends = sliced.withColumn("before", before).alias("s").join(wanted.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")))
+    over = F.when(F.col("before") + F.col("words") > F.col("part"), F.struct("slice", "before"))
+    ends = common.checkpoint(ends.groupBy(F.col("w.source").alias("of"), "source_size", "target", "whole", "part").agg(F.min(over).alias("end")))
+    # A row a source; texts needn't be shuffled to meet so few.
+    joined = sized.join(F.broadcast(ends) if ends.count() <= SOURCES else ends, F.col("source").eqNullSafe(F.col("of")))
+    at = F.coalesce(F.col("end.slice"), F.lit(-1))
+    outside = joined.where(F.col("slice") != at).withColumn("more", (F.col("slice") < at).cast("int"))
+    edge = Window.partitionBy("of").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = joined.where(F.col("slice") == at).withColumn("upto", F.col("end.before") + F.sum("size").over(edge))
+    inside = inside.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("part")).cast("int")).drop("upto")
     both = outside.unionByName(inside)
-    return both.withColumn("times", F.col("_whole") + F.when(F.col("size") > 0, F.col("_more")).otherwise(0)).select(*kept, "size", "source_size", "target", "times")
+    return both.select("row.*", "size", "source_size", "target", (F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0)).alias("times"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
