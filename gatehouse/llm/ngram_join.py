@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 from gatehouse.llm import common
 
 #: Counters of the shingle frequencies (a power of two of them) and how many travel in a row.
-SKETCH_BITS, SKETCH_ROW = 20, 1 << 12
+SKETCH_BITS, SKETCH_ROW = 23, 1 << 16
+#: Steps of a doubling in which frequencies are told apart.
+STEPS = 8
 #: Share of the used counters below which a shingle is rare; of the others, the frequent ones, only combinations of two are indexed.
 RARE = 0.999
 #: Bits of the parity sketch of a shingle set, 64 a word, at least; larger sets have as many bits as shingles or more, in powers of two.
 PARITY = 512
 #: Sizes within such a factor have one leader in a bucket.
 BAND = 1.05
+#: Zones of sizes in the span within which two sizes can link.
+ZONES = 3
 
 
 def _need(of: int, size: np.ndarray | int, per: int):
@@ -27,25 +32,36 @@ def _need(of: int, size: np.ndarray | int, per: int):
     return -((-of * size) // per)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in one byte each where they fit, else in eight, compressed: most are small or zero."""
+    return zlib.compress(counts.astype("<u1" if counts.max() < 256 else "<u8").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, "<u1" if len(raw) <= SKETCH_ROW else "<u8").astype(np.uint64)
+
+
 def _sketch(size: int, bits: int):
+    row = min(SKETCH_ROW, 1 << bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         shift = np.uint64(64 - bits)
         for batch in batches:
             raw, start, end = common.texts_of(batch.column("text"))
             held, n = [], 0
-            for a, b in zip(start.tolist(), end.tolist(), strict=True):
+            for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
                 held.append((common.shingles(raw[a:b], size) >> shift).astype(np.int64))
                 n += len(held[-1])
-                if n > 1 << bits:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+                if n > 1 << 20 or k + 1 == len(start):
+                    at, seen = np.unique(np.concatenate(held), return_counts=True)
+                    counts[at] += seen.astype(np.uint32)
                     held, n = [], 0
-            if n:
-                counts += np.bincount(np.concatenate(held), minlength=1 << bits)
-        for k in range(0, 1 << bits, SKETCH_ROW):
-            part = counts[k : k + SKETCH_ROW]
+        for k in range(0, 1 << bits, row):
+            part = counts[k : k + row]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k // SKETCH_ROW], pa.int32()), "counts": pa.array([part.astype("<u8").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k // row], pa.int32()), "counts": pa.array([_packed(part)], pa.binary())})
 
     return count
 
@@ -54,30 +70,36 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(counts, "<u8")
+            own = _unpacked(counts)
             sums[part] = sums[part] + own if part in sums else own
     if sums:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([_packed(x) for x in sums.values()], pa.binary())})
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Frequencies on a logarithmic scale of a byte: none is 0, one is 1, and STEPS more are a doubling."""
+    return np.where(counts > 0, np.minimum(255, 1 + np.log2(np.maximum(counts, 1).astype(np.float64)) * STEPS + 1e-9), 0).astype(np.uint8)
 
 
 def frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counters of all shingles of all documents by hash: 2 ** bits of them, whatever the corpus.
+    """The levels of counters of all shingles of all documents by hash: 2 ** bits of them, whatever the corpus.
 
     Each task counts into one array and sends it on in rows, which are added up as they come. The
     counters only order the shingles and tell frequent ones; no link depends on their exactness.
     """
     parts = docs.select("text").mapInArrow(_sketch(size, bits), "part int, counts binary")
     sums = parts.repartition("part").mapInArrow(_sum_parts, "part int, counts binary")
-    out = np.zeros(1 << bits, np.uint64)
-    for row in sums.collect():
-        out[row["part"] * SKETCH_ROW : (row["part"] + 1) * SKETCH_ROW] = np.frombuffer(row["counts"], "<u8")
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    row = min(SKETCH_ROW, 1 << bits)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in sums.collect():  # as many bytes as counters, at most eight times
+        out[r["part"] * row : (r["part"] + 1) * row] = levels(_unpacked(r["counts"]))
+    return out
 
 
-def frequent_from(counts: np.ndarray, rare: float = RARE) -> int:
-    """The counter from which a shingle is frequent: a quantile of the counters that count anything, so that it goes with the size of the corpus, and 2 at least."""
-    used = counts[counts > 0]
-    return max(2, int(np.quantile(used, rare))) if len(used) else 2
+def frequent_from(often: np.ndarray, rare: float = RARE) -> int:
+    """The level from which a shingle is frequent: a quantile of the counters in use, so that it goes with the size of the corpus, and that of two at least."""
+    used = often[often > 0]
+    return max(1 + STEPS, int(np.quantile(used, rare))) if len(used) else 1 + STEPS
 
 
 def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int, frequent: int) -> np.ndarray:
@@ -196,14 +218,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     """(doc_id, n_shingles, component_id): documents whose sets of `size`-word shingles have a Jaccard likeness of percent / 100 or more are linked.
 
     1. Counters give every shingle a frequency, rare ones come first (frequencies); frequent ones are
-       those from the counter `frequent` on, where it isn't given from a quantile of the counters on.
+       those in `frequent` documents or more, where it isn't given from a quantile of the counters on.
     2. Documents with equal sets become one representative, the smallest doc_id.
-    3. Representatives meet in the buckets of their prefix keys (prefix_keys). Each is compared with
+    3. Representatives meet in the buckets of their prefix keys (prefix_keys), as far as a bucket has
+       another one of a size that can link. Each is compared with
        one leader: of the leaders of its buckets and size bands (the member with most shared
        buckets), the one it meets most often; leaders of neighbouring bands are compared as well.
        Links are contracted to components, so a large group of near copies costs a pair a member.
     4. In buckets that still hold several components, pairs of different components are compared,
-       each once, dealt by bucket and size band. No pair that could join two components is left out,
+       each once. No pair that could join two components is left out,
        so components are exact.
 
     Texts are compared only for pairs whose sizes and parity sketches leave a link possible: a bit or
@@ -220,7 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = frequencies(plain, size, bits)
-    frequent = frequent_from(counts) if frequent is None else frequent
+    frequent = frequent_from(counts) if frequent is None else int(levels(np.array([frequent]))[0])
     index = plain.mapInArrow(_indexer(size, percent, frequent, spark.sparkContext.broadcast(counts)), "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
     indexed = common.written(index.withColumn("row", F.monotonically_increasing_id()), "ngram-index")
     named = indexed.where("doc_id is not null and n > 0")
@@ -230,9 +253,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     reps = indexed.join(F.broadcast(only) if only.count() <= common.BROADCAST_IDS else only, "row", "left_semi").withColumnRenamed("doc_id", "rep")
     members = named.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
+    zone = (100 / percent * 1.001) ** (1 / ZONES)
     posted = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    posts, posts_at = common.placed(posted.join(shared, "key"), "ngram-posts")
+    # Only a shingle that another document of a size that can link has too brings documents together.
+    posted = posted.withColumn("zone", _band(F.col("n"), zone))
+    near_by = Window.partitionBy("key").orderBy("zone").rangeBetween(-ZONES - 1, ZONES + 1)
+    shared = posted.groupBy("key", "zone").agg(F.count("*").alias("c")).withColumn("c", F.sum("c").over(near_by)).where("c > 1").select("key", "zone")
+    posts, posts_at = common.placed(posted.join(shared, ["key", "zone"]), "ngram-posts")
     central = posts.groupBy("rep").agg(F.count("*").cast("int").alias("met"))
     ranked = posts.join(central, "rep").withColumn("band", _band(F.col("n"), BAND))
     leaders = ranked.groupBy("key", "band").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "n")).alias("x"))
@@ -248,14 +275,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     near = _verified(pairs, plain, size, percent)
 
     so_far = common.components(near)
-    grouped = posts.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = grouped.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    # Sizes that can link are in one band of this width or in two that follow each other.
-    wide = _band(F.col("n"), 100 / percent * 1.001)
-    left, left_at = common.placed(grouped.join(mixed, "key").join(facts, "rep").withColumn("band", wide), "ngram-mixed")
-    x, y = left.alias("x"), left.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
-    once = (F.col("y.own") != F.col("x.band")) | (F.col("x.rep") < F.col("y.rep"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & once & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", percent))
+    grouped = posts.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").select("key", "zone", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = grouped.groupBy("key", "zone").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = mixed.select("key", "zone", F.min("low").over(near_by).alias("low"), F.max("high").over(near_by).alias("high")).where("low < high").select("key", "zone")
+    left, left_at = common.placed(grouped.join(mixed, ["key", "zone"]).join(facts, "rep"), "ngram-mixed")
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", percent))
     met = common.checkpoint(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     rest = _verified(met, plain, size, percent)
     common.cleared(spark, posts_at, left_at)

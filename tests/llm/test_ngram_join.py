@@ -100,12 +100,12 @@ def test_combinations_are_used_with_default_parameters(spark):
     counts = ngram_join.frequencies(docs.select("text"), 3)
     frequent = ngram_join.frequent_from(counts, 0.99)
     tokens = common.shingles(np.frombuffer(rows[0][1].encode(), np.uint8), 3)
-    often = counts[(tokens >> np.uint64(44)).astype(np.int64)]
+    often = counts[(tokens >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((tokens.view(np.int64), often))
     keys = ngram_join.prefix_keys(tokens[order], often[order], 90, frequent)
     singles, pairs = np.isin(keys, tokens).sum(), (~np.isin(keys, tokens)).sum()
     assert pairs > 0 and singles < len(tokens) // 10 + 1
-    got = ngram_join.near_duplicates(docs, 3, 90, frequent).collect()
+    got = ngram_join.near_duplicates(docs, 3, 90, 2 ** ((frequent - 1) // ngram_join.STEPS)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 90)
 
 
