@@ -44,6 +44,26 @@ def decode(levels: list[bytes], marks: list[bytes]) -> np.ndarray:
     return ids
 
 
+def rank(marks: bytes, ranks: bytes, i: int) -> int:
+    """Set bits before place i: the directory's entry, and those of its block before i."""
+    block = min(i // BLOCK, len(ranks) // 4 - 1)
+    low = int.from_bytes(marks[block * BLOCK // 8 : -(-i // 8)], "little") & ((1 << (i - block * BLOCK)) - 1)
+    return int.from_bytes(ranks[4 * block : 4 * block + 4], "little") + low.bit_count()
+
+
+def span(levels: list[bytes], marks: list[bytes], ranks: list[bytes], a: int, b: int) -> np.ndarray:
+    """The ids at places a to b, without decoding what lies before: those that go on to the next level lie there side by side, from the rank of a to the rank of b."""
+    ids, at = np.frombuffer(levels[0], np.uint8)[a:b].astype(np.uint32), np.arange(b - a)
+    for k in range(1, len(levels)):
+        bits = np.unpackbits(np.frombuffer(marks[k - 1], np.uint8)[a // 8 : -(-b // 8)], bitorder="little")
+        at = at[np.flatnonzero(bits[a % 8 : a % 8 + b - a])]
+        if not len(at):
+            break
+        a, b = rank(marks[k - 1], ranks[k - 1], a), rank(marks[k - 1], ranks[k - 1], b)
+        ids[at] |= np.frombuffer(levels[k], np.uint8)[a:b].astype(np.uint32) << np.uint32(WIDTH * k)
+    return ids
+
+
 def token(levels: list[bytes], marks: list[bytes], ranks: list[bytes], i: int) -> int:
     """The id at place i, read without decoding a block: a byte a level, and a rank from the directory and at most BLOCK bits."""
     out = 0
@@ -51,9 +71,7 @@ def token(levels: list[bytes], marks: list[bytes], ranks: list[bytes], i: int) -
         out |= levels[k][i] << (WIDTH * k)
         if not marks[k][i // 8] >> (i % 8) & 1:
             break
-        block = i // BLOCK
-        low = int.from_bytes(marks[k][block * BLOCK // 8 : i // 8 + 1], "little") & ((1 << (i - block * BLOCK)) - 1)
-        i = int.from_bytes(ranks[k][4 * block : 4 * block + 4], "little") + low.bit_count()
+        i = rank(marks[k], ranks[k], i)
     return out
 
 
@@ -112,17 +130,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = decode(row["levels"], row["marks"]).astype("<u4")
+            codes = row["levels"], row["marks"], row["ranks"]
             n = len(row["ends"])
             starts = [0, *row["ends"][:-1]]
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, row["ends"], strict=True)]
+            crc = [zlib.crc32(span(*codes, a, b).astype("<u4").tobytes()) for a, b in zip(starts, row["ends"], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "pid": pa.array([row["pid"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "within": pa.array(starts, pa.int64()), "n_tokens": pa.array(np.diff([0, *row["ends"]]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold of each document: (doc_id, start, n_tokens, ids_crc32).
 
-    Starts are running sums of segment sizes within a file, and of file totals; only the latter, one
+    Each document's ids are read at their place through the rank directories (span). Starts are running
+    sums of segment sizes within a file, and of file totals; only the latter, one
     row a file, meet in one task.
     """
     files = spark.read.schema(_SCHEMA).parquet(path)
@@ -130,7 +149,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = sizes.groupBy("pid").agg(F.sum("n_tokens").alias("n")).selectExpr("pid", "sum(n) over (order by pid) - n as before")
     own = F.sum("n_tokens").over(Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     starts = sizes.withColumn("own", own).join(before, "pid").select("pid", "seq", (F.col("own") + F.col("before")).alias("at"))
-    rows = files.select("pid", "seq", "doc_ids", "ends", "levels", "marks").mapInArrow(_reader, "doc_id long, pid int, seq int, within long, n_tokens long, ids_crc32 long")
+    rows = files.select("pid", "seq", "doc_ids", "ends", "levels", "marks", "ranks").mapInArrow(_reader, "doc_id long, pid int, seq int, within long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["pid", "seq"]).select("doc_id", (F.col("at") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
