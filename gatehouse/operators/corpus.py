@@ -7,22 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatehouse.sources.scratch import shared_dir
+
 K1, B = 1.2, 0.75
 
 
 def lexical(documents: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(doc_id, score): the k documents with the highest BM25 score for the query's words, ties to the smaller id.
 
-    Each text is split once, into its length and its counts of the query's words, and only these narrow
-    rows are kept for the second step: the corpus statistics are a one-row aggregate of them, and the
-    scores are computed from both.
+    Each text is read once, into its length and its counts of the query's words; these narrow rows are
+    kept, and both the corpus statistics, a one-row aggregate, and the scores are computed from them.
+    Null texts take no part.
     """
     words = sorted({w.lower() for w in query.split()})
-    # Java's regular expressions count a word between white space without an array of all words.
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\s+", "  "), F.lit(" "))
-    n = (F.length(low) - F.length(F.replace(low, F.lit("  "), F.lit(" "))) + 1).alias("n")
-    counts = [((F.length("low") - F.length(F.replace("low", F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2)).cast("long").alias(f"c{i}") for i, w in enumerate(words)]
-    held = documents.where("text is not null").select("doc_id", low.alias("low"), n).select("doc_id", "n", *counts)
+    low = F.lower("text")
+    pattern = r"(?<!\S)(" + "|".join(r"\Q" + w + r"\E" for w in words) + r")(?!\S)"
+    found = F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("found")
+    read = documents.where("text is not null").select("doc_id", (F.regexp_count("text", F.lit(r"\s+")) + 1).alias("n"), found)
+    count = lambda q: F.size(F.filter("found", lambda w: w == F.lit(q))).cast("long")
+    counts = [count(q).alias(f"c{i}") for i, q in enumerate(words)]
+    shared_dir(documents.sparkSession)
+    held = read.select("doc_id", "n", *counts).checkpoint()
     stats = held.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
