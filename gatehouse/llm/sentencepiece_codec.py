@@ -29,8 +29,10 @@ class Codec:
     largest sum of scores, so a Viterbi over scores would give other ids than the library. Here the
     Viterbi's states are the last pieces: the encoding of a word's first i characters is the encoding
     of its first i - l characters and one more piece just where these two pieces, merged alone, stay
-    apart. A step is scored 1 if so and 0 if not, the maximum over l is the backpointer, and the ids
-    are the library's.
+    apart. A step is scored with its length if so and with 0 if not, and the maximum is the
+    backpointer, so ties can't be and the longest would win. That the ids are the library's follows from
+    merges looking at neighbours alone: two pieces that stay apart when merged alone stay apart within
+    any word, and a word has one cut all of whose neighbours do.
     """
 
     def __init__(self, model: str = MODEL) -> None:
@@ -47,6 +49,7 @@ class Codec:
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece goes on behind a space")
         self.score = {self.pieces[i]: own.get_score(i) for i in plain}
+        self.state = {self.pieces[i]: i for i in plain}
         self.longest = max(map(len, self.score))
         # Pieces that their own merges don't leave whole never come up.
         whole = [i for i in plain if self.merged(self.pieces[i]) == [self.pieces[i]]]
@@ -131,7 +134,7 @@ class Codec:
             prefix[j + 1] = prefix[j] * _BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
         end, word, l, piece = self._pieces_in(prefix)
         cut = np.searchsorted(end, np.arange(1, length + 2))
-        last, back = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        last, back, lost = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64), np.zeros(n, bool)
         for i in range(1, length + 1):
             span = slice(cut[i - 1], cut[i])
             w, step, p = word[span], l[span], piece[span]
@@ -144,10 +147,14 @@ class Codec:
             inner = np.flatnonzero(~score)
             if len(inner):
                 score[inner] = self._apart(last[i - step[inner], w[inner]], p[inner])
-            best = np.flatnonzero(score)
-            back[i, w[best]], last[i, w[best]] = step[best], p[best]
-            if not back[i].all():
-                raise AssertionError("a word has no encoding")
+            np.maximum.at(back[i], w, np.where(score, step, 0))
+            best = np.flatnonzero(score & (step == back[i, w]))
+            last[i, w[best]] = p[best]
+            none = np.flatnonzero(back[i] == 0)
+            if len(none):
+                # No way leads here, so none that goes on from here may be trusted: such words are merged one by one.
+                lost[none] = True
+                back[i, none], last[i, none] = 1, self.size + codes[none, i - 1]
         out = np.full((n, length), -1, np.int64)
         at, rows = np.full(n, length), np.arange(n)
         for j in range(length - 1, -1, -1):
@@ -156,6 +163,9 @@ class Codec:
                 break
             out[live, j] = last[at[live], rows[live]]
             at[live] -= back[at[live], rows[live]]
+        for k in np.flatnonzero(lost).tolist():
+            states = [self.state[x] if x in self.state else self.size + ord(x) for x in self.merged("".join(map(chr, codes[k].tolist())))]
+            out[k] = [-1] * (length - len(states)) + states
         return (out >= 0).sum(1), out[out >= 0]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

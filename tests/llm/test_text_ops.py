@@ -47,6 +47,18 @@ def test_sentencepiece_equals_the_library_and_comes_back(spark, docs, texts):
     assert sentencepiece_codec.encode(docs.limit(0)).count() == 0
 
 
+def test_words_without_a_way_are_merged_one_by_one(monkeypatch):
+    import numpy as np
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec = sentencepiece_codec.Codec()
+    monkeypatch.setattr(codec, "_apart", lambda left, right: np.zeros(len(left), bool))
+    words = ["▁hello", "▁naïve", "▁字字", "▁" + "ab" * 20, "▁x"]
+    size, ids = codec.encode_words(words)
+    assert [ids[a - n : a].tolist() for a, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)] == [own.encode(w[1:]) for w in words]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_tokens(docs, texts, rule):
     from tokenizers import Tokenizer
