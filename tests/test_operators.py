@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
-from gatehouse.operators import access, directory, tokens, turns
+from gatehouse.operators import access, directory, tokens, turns, workflows
 from gatehouse.plans.registry import ORACLE_SQL, QUERIES
 from gatehouse.sources import tables as T
 
@@ -154,3 +154,21 @@ def test_names_labels_and_reasons_of_all_rows(spark, tmp_path):
     for name, rows in wanted.items():
         assert dict(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == rows, name
         assert dict(db.sql(ORACLE_SQL[name]).fetchall()) == rows, name
+
+
+def test_workflow_graphs(spark):
+    graphs = {
+        "ok": ("s1 l2 a3", "12 23"),
+        "starts": ("s1 s2 a3", "13 23"),
+        "no_answer": ("s1 l2", "12"),
+        "start_open": ("s1 a2", ""),
+        "dead_end": ("s1 l2 a3", "12 22"),
+        "branches": ("s1 i2 a3", "12 23t"),
+        "dead_branch": ("s1 i2 a3 l4", "12 23t 24f"),
+        "orphans": ("s1 a2 l3", "12 32"),
+    }
+    kinds = {"s": "start", "l": "llm", "a": "answer", "i": "if-else"}
+    nodes = [(g, int(x[1]), kinds[x[0]]) for g, (n, _) in graphs.items() for x in n.split()]
+    edges = [(g, int(e[0]), int(e[1]), {"t": "true", "f": "false"}.get(e[2:])) for g, (_, x) in graphs.items() for e in x.split()]
+    got = workflows.validated(spark.createDataFrame(nodes, "graph_id string, node_id long, kind string"), spark.createDataFrame(edges, "graph_id string, source long, target long, handle string"))
+    assert {r.graph_id: r.outcome for r in got.collect()} == {g: g for g in graphs}
