@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The principal that every administrator is and that every resource is granted to.
-EVERYTHING = "admin"
+#: Parts in which administrators are dealt, each of which meets all resources.
+PARTS = 16
 
 
 def principals(users: DataFrame, user_roles: DataFrame) -> DataFrame:
@@ -20,15 +20,16 @@ def visible(users: DataFrame, user_roles: DataFrame, grants: DataFrame, resource
     """(user_id, resource_id) of active users and active resources.
 
     The disjunction of three kinds of grants is one equi-join on (type, id), after each user is expanded
-    to its principals; administrators are a principal of their own to which every resource is granted.
-    Department grants aren't inherited.
+    to its principals. Administrators see every resource: they are dealt into parts, each of which meets
+    all resources, so that no single task makes all their rows. Department grants aren't inherited.
     """
     active, open_ = users.where("status = 1"), resources.where("status = 1").select(F.col("id").alias("resource_id"))
-    admins = active.where("admin").select(F.col("id").alias("user_id"), F.lit(EVERYTHING).alias("principal_type"), F.lit(0).cast("long").alias("principal_id"))
-    every = open_.select("resource_id", F.lit(EVERYTHING).alias("principal_type"), F.lit(0).cast("long").alias("principal_id"))
-    who = principals(active.where(~F.col("admin")), user_roles).unionByName(admins)
-    what = grants.join(open_, "resource_id", "left_semi").select("resource_id", "principal_type", "principal_id").unionByName(every)
-    return who.join(what, ["principal_type", "principal_id"]).select("user_id", "resource_id").distinct()
+    who = principals(active.where(~F.col("admin")), user_roles)
+    what = grants.join(open_, "resource_id", "left_semi").select("resource_id", "principal_type", "principal_id")
+    shared = who.join(what, ["principal_type", "principal_id"]).select("user_id", "resource_id").distinct()
+    admins = active.where("admin").select(F.col("id").alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
+    every = open_.select("resource_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    return shared.unionByName(admins.join(every, "part").select("user_id", "resource_id"))
 
 
 def decided(requests: DataFrame, users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ def access_visible_resources(spark, sf):
     return access.visible(*_access(spark, sf))
 
 
+@query(sql("SELECT r.id, r.name, row_number() OVER (ORDER BY r.id) AS place FROM visible v JOIN resources r ON r.id = v.resource_id WHERE v.user_id = 7"))
+def my_apps(spark, sf):
+    """What one user sees, by id."""
+    users, roles, grants, resources = _access(spark, sf)
+    seen = access.visible(users.where("id = 7"), roles, grants, resources).select(F.col("resource_id").alias("id"))
+    own = resources.join(seen, "id", "left_semi").select("id", "name")
+    return own.withColumn("place", F.row_number().over(Window.orderBy("id")))  # one user's apps
+
+
 @query(sql("SELECT v.user_id, count(*) AS n_resources FROM visible v JOIN users u ON u.id = v.user_id WHERE u.admin GROUP BY v.user_id"))
 def access_admin_bypass(spark, sf):
     users, *rest = _access(spark, sf)
@@ -260,6 +269,17 @@ def stats_monthly_quota(spark, sf):
     return own.withColumn("over_quota", F.col("tokens") > 20000)
 
 
+@query(sql("SELECT user_id, strftime(created_at, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens, sum(tokens) > 3000 AS over_quota FROM audit GROUP BY user_id, month"))
+def stats_user_quota(spark, sf):
+    own = T.audit(spark, sf).groupBy("user_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.sum("tokens").alias("tokens"))
+    return own.withColumn("over_quota", F.col("tokens") > 3000)
+
+
+@query(sql("SELECT count(*) AS total FROM audit WHERE action = 'view' AND user_id < 50 AND created_at >= TIMESTAMP '2024-01-10'"))
+def audit_total(spark, sf):
+    return T.audit(spark, sf).where("action = 'view' and user_id < 50 and created_at >= timestamp_ntz'2024-01-10'").agg(F.count("*").alias("total"))
+
+
 @query(sql("SELECT action, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95 FROM audit GROUP BY action"))
 def stats_latency_percentiles(spark, sf):
     return T.audit(spark, sf).groupBy("action").agg(F.round(F.percentile("latency", 0.5), 4).alias("p50"), F.round(F.percentile("latency", 0.95), 4).alias("p95"))
