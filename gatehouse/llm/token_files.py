@@ -51,17 +51,31 @@ def rank(marks: bytes, ranks: bytes, i: int) -> int:
     return int.from_bytes(ranks[4 * block : 4 * block + 4], "little") + low.bit_count()
 
 
-def span(levels: list[bytes], marks: list[bytes], ranks: list[bytes], a: int, b: int) -> np.ndarray:
-    """The ids at places a to b, without decoding what lies before: those that go on to the next level lie there side by side, from the rank of a to the rank of b."""
-    ids, at = np.frombuffer(levels[0], np.uint8)[a:b].astype(np.uint32), np.arange(b - a)
-    for k in range(1, len(levels)):
-        bits = np.unpackbits(np.frombuffer(marks[k - 1], np.uint8)[a // 8 : -(-b // 8)], bitorder="little")
-        at = at[np.flatnonzero(bits[a % 8 : a % 8 + b - a])]
-        if not len(at):
-            break
-        a, b = rank(marks[k - 1], ranks[k - 1], a), rank(marks[k - 1], ranks[k - 1], b)
-        ids[at] |= np.frombuffer(levels[k], np.uint8)[a:b].astype(np.uint32) << np.uint32(WIDTH * k)
-    return ids
+class Segment:
+    """A segment's codes, laid out once for reading at many places."""
+
+    def __init__(self, levels: list[bytes], marks: list[bytes], ranks: list[bytes]) -> None:
+        self.levels = [np.frombuffer(x, np.uint8) for x in levels]
+        self.marks = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in marks]
+        self.ranks = [np.frombuffer(x, "<u4") for x in ranks]
+
+    def rank(self, k: int, i: int) -> int:
+        """Marks before place i of level k: the directory's entry, and those of its block before i."""
+        block = min(i // BLOCK, len(self.ranks[k]) - 1)
+        return int(self.ranks[k][block]) + np.count_nonzero(self.marks[k][block * BLOCK : i])
+
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The ids at places a to b, without decoding what lies before: those that go on to the next level lie there side by side, from the rank of a to the rank of b."""
+        ids, at = self.levels[0][a:b].astype("<u4"), None
+        for k in range(1, len(self.levels)):
+            more = np.flatnonzero(self.marks[k - 1][a:b])
+            if not len(more):
+                break
+            at = more if at is None else at[more]
+            a = self.rank(k - 1, a)
+            b = a + len(more)
+            ids[at] |= self.levels[k][a:b].astype(np.uint32) << np.uint32(WIDTH * k)
+        return ids
 
 
 def token(levels: list[bytes], marks: list[bytes], ranks: list[bytes], i: int) -> int:
@@ -130,17 +144,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            codes = row["levels"], row["marks"], row["ranks"]
+            held = Segment(row["levels"], row["marks"], row["ranks"])
             n = len(row["ends"])
             starts = [0, *row["ends"][:-1]]
-            crc = [zlib.crc32(span(*codes, a, b).astype("<u4").tobytes()) for a, b in zip(starts, row["ends"], strict=True)]
+            crc = [zlib.crc32(held.span(a, b)) for a, b in zip(starts, row["ends"], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "pid": pa.array([row["pid"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "within": pa.array(starts, pa.int64()), "n_tokens": pa.array(np.diff([0, *row["ends"]]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold of each document: (doc_id, start, n_tokens, ids_crc32).
 
-    Each document's ids are read at their place through the rank directories (span). Starts are running
+    Each document's ids are read at their place through the rank directories (Segment). Starts are running
     sums of segment sizes within a file, and of file totals; only the latter, one
     row a file, meet in one task.
     """
