@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gatehouse.llm.chat_format import OP2_SQL, op2_chat_format
 from gatehouse.llm.fingerprints import op7_fingerprints
+from gatehouse.llm.importance import op13_importance
 from gatehouse.llm.line_dedup import op4_line_dedup
 from gatehouse.llm.mixing import op10_mixing
 from gatehouse.llm.nearest import op9_nearest
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
