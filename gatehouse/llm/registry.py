@@ -13,6 +13,7 @@ from gatehouse.llm.sentencepiece_codec import op5_sentencepiece
 from gatehouse.llm.token_counts import op6_token_counts
 from gatehouse.llm.token_files import op8_token_files
 from gatehouse.llm.toxicity import op3_toxicity
+from gatehouse.llm.url_filters import op11_url_filters
 from gatehouse.llm.whitening import op12_whitening
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
+    "op11_url_filters": op11_url_filters,
     "op12_whitening": op12_whitening,
     "op13_importance": op13_importance,
 }
