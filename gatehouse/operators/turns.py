@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatehouse.operators.names import unused
+
 #: Events of workflow runs that say nothing to a reader.
 SILENT = ("ping", "workflow_started", "node_started", "node_finished")
 #: Fixed value: what stands before a failed run's reason.
@@ -23,20 +25,47 @@ def split_frames(lines: DataFrame) -> DataFrame:
     return frames.where((F.size("data") > 0) | F.col("event").isNotNull()).select("stream_id", "seq", "event", F.array_join("data.x", "\n").alias("data"))
 
 
-def text_of(data: Column, path: str) -> Column:
-    """A non-empty string at a path of JSON text, else null; numbers and the like are no strings."""
-    at = F.try_variant_get(F.try_parse_json(data), path, "variant")
+def text_at(v: Column, path: str) -> Column:
+    """A non-empty string at a path of a variant, else null; numbers and the like are no strings."""
+    at = F.try_variant_get(v, path, "variant")
     return F.when(F.schema_of_variant(at) == "STRING", F.nullif(F.try_variant_get(at, "$", "string"), F.lit("")))
 
 
-def reasoning_of(data: Column, within: str = "$") -> Column:
-    """The first non-empty one of the fields in which models leave their reasoning."""
-    return F.coalesce(*[text_of(data, f"{within}.{k}") for k in ("reasoning_content", "reasoning", "thought")])
+def text_of(data: Column, path: str) -> Column:
+    """text_at of JSON text."""
+    return text_at(F.try_parse_json(data), path)
 
 
-def usage_total(data: Column, at: str = "$.metadata.usage") -> Column:
+def answer_at(v: Column, shown: bool = False) -> Column:
+    """The answer of a message as the portal keeps it, null where it is empty: a string as it is, a number as it is written, None, True and False; objects and lists as JSON. shown: as a reader's page shows it, nothing for null, and true and false."""
+    at = F.try_variant_get(v, "$.answer", "variant")
+    kind, text = F.schema_of_variant(at), F.try_variant_get(at, "$", "string")
+    if shown:
+        return F.when(kind == "VOID", None).otherwise(F.nullif(text, F.lit("")))
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(F.nullif(text, F.lit("")))
+
+
+def answer_of(data: Column, shown: bool = False) -> Column:
+    """answer_at of JSON text."""
+    return answer_at(F.try_parse_json(data), shown)
+
+
+def reasoning_at(v: Column, within: tuple[str, ...] = ("$",)) -> Column:
+    """The first non-empty text of the fields in which models leave their reasoning, in each of some objects."""
+    fields = F.array(*[F.try_variant_get(v, f"{w}.{k}", "variant") for w in within for k in ("reasoning_content", "reasoning", "thought")])
+    texts = F.transform(fields, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    return F.get(F.filter(texts, lambda x: x != ""), 0)
+
+
+def usage_at(v: Column, at: str = "$.metadata.usage") -> Column:
     """total, else total_tokens, else 0; what isn't a number counts as 0."""
-    return F.coalesce(F.get_json_object(data, f"{at}.total").try_cast("long"), F.get_json_object(data, f"{at}.total_tokens").try_cast("long"), F.lit(0).cast("long"))
+    number = lambda k: F.try_variant_get(v, f"{at}.{k}", "string").try_cast("long")
+    return F.coalesce(number("total"), number("total_tokens"), F.lit(0).cast("long"))
+
+
+def usage_total(data: Column, at: str = "$.metadata.usage") -> Column:
+    """usage_at of JSON text."""
+    return usage_at(F.try_parse_json(data), at)
 
 
 def is_object(data: Column) -> Column:
@@ -44,15 +73,54 @@ def is_object(data: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(data)).startswith("OBJECT"), F.lit(False))
 
 
-def name_of(event: Column, data: Column) -> Column:
+def name_at(event: Column, v: Column) -> Column:
     """The event line's name, else the name within the data."""
-    return F.coalesce(F.nullif(event, F.lit("")), F.get_json_object(data, "$.event"))
+    return F.coalesce(F.nullif(event, F.lit("")), F.try_variant_get(v, "$.event", "string"))
 
 
-def thought_of(event: Column, data: Column) -> Column:
+def name_of(event: Column, data: Column) -> Column:
+    """name_at of JSON text."""
+    return name_at(event, F.try_parse_json(data))
+
+
+def thought_at(name: Column, v: Column) -> Column:
     """The reasoning of a frame; a thought's may lie in an object of its own."""
-    inner = F.when(name_of(event, data) == "agent_thought", reasoning_of(data, "$.data"))
-    return F.coalesce(inner, reasoning_of(data))
+    return F.when(name == "agent_thought", reasoning_at(v, ("$.data", "$"))).otherwise(reasoning_at(v))
+
+
+def read(frames: DataFrame, named: str = "said") -> DataFrame:
+    """frames with said: name, answer, thought, usage and upstream of each, read from data parsed once."""
+    v = unused(frames, "parsed")
+    held = frames.withColumn(v, F.try_parse_json("data"))
+    name = unused(held, "name_read")
+    held = held.withColumn(name, name_at(F.col("event"), F.col(v)))
+    at, v = F.col(name), F.col(v)
+    told = F.schema_of_variant(F.try_variant_get(v, "$.metadata.usage", "variant")).startswith("OBJECT")
+    said = F.struct(
+        at.alias("name"),
+        F.when(at == "message", answer_at(v)).alias("answer"),
+        thought_at(at, v).alias("thought"),
+        F.when((at == "message_end") & told, usage_at(v)).alias("usage"),
+        F.when(at.isNull() | (at != "reasoning"), F.nullif(F.try_variant_get(v, "$.conversation_id", "string"), F.lit(""))).alias("upstream"),
+    )
+    return held.select(*frames.columns, said.alias(named))
+
+
+def translated(frames: DataFrame, named: str = "said") -> DataFrame:
+    """translate_chat's rows, with said of the frame (read); an event made of a frame's reasoning holds that alone, the frame itself all else."""
+    said = F.col(named)
+    frames_read = read(frames, named)
+    thought = F.struct(F.lit(0).alias("sub_seq"), F.lit("reasoning").alias("event"), F.to_json(F.struct(said["thought"].alias("content"))).alias("data"))
+    itself = F.struct(F.lit(1).alias("sub_seq"), F.coalesce(said["name"], F.lit("message")).alias("event"), F.col("data"))
+    has = said["thought"].isNotNull()
+    none = F.expr("filter(array(named_struct('sub_seq', 0, 'event', '', 'data', '')), x -> false)")
+    out = F.when(said["name"] == "agent_thought", F.when(has, F.array(thought)).otherwise(none)).when((said["name"] == "message") & has, F.array(thought, itself)).otherwise(F.array(itself))
+    others = [c for c in frames.columns if c not in ("stream_id", "seq", "event", "data")]
+    x = unused(frames_read, "x")
+    each = frames_read.select("stream_id", "seq", *others, named, F.explode(out).alias(x))
+    first = F.col(f"{x}.sub_seq") == 0
+    kept = F.struct(*[F.when(first if k == "thought" else ~first, said[k]).alias(k) for k in ("answer", "thought", "usage", "upstream")])
+    return each.select("stream_id", "seq", f"{x}.sub_seq", f"{x}.event", f"{x}.data", *others, kept.alias(named))
 
 
 def translate_chat(frames: DataFrame) -> DataFrame:
@@ -61,14 +129,8 @@ def translate_chat(frames: DataFrame) -> DataFrame:
     Reasoning comes as an event of its own before the message that carries it; thoughts, which may lie
     in an object of their own, become reasoning, empty ones vanish; all else passes as it is.
     """
-    named = frames.withColumn("name", name_of(F.col("event"), F.col("data"))).withColumn("reasoning", thought_of(F.col("event"), F.col("data")))
-    thought = F.struct(F.lit(0).alias("sub_seq"), F.lit("reasoning").alias("event"), F.to_json(F.struct(F.col("reasoning").alias("content"))).alias("data"))
-    itself = F.struct(F.lit(1).alias("sub_seq"), F.coalesce("name", F.lit("message")).alias("event"), F.col("data"))
-    has = F.col("reasoning").isNotNull()
-    none = F.expr("filter(array(named_struct('sub_seq', 0, 'event', '', 'data', '')), x -> false)")
-    out = F.when(F.col("name") == "agent_thought", F.when(has, F.array(thought)).otherwise(none)).when((F.col("name") == "message") & has, F.array(thought, itself)).otherwise(F.array(itself))
-    others = [c for c in frames.columns if c not in ("stream_id", "seq", "event", "data")]
-    return named.select("stream_id", "seq", *others, F.explode(out).alias("x")).select("stream_id", "seq", "x.sub_seq", "x.event", "x.data", *others)
+    named = unused(frames, "said")
+    return translated(frames, named).drop(named)
 
 
 def translate_workflow(frames: DataFrame, redact) -> DataFrame:
@@ -95,25 +157,41 @@ def upstream_of(event: Column, data: Column) -> Column:
 
 def fold(events: DataFrame) -> DataFrame:
     """One row a stream: answers and reasoning joined in order, the last usage there is, the last conversation id, and whether an error came. Streams without an answer give no row."""
-    at = F.struct("seq", "sub_seq")
-    answer = F.when(F.col("event") == "message", text_of(F.col("data"), "$.answer"))
-    thought = F.when(F.col("event") == "reasoning", text_of(F.col("data"), "$.content"))
-    usage, upstream = usage_of(F.col("event"), F.col("data")), upstream_of(F.col("event"), F.col("data"))
+    v = unused(events, "parsed")
+    held = events.withColumn(v, F.try_parse_json("data"))
+    event, told = F.col("event"), F.schema_of_variant(F.try_variant_get(F.col(v), "$.metadata.usage", "variant")).startswith("OBJECT")
+    said = F.struct(
+        F.when(event == "message", answer_at(F.col(v))).alias("answer"),
+        F.when(event == "reasoning", text_at(F.col(v), "$.content")).alias("thought"),
+        F.when((event == "message_end") & told, usage_at(F.col(v))).alias("usage"),
+        F.when(event != "reasoning", F.nullif(F.try_variant_get(F.col(v), "$.conversation_id", "string"), F.lit(""))).alias("upstream"),
+    )
+    return folded(held.select("stream_id", "seq", "sub_seq", "event", said.alias("said")))
+
+
+def folded(events: DataFrame, named: str = "said") -> DataFrame:
+    """fold of events that were read already (translated)."""
+    at, said = F.struct("seq", "sub_seq"), F.col(named)
     ordered = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("seq", "sub_seq", c.alias("x"))))).getField("x"), "")
-    folded = events.groupBy("stream_id").agg(
-        ordered(answer).alias("content"),
-        ordered(thought).alias("reasoning"),
-        F.max_by(usage, F.when(usage.isNotNull(), at)).alias("total_tokens"),
-        F.max_by(upstream, F.when(upstream.isNotNull(), at)).alias("upstream_id"),
+    rows = events.groupBy("stream_id").agg(
+        ordered(said["answer"]).alias("content"),
+        ordered(said["thought"]).alias("reasoning"),
+        F.max_by(said["usage"], F.when(said["usage"].isNotNull(), at)).alias("total_tokens"),
+        F.max_by(said["upstream"], F.when(said["upstream"].isNotNull(), at)).alias("upstream_id"),
         F.max((F.col("event") == "error").cast("int")).alias("failed"),
     )
-    return folded.where("content <> ''")
+    return rows.where("content <> ''")
+
+
+def closing(reason: Column) -> Column:
+    """What the error that ends a stream says, null where the reason is none."""
+    return F.when(reason.startswith("http_"), F.concat(F.lit("Upstream error: "), F.expr("substring(reason, 6)"))).when(reason == "timeout", "Upstream timeout").when(reason == "proxy_error", "Proxy error")
 
 
 def closed(streams: DataFrame) -> DataFrame:
     """The events that end each stream (stream_id, reason): an error where the reason is one, and agent_done, but nothing after a reader's abort."""
     reason = F.col("reason")
-    text = F.when(reason.startswith("http_"), F.concat(F.lit("Upstream error: "), F.expr("substring(reason, 6)"))).when(reason == "timeout", "Upstream timeout").when(reason == "proxy_error", "Proxy error")
+    text = closing(reason)
     failed = F.struct(F.lit(0).alias("sub_seq"), F.lit("error").alias("event"), F.to_json(F.struct(text.alias("message"))).alias("data"))
     done = F.struct(F.lit(1).alias("sub_seq"), F.lit("agent_done").alias("event"), F.to_json(F.struct(F.col("stream_id").cast("string").alias("conversation_id"))).alias("data"))
     rows = streams.where("reason <> 'client_abort'").select("stream_id", F.explode(F.when(text.isNotNull(), F.array(failed, done)).otherwise(F.array(done))).alias("x"))
@@ -139,16 +217,26 @@ def dispatched(frames: DataFrame, known: tuple[str, ...] = ("message", "reasonin
     return frames.select("stream_id", "seq", event.alias("event"), data.alias("data")).where(F.col("event").isin(*known))
 
 
+#: What a reader's page shows for an error that says nothing, and for a connection that breaks.
+NO_REASON, BROKEN = "回答生成失败，请重试", "连接中断，请重试"
+
+
 def states(events: DataFrame, closes: DataFrame) -> DataFrame:
-    """(stream_id, status, content) at the end of each stream (closes: stream_id, reason): an error stays one though agent_done follows, and its message replaces the answer; a reader's abort is done with what came so far."""
-    at = F.struct("seq", "sub_seq")
-    answer = F.when(F.col("event") == "message", text_of(F.col("data"), "$.answer"))
-    wrong = F.when(F.col("event") == "error", F.coalesce(F.get_json_object("data", "$.message"), F.col("data")))
-    folded = events.groupBy("stream_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(answer.isNotNull(), F.struct("seq", "sub_seq", answer.alias("x"))))).getField("x"), "").alias("text"),
-        F.max_by(wrong, F.when(wrong.isNotNull(), at)).alias("wrong"),
-    )
-    joined = closes.join(folded, "stream_id", "left")
-    failed = F.when(F.col("reason").startswith("http_") | F.col("reason").isin("timeout", "proxy_error"), F.concat(F.lit("closed: "), F.col("reason")))
-    message = F.coalesce(failed, F.col("wrong"))
-    return joined.select("stream_id", F.when(message.isNotNull(), "error").otherwise("done").alias("status"), F.coalesce(message, "text", F.lit("")).alias("content"))
+    """(stream_id, status, content) as a reader's page has each stream at its end (closes: stream_id, reason).
+
+    The last error's message takes the place of what came before it, and answers after it follow it.
+    An error stays one though agent_done follows; how the stream ended may add an error (closed) or, for
+    connection_lost, the page's own. A reader's abort is done, with what stands there, an error's message too.
+    """
+    v, at = unused(events, "parsed"), F.struct("seq", "sub_seq")
+    held = events.withColumn(v, F.try_parse_json("data"))
+    said = held.select("stream_id", "seq", "sub_seq", F.when(F.col("event") == "message", answer_at(F.col(v), True)).alias("answer"), F.when(F.col("event") == "error", F.coalesce(F.nullif(F.try_variant_get(F.col(v), "$.message", "string"), F.lit("")), F.lit(NO_REASON))).alias("wrong"))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("seq", "sub_seq", F.col("answer").alias("x")))))
+    last = F.max(F.when(F.col("wrong").isNotNull(), F.struct("seq", "sub_seq", "wrong")))
+    rows = said.groupBy("stream_id").agg(pieces.alias("pieces"), last.alias("last"))
+    after = F.when(F.col("last").isNull(), F.col("pieces")).otherwise(F.filter("pieces", lambda p: F.struct(p["seq"], p["sub_seq"]) > F.struct(F.col("last.seq"), F.col("last.sub_seq"))))
+    shown = rows.select("stream_id", F.col("last").isNotNull().alias("failed"), F.concat(F.coalesce("last.wrong", F.lit("")), F.array_join(after.getField("x"), "")).alias("text"))
+    reason = F.col("reason")
+    end = F.coalesce(closing(reason), F.when(reason == "connection_lost", BROKEN))
+    status = F.when(end.isNotNull(), "error").when((reason != "client_abort") & F.col("failed"), "error").otherwise("done")
+    return closes.join(shown, "stream_id", "left").select("stream_id", status.alias("status"), F.coalesce(end, "text", F.lit("")).alias("content"))

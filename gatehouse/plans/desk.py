@@ -417,26 +417,28 @@ def frames_dispatched(spark, sf):
     return turns.dispatched(T.frames(spark, sf).withColumn("event", F.when(F.col("seq") % 7 == 0, "odd").otherwise(F.col("event"))))
 
 
-_CLOSES = "['normal', 'timeout', 'http_503', 'proxy_error', 'client_abort'][stream_id % 5 + 1]"
+_REASONS = ("normal", "timeout", "http_503", "proxy_error", "client_abort", "connection_lost")
 
 
 def _closes(spark, sf):
-    reasons = F.array(*[F.lit(x) for x in ("normal", "timeout", "http_503", "proxy_error", "client_abort")])
-    return T.frames(spark, sf).select("stream_id").distinct().select("stream_id", F.element_at(reasons, (F.col("stream_id") % 5 + 1).cast("int")).alias("reason"))
+    reasons = F.array(*[F.lit(x) for x in _REASONS])
+    return T.frames(spark, sf).select("stream_id").distinct().select("stream_id", F.element_at(reasons, (F.col("stream_id") % 6 + 1).cast("int")).alias("reason"))
 
 
-@query(sql("""SELECT stream_id, 0 AS sub_seq, 'error' AS event, '{"message":"' || CASE stream_id % 5 WHEN 1 THEN 'Upstream timeout' WHEN 2 THEN 'Upstream error: 503' ELSE 'Proxy error' END || '"}' AS data FROM (SELECT DISTINCT stream_id FROM frames) WHERE stream_id % 5 IN (1, 2, 3)
-  UNION ALL SELECT stream_id, 1, 'agent_done', '{"conversation_id":"' || stream_id || '"}' FROM (SELECT DISTINCT stream_id FROM frames) WHERE stream_id % 5 < 4"""))
+@query(sql("""SELECT stream_id, 0 AS sub_seq, 'error' AS event, '{"message":"' || CASE stream_id % 6 WHEN 1 THEN 'Upstream timeout' WHEN 2 THEN 'Upstream error: 503' ELSE 'Proxy error' END || '"}' AS data FROM (SELECT DISTINCT stream_id FROM frames) WHERE stream_id % 6 IN (1, 2, 3)
+  UNION ALL SELECT stream_id, 1, 'agent_done', '{"conversation_id":"' || stream_id || '"}' FROM (SELECT DISTINCT stream_id FROM frames) WHERE stream_id % 6 <> 4"""))
 def streams_closed(spark, sf):
     return turns.closed(_closes(spark, sf))
 
 
-@query(sql(f"""SELECT stream_id, CASE WHEN wrong IS NULL THEN 'done' ELSE 'error' END AS status, coalesce(wrong, text, '') AS content FROM (SELECT stream_id, CASE WHEN stream_id % 5 IN (1, 2, 3) THEN 'closed: ' || {_CLOSES} ELSE max(CASE WHEN event = 'error' THEN data END) END AS wrong,
-  string_agg(CASE WHEN json_valid(data) AND coalesce(event, 'message') = 'message' THEN CASE WHEN data->>'$.event' = 'message' THEN data->>'$.answer' END END, '' ORDER BY seq) AS text FROM frames WHERE event IS DISTINCT FROM 'error' OR stream_id % 3 = 0 GROUP BY stream_id)"""))
+@query(sql("""SELECT stream_id, CASE WHEN stream_id % 6 IN (1, 2, 3, 5) OR (stream_id % 6 = 0 AND error_at IS NOT NULL) THEN 'error' ELSE 'done' END AS status,
+  CASE stream_id % 6 WHEN 1 THEN 'Upstream timeout' WHEN 2 THEN 'Upstream error: 503' WHEN 3 THEN 'Proxy error' WHEN 5 THEN '连接中断，请重试' ELSE coalesce(wrong, '') || coalesce(text, '') END AS content FROM (
+  SELECT f.stream_id, any_value(e.error_at) AS error_at, any_value(e.wrong) AS wrong, string_agg(CASE WHEN name = 'message' AND (e.error_at IS NULL OR f.seq > e.error_at) THEN nullif(answer, 'null') END, '' ORDER BY f.seq) AS text
+  FROM (SELECT stream_id, seq, CASE WHEN json_valid(data) THEN coalesce(event, data->>'$.event') ELSE coalesce(event, 'message') END AS name, CASE WHEN json_valid(data) THEN data->>'$.answer' END AS answer FROM frames) f
+  LEFT JOIN (SELECT stream_id, max(seq) AS error_at, arg_max(coalesce(CASE WHEN json_valid(data) THEN data->>'$.message' END, '回答生成失败，请重试'), seq) AS wrong FROM frames WHERE event = 'error' GROUP BY stream_id) e ON e.stream_id = f.stream_id GROUP BY f.stream_id)"""))
 def turn_states(spark, sf):
-    """How each turn ends for its reader: an error isn't overwritten, an abort keeps what came."""
-    events = turns.translate_chat(T.frames(spark, sf)).where("event <> 'error' or stream_id % 3 = 0")
-    return turns.states(events, _closes(spark, sf))
+    """How each turn stands on its reader's page at the end: an error's message takes the answer's place and isn't overwritten, an abort keeps what stands there."""
+    return turns.states(turns.translate_chat(T.frames(spark, sf)), _closes(spark, sf))
 
 
 @query(sql("SELECT stream_id, (seq * 23 // 80)::BIGINT AS flush, string_agg('d' || seq, '' ORDER BY seq) AS text FROM frames GROUP BY ALL"))

@@ -27,7 +27,8 @@ def event_translate(spark, sf):
     return turns.translate_chat(T.frames(spark, sf))
 
 
-FOLD = f"""SELECT * FROM (SELECT stream_id, coalesce(string_agg(CASE WHEN event = 'message' THEN data->>'$.answer' END, '' ORDER BY seq, sub_seq), '') AS content,
+ANSWER = "CASE json_type(data, '$.answer') WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left(data->>'$.answer', 1)) || substr(data->>'$.answer', 2) ELSE data->>'$.answer' END"
+FOLD = f"""SELECT * FROM (SELECT stream_id, coalesce(string_agg(CASE WHEN event = 'message' THEN {ANSWER} END, '' ORDER BY seq, sub_seq), '') AS content,
   coalesce(string_agg(CASE WHEN event = 'reasoning' THEN data->>'$.content' END, '' ORDER BY seq, sub_seq), '') AS reasoning,
   arg_max((data->>'$.metadata.usage.total_tokens')::BIGINT, seq) FILTER (WHERE event = 'message_end' AND json_type(data, '$.metadata.usage') = 'OBJECT') AS total_tokens,
   arg_max(data->>'$.conversation_id', seq) FILTER (WHERE event <> 'reasoning' AND coalesce(data->>'$.conversation_id', '') <> '') AS upstream_id, max(CASE WHEN event = 'error' THEN 1 ELSE 0 END) AS failed
@@ -36,7 +37,7 @@ FOLD = f"""SELECT * FROM (SELECT stream_id, coalesce(string_agg(CASE WHEN event
 
 @query(sql(FOLD))
 def event_fold_turns(spark, sf):
-    return turns.fold(turns.translate_chat(T.frames(spark, sf)))
+    return turns.folded(turns.translated(T.frames(spark, sf)))
 
 
 @query(sql(FOLD))
@@ -47,7 +48,7 @@ def event_fold_turns_streamed(spark, sf):
 
 @query(sql(f"SELECT stream_id, seq, reasoning FROM {_NAMED} WHERE reasoning IS NOT NULL"))
 def reasoning_extract(spark, sf):
-    found = T.frames(spark, sf).select("stream_id", "seq", turns.thought_of(F.col("event"), F.col("data")).alias("reasoning"))
+    found = turns.read(T.frames(spark, sf)).select("stream_id", "seq", F.col("said.thought").alias("reasoning"))
     return found.where("reasoning is not null")
 
 
@@ -108,3 +109,44 @@ def stream_sliding_counts(spark, sf):
 @query("SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 def stream_click_purchases(spark, sf):
     return stateful.joined(spark, sf)
+
+
+@query(sql(f"""SELECT stream_id, min(ts) AS started, coalesce(string_agg(CASE WHEN event = 'message' THEN {ANSWER} END, '' ORDER BY seq, sub_seq), '') AS content, coalesce(string_agg(CASE WHEN event = 'reasoning' THEN data->>'$.content' END, '' ORDER BY seq, sub_seq), '') AS reasoning,
+  arg_max((data->>'$.metadata.usage.total_tokens')::BIGINT, seq) FILTER (WHERE event = 'message_end' AND json_type(data, '$.metadata.usage') = 'OBJECT') AS total_tokens,
+  arg_max(data->>'$.conversation_id', seq) FILTER (WHERE event <> 'reasoning' AND coalesce(data->>'$.conversation_id', '') <> '') AS upstream_id, max(CASE WHEN event = 'error' THEN 1 ELSE 0 END) AS failed,
+  CASE WHEN bool_or(event = 'error') THEN 'error' WHEN bool_or(event = 'message_end') THEN 'done' ELSE 'aborted' END AS status
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY seq, sub_seq ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY seq, sub_seq) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh
+    FROM (SELECT f.* REPLACE (CASE WHEN json_valid(f.data) THEN f.data END AS data), e.ts FROM {_EVENTS} f JOIN events e ON e.event_id = f.seq))) GROUP BY stream_id, turn"""))
+def turns_closed_streamed(spark, sf):
+    """Turns closed by the watermark after twelve hours of silence: error, done, or aborted with what came until then."""
+    return stateful.turns_closed(spark, sf)
+
+
+@query(sql("SELECT stream_id, (row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1)::BIGINT AS n, coalesce(event, '') AS event, data || ' ü你😀' AS data FROM frames"))
+def chunks_to_frames_streamed(spark, sf):
+    return stateful.frames_of_bytes(spark, sf)
+
+
+@query(sql("SELECT stream_id, seq, coalesce(event, '') AS event, data FROM frames"))
+def frames_captured(spark, sf):
+    return stateful.captured(spark, sf)
+
+
+@query(sql("""SELECT id, user_id, outcome, tokens_left FROM (WITH RECURSIVE a AS (SELECT id, user_id, epoch_ms(created_at) AS ms, 15 * (tokens % 6) + 1 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM audit),
+  d AS (SELECT id, user_id, n, ms, 'allow' AS outcome, ms + cost * 1200000 AS full_at FROM a WHERE n = 1
+    UNION ALL SELECT a.id, a.user_id, a.n, a.ms, CASE WHEN greatest(d.full_at, a.ms) + a.cost * 1200000 - a.ms <= 120000000 THEN 'allow' ELSE 'deny' END, CASE WHEN greatest(d.full_at, a.ms) + a.cost * 1200000 - a.ms <= 120000000 THEN greatest(d.full_at, a.ms) + a.cost * 1200000 ELSE d.full_at END FROM d JOIN a ON a.user_id = d.user_id AND a.n = d.n + 1)
+  SELECT id, user_id, outcome, greatest(0, 100 - (greatest(0, full_at - ms) + 1199999) // 1200000)::BIGINT AS tokens_left FROM d)"""))
+def rate_limit_decisions(spark, sf):
+    """Allow or deny, request by request."""
+    return stateful.limited(spark, sf)
+
+
+@query(sql("SELECT id, action FROM audit WHERE id % 7 > 0 UNION ALL SELECT min(id) + 10000000, arg_min(action, id) FROM audit WHERE id % 7 = 0 GROUP BY user_id"))
+def audit_backfilled_streamed(spark, sf):
+    return stateful.backfilled(spark, sf)
+
+
+@query("""SELECT day, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, event_id, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events WHERE event_id % 50 > 0) AS mark FROM events)
+  WHERE event_id % 50 > 0 OR day + INTERVAL 1 DAY > mark GROUP BY day, event_type""")
+def stream_late_counts(spark, sf):
+    return stateful.with_late_rows(spark, sf)

@@ -85,11 +85,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_of(events: DataFrame) -> DataFrame:
-    """(stream_id, seq, event, data, ts): raw frames of one stream a user; one in five has an event line, errors hold no JSON, some thoughts lie within data or are numbers, some ends tell no usage."""
+    """(stream_id, seq, event, data, ts): raw frames of one stream a user; one in five has an event line, errors hold no JSON or a message, some answers are numbers, booleans or null, some thoughts lie within data or are numbers, some ends tell no usage."""
     k = F.get_json_object("props", "$.k")
     n = F.col("event_id").cast("string")
+    odd = F.when(F.col("event_id") % 13 == 0, n).when(F.col("event_id") % 13 == 1, "true").when(F.col("event_id") % 13 == 2, "null")
     body = (
-        F.when(F.col("event_type") == "view", F.concat(F.lit('{"event":"message","answer":"a'), n, F.lit('"}')))
+        F.when((F.col("event_type") == "view") & odd.isNotNull(), F.concat(F.lit('{"event":"message","answer":'), odd, F.lit("}")))
+        .when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.concat(F.lit('{"message":"e'), n, F.lit('"}')))
+        .when(F.col("event_type") == "view", F.concat(F.lit('{"event":"message","answer":"a'), n, F.lit('"}')))
         .when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), F.concat(F.lit('{"event":"agent_thought","thought":7,"data":{"thought":"d'), n, F.lit('"}}')))
         .when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 1), F.concat(F.lit('{"event":"agent_thought","reasoning":"","thought":'), n, F.lit("}")))
         .when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), F.concat(F.lit('{"event":"message_end","conversation_id":"d'), n, F.lit('"}')))
@@ -118,8 +121,8 @@ messages AS (SELECT conv_id AS conversation_id, turn AS seq, role, text AS conte
 talks AS (SELECT conversation_id AS id, conversation_id % 150 AS user_id, conversation_id % 10 AS app_id, max(seq) AS last_seq, conversation_id % 11 = 10 AS deleted FROM messages GROUP BY conversation_id),
 audit AS (SELECT event_id AS id, user_id, event_type AS action, (props->>'$.k')::BIGINT AS tokens, value AS latency, props AS detail, ts AS created_at FROM events),
 frames AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 5 = 0 AND event_type = 'view' THEN 'message' WHEN event_type = 'error' THEN 'error' END AS event,
-  CASE CASE WHEN event_type = 'click' AND event_id % 3 < 2 THEN 'click' || event_id % 3 WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'bare' ELSE event_type END WHEN 'click0' THEN '{{"event":"agent_thought","thought":7,"data":{{"thought":"d' || event_id || '"}}}}'
-  WHEN 'click1' THEN '{{"event":"agent_thought","reasoning":"","thought":' || event_id || '}}' WHEN 'bare' THEN '{{"event":"message_end","conversation_id":"d' || event_id || '"}}' WHEN 'view' THEN '{{"event":"message","answer":"a' || event_id || '"}}' WHEN 'click' THEN '{{"event":"agent_thought","thought":"t' || event_id || '"}}'
+  CASE CASE WHEN event_type = 'click' AND event_id % 3 < 2 THEN 'click' || event_id % 3 WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'bare' WHEN event_type = 'view' AND event_id % 13 < 3 THEN 'odd' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'told' ELSE event_type END WHEN 'click0' THEN '{{"event":"agent_thought","thought":7,"data":{{"thought":"d' || event_id || '"}}}}'
+  WHEN 'click1' THEN '{{"event":"agent_thought","reasoning":"","thought":' || event_id || '}}' WHEN 'odd' THEN '{{"event":"message","answer":' || [event_id::VARCHAR, 'true', 'null'][event_id % 13 + 1] || '}}' WHEN 'told' THEN '{{"message":"e' || event_id || '"}}' WHEN 'bare' THEN '{{"event":"message_end","conversation_id":"d' || event_id || '"}}' WHEN 'view' THEN '{{"event":"message","answer":"a' || event_id || '"}}' WHEN 'click' THEN '{{"event":"agent_thought","thought":"t' || event_id || '"}}'
   WHEN 'signup' THEN '{{"event":"message","answer":"s' || event_id || '","reasoning_content":"r' || event_id || '"}}'
   WHEN 'purchase' THEN '{{"event":"message_end","conversation_id":"c' || user_id || '","metadata":{{"usage":{{"total_tokens":' || (props->>'$.k') || '}}}}}}' ELSE 'upstream exploded' END AS data FROM events),
 principals AS (SELECT id AS user_id, 'user' AS principal_type, id AS principal_id FROM users WHERE status = 1 UNION ALL SELECT id, 'dept', dept_id FROM users WHERE status = 1

@@ -1,98 +1,77 @@
-"""Structured Streaming: turns folded with state between micro-batches, windowed counts, and a join of two streams."""
+"""Structured Streaming over the given tables: input in parts that arrive one after the other, results by micro-batch, and what is made of them."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatehouse.operators import turns
+from gatehouse.sources import captures
 from gatehouse.sources import tables as T
 from gatehouse.sources.scratch import shared_dir
+from gatehouse.streaming import machines, sinks
 
-OUT = "stream_id long, content string, reasoning string, total_tokens long, upstream_id string, failed int, status string"
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-def fold_stream(events: DataFrame, late: str = "1 hour", silence: str = "1 hour") -> DataFrame:
-    """Translated events (stream_id, seq, sub_seq, event, data, at) folded by stream; each micro-batch sends the changed streams' rows, so a sink keeps a stream's last row.
 
-    Pieces of an answer may come in any order, within a micro-batch and across them: the state holds a
-    turn's pieces with their places. status is error once an error came, done after an end, and open
-    before; a stream from which nothing came for `silence` of event time is written once more, as
-    aborted if it was open, and its state goes. Events older than the watermark by `late` are dropped.
-    """
-    at = F.col("at").cast("timestamp")
-    flat = events.select(
-        "stream_id", "seq", "sub_seq", at.alias("at"), F.unix_millis(at).alias("ms"),
-        F.when(F.col("event") == "message", turns.text_of(F.col("data"), "$.answer")).alias("answer"),
-        F.when(F.col("event") == "reasoning", turns.text_of(F.col("data"), "$.content")).alias("thought"),
-        turns.usage_of(F.col("event"), F.col("data")).alias("usage"),
-        turns.upstream_of(F.col("event"), F.col("data")).alias("upstream"),
-        (F.col("event") == "error").alias("error"), (F.col("event") == "message_end").alias("end"),
-    ).withWatermark("at", late)
-    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
-
-    def row(key: tuple, held: dict, gone: bool) -> pd.DataFrame:
-        pieces = [[t for *_, t in sorted(held[k])] for k in ("answer", "thought")]
-        last = [max(held[k])[-1] if held[k] else None for k in ("usage", "upstream")]
-        status = "error" if held["error"] else "done" if held["end"] else "aborted" if gone else "open"
-        return pd.DataFrame({"stream_id": [key[0]], "content": ["".join(pieces[0])], "reasoning": ["".join(pieces[1])], "total_tokens": pd.array([last[0]], "Int64"), "upstream_id": [last[1]], "failed": [int(held["error"])], "status": [status]})
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"answer": [], "thought": [], "usage": [], "upstream": [], "error": False, "end": False, "at": 0}
-        if state.hasTimedOut:
-            state.remove()
-            yield row(key, held, True)
-            return
-        fresh = 0
-        for rows in batches:
-            rows = rows[rows["ms"] >= state.getCurrentWatermarkMs()]
-            fresh += len(rows)
-            if not len(rows):
-                continue
-            for name in ("answer", "thought", "usage", "upstream"):
-                some = rows[rows[name].notna()]
-                held[name] += [[int(a), int(b), int(x) if name == "usage" else x] for a, b, x in zip(some["seq"], some["sub_seq"], some[name], strict=True)]
-            held["error"] |= bool(rows["error"].any())
-            held["end"] |= bool(rows["end"].any())
-            held["at"] = max(held["at"], int(rows["ms"].max()))
-        if not fresh:
-            return
-        for name in ("usage", "upstream"):
-            held[name] = [max(held[name])] if held[name] else []
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(held["at"], state.getCurrentWatermarkMs()) + wait)
-        yield row(key, held, False)
-
-    return flat.groupBy("stream_id").applyInPandasWithState(step, OUT, "held string", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def split(spark: SparkSession, rows: DataFrame, order: str, files: int) -> str:
-    """A folder with rows in so many files, by ranges of order: a stream's input where a table is one file."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartitionByRange(files, order).write.parquet(path)
+def ranges(rows: DataFrame, order: str, parts: int) -> list[DataFrame]:
+    """rows in so many parts by ranges of order, of about equal size; null comes first."""
+    cuts = rows.agg(F.percentile_approx(order, [(k + 1) / parts for k in range(parts - 1)], 10_000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    out = []
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        own = rows
+        if low is not None:
+            own = own.where(F.col(order) > F.lit(low))
+        if high is not None:
+            own = own.where(F.col(order).isNull() | (F.col(order) <= F.lit(high)) if low is None else F.col(order) <= F.lit(high))
+        out.append(own)
+    return out
+
+
+def arrived(spark: SparkSession, parts: list[DataFrame], path: str, files: int = 2) -> None:
+    """Adds parts to the files in path, one after the other, so that a stream reads them in this order."""
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+
+
+def split(spark: SparkSession, rows: DataFrame, order: str, parts: int) -> str:
+    """A folder with rows in parts by ranges of order: a stream's input where a table is one file."""
+    path = folder(spark, "stream")
+    arrived(spark, ranges(rows, order, parts), path)
     return path
 
 
-def streamed(spark: SparkSession, folder: str, files_a_batch: int = 2) -> DataFrame:
-    """A folder's Parquet files as a stream, so many a micro-batch."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+def streamed(spark: SparkSession, path: str, files_a_batch: int = 2) -> DataFrame:
+    """A folder's Parquet files as a stream, in the order in which they were written, so many a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+
 
+def run(stream: DataFrame, mode: str, path: str | None = None, polled: bool = False) -> DataFrame:
+    """All rows that a stream sends until its input is used up, with batch, the micro-batch that sent them; they are written to the shared folder, a batch that runs again in its own place.
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream sends until its input is used up, with batch, the micro-batch that sent them; they are written to the shared folder, a batch that runs again in its own place."""
+    With path, what an earlier run there has read isn't read again, and its rows are among the results.
+    polled: for sources that can't tell beforehand where a run is to end (those written in Python): they
+    are asked until there is nothing new, and timers have fired.
+    """
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/sent-{uuid.uuid4().hex}"
+    path = path or folder(spark, "sent")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/n{n}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    with machines.typed_state(spark):
+        when = {"processingTime": "0 seconds"} if polled else {"availableNow": True}
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(**when).foreachBatch(write).start()
+    try:
+        query.processAllAvailable() if polled else query.awaitTermination()
+    finally:
+        query.stop()
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{path}/*")
 
 
@@ -102,36 +81,135 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
 
 
-def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames made of events, in several micro-batches, folded by stream."""
+def beat(rows: DataFrame, key: str, order: str, at: str, after: str) -> DataFrame:
+    """One row of rows' columns, the first one of the key -1 and a time so long after the last: it moves the watermark past all others."""
+    kind = dict(rows.dtypes)
+    last = rows.agg(F.max(at).alias(at)).select((F.col(at) + F.expr(f"interval {after}")).alias(at), F.lit(-1).cast(kind[key]).alias(key), F.lit(0).cast(kind[order]).alias(order))
+    return rows.limit(0).unionByName(last, allowMissingColumns=True).where(F.col(at).isNotNull())
+
+
+def _turns(spark: SparkSession, sf_dir: str, silence: str, after: str) -> DataFrame:
+    """Turns of all frames made of events, in several micro-batches and closed by the watermark."""
     events = T.table(spark, sf_dir, "events")
-    frames = T.frames_of(streamed(spark, split(spark, events, "event_id", 6))).withColumn("at", F.col("ts"))
-    folded = fold_stream(turns.translate_chat(frames), late="100 days", silence="1000 days")
-    return latest(run(folded, "update"), ["stream_id"]).where("content <> ''").drop("status")
+    path = folder(spark, "stream")
+    *first, last = ranges(events, "event_id", 3)
+    arrived(spark, [*first, last.unionByName(beat(events, "user_id", "event_id", "ts", after))], path)
+    frames = T.frames_of(streamed(spark, path)).withColumn("at", F.col("ts"))
+    return run(machines.fold_turns(turns.translate_chat(frames), late="10 minutes", silence=silence), "append").where("stream_id >= 0").drop("batch")
+
 
+def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames folded by stream: one turn each, as none is silent for 40 days."""
+    return _turns(spark, sf_dir, "40 days", "50 days").where("content <> ''").drop("status", "started")
 
-def _counted(spark: SparkSession, sf_dir: str, width: str, slide: str | None) -> DataFrame:
-    events = streamed(spark, split(spark, T.table(spark, sf_dir, "events"), "ts", 6)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "100 days")
-    counted = events.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
-    rows = run(counted.select(F.col("window.start").alias("day"), "event_type", "n"), "update")
+
+def turns_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames as turns that end with twelve hours of silence."""
+    return _turns(spark, sf_dir, "12 hours", "2 days").withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+def _pieces(text: F.Column) -> F.Column:
+    """Bytes of text in pieces of 1, 2, … 7, 1, 2, … bytes."""
+    raw = F.encode(text, "utf-8")
+    n = F.octet_length(raw)
+    places = F.sequence(F.lit(0), 7 * F.floor(n / 28).cast("int") + 6)
+    start = lambda j: 28 * F.floor(j / 7).cast("int") + (j % 7 * (j % 7 + 1) / 2).cast("int")
+    return F.transform(F.filter(places, lambda j: start(j) < n), lambda j: F.substring(raw, start(j) + 1, j % 7 + 1))
+
+
+def _frame_text(before: str, after: str) -> F.Column:
+    event = F.when(F.col("event").isNotNull(), F.concat(F.lit("event: "), F.col("event"), F.lit("\r\n"))).otherwise("")
+    return F.concat(F.lit(before), event, F.lit("data: "), F.col("data"), F.lit(after))
+
+
+def frames_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames out of logs of chunks of 1 to 7 bytes, which cut code points, lines and frames anywhere.
+
+    Blank lines stand before frames, so each stream's last one is unfinished until the stream is
+    silent. The logs come in two parts; between them the stream stops and starts again from its checkpoint.
+    """
+    frames = T.frames_of(T.table(spark, sf_dir, "events")).withColumn("data", F.concat("data", F.lit(" ü你😀")))
+    cut = frames.select("stream_id", "seq", F.col("ts").alias("at"), _pieces(_frame_text("\n\r\n", "")).alias("pieces"))
+    before = F.coalesce(F.sum(F.size("pieces")).over(Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = cut.withColumn("before", before).select("stream_id", "seq", "at", "before", F.posexplode("pieces").alias("k", "chunk"))
+    logs, sent = folder(spark, "log"), folder(spark, "sent")
+    numbered = lambda df: df.select("stream_id", (F.col("before") + F.col("k")).alias("seq"), "at", "chunk")
+    first, last = ranges(chunks, "seq", 2)
+    end = beat(numbered(chunks), "stream_id", "seq", "at", "50 days").withColumn("chunk", F.lit(b""))
+    for part in (numbered(first), numbered(last).unionByName(end)):
+        captures.capture(part, logs)
+        out = run(machines.split_frames(captures.chunks_of(captures.stream_lines(spark, logs)), silence="40 days"), "append", sent, polled=True)
+    return out.where("stream_id >= 0").select("stream_id", "n", F.coalesce("event", F.lit("")).alias("event"), "data")
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, one a chunk, written to logs in two parts and read by a stream that is started again for the second: none is lost, none comes twice."""
+    frames = T.frames_of(T.table(spark, sf_dir, "events"))
+    chunks = frames.select("stream_id", "seq", F.col("ts").alias("at"), F.encode(_frame_text("", "\n\n"), "utf-8").alias("chunk"))
+    logs, sent = folder(spark, "log"), folder(spark, "sent")
+    for part in ranges(chunks, "seq", 2):
+        captures.capture(part, logs)
+        out = run(captures.chunks_of(captures.stream_lines(spark, logs, split=1 << 16)), "append", sent, polled=True)
+    lines = F.split(F.decode("chunk", "utf-8"), "\r?\n")
+    told = lambda k: F.get(F.filter(lines, lambda x: x.startswith(k)), 0)
+    return out.select("stream_id", "seq", F.coalesce(F.substring(told("event: "), 8, 1 << 30), F.lit("")).alias("event"), F.substring(told("data: "), 7, 1 << 30).alias("data"))
+
+
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each audit row as a request of up to 76 tokens against its user's bucket of 100, which gets three an hour."""
+    asked = T.audit(spark, sf_dir).select("id", "user_id", F.col("created_at").alias("at"), (15 * (F.col("tokens") % 6) + 1).alias("cost"))
+    stream = streamed(spark, split(spark, asked, "id", 3))
+    return run(machines.limited(stream, 100, "20 minutes"), "append").drop("batch")
+
+
+def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late audit rows put into the table as a stream brings them, some of them twice: replays are dropped within the watermark, and the sink takes a key's first row only."""
+    rows = T.audit(spark, sf_dir).select("id", "user_id", "action", F.col("created_at").cast("timestamp").alias("at"))
+    held = rows.where("id % 7 > 0").select("id", "action", F.concat(F.lit("e"), F.col("id").cast("string")).alias("key"))
+    late = rows.where("id % 7 = 0").select((F.col("id") + 10_000_000).alias("id"), "action", "at", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"))
+    known = rows.where("id % 7 = 1").select((F.col("id") + 20_000_000).alias("id"), "action", "at", F.concat(F.lit("e"), F.col("id").cast("string")).alias("key"))
+    again = late.where("id % 2 = 0")
+    path = split(spark, late.unionByName(known).unionByName(again), "at", 3)
+    stream = streamed(spark, path).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["id"])
+    target = folder(spark, "audit")
+    sinks.written_once(stream.drop("at"), held, target, "key", "id")
+    return sinks.with_held(spark, held, target).select("id", "action")
+
+
+def _counted(events: DataFrame, width: str, slide: str | None, late: str = "1 hour") -> DataFrame:
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = own.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
     return latest(rows, ["day", "event_type"]).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events a day and type, counted as a stream: each micro-batch sends the windows it changes, the last row of a window counts."""
-    return _counted(spark, sf_dir, "1 day", None)
+    """Events a day and type, counted as a stream: each micro-batch sends the windows it changes, the last row of a window counts; windows that the watermark has passed are forgotten."""
+    return _by_day(run(_counted(streamed(spark, split(spark, T.table(spark, sf_dir, "events"), "ts", 3)), "1 day", None), "update"))
 
 
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for windows of two days that begin every day."""
-    return _counted(spark, sf_dir, "2 days", "1 day")
+    return _by_day(run(_counted(streamed(spark, split(spark, T.table(spark, sf_dir, "events"), "ts", 3)), "2 days", "1 day"), "update"))
+
+
+def with_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts a day where every fiftieth event comes after all others: those of days that the watermark, a day behind the last event, has passed are left out, the others still count."""
+    events, path, sent = T.table(spark, sf_dir, "events"), folder(spark, "stream"), folder(spark, "sent")
+    for part in (events.where("event_id % 50 > 0"), events.where("event_id % 50 = 0")):
+        arrived(spark, ranges(part, "ts", 2), path)
+        rows = run(_counted(streamed(spark, path), "1 day", None, "1 day"), "update", sent)
+    return _by_day(rows)
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams, clicks and purchases, joined by user and within six hours; both watermarks and the time bound let Spark forget what can't match any more."""
-    folder = split(spark, T.table(spark, sf_dir, "events"), "ts", 6)
+    path = split(spark, T.table(spark, sf_dir, "events"), "ts", 3)
     ts = F.col("ts").cast("timestamp")
-    one = streamed(spark, folder).where("event_type = 'click'").select(F.col("user_id"), F.col("event_id").alias("click_id"), ts.alias("clicked")).withWatermark("clicked", "100 days")
-    two = streamed(spark, folder).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("purchase_id"), ts.alias("bought")).withWatermark("bought", "100 days")
+    one = streamed(spark, path).where("event_type = 'click'").select(F.col("user_id"), F.col("event_id").alias("click_id"), ts.alias("clicked")).withWatermark("clicked", "1 hour")
+    two = streamed(spark, path).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("purchase_id"), ts.alias("bought")).withWatermark("bought", "1 hour")
     met = one.join(two, F.expr("user_id = buyer and bought >= clicked and bought <= clicked + interval 6 hours"))
     return run(met.select("user_id", "click_id", "purchase_id"), "append").drop("batch")
