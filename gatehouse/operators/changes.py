@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.operators.names import unused
+
 
 def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
     """table with rows, which may lack columns (null then)."""
     return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)
 
 
-def patched(table: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """table with the fields that patches (key, fields array<string>, values…) names: a named one takes its value, null too; one that isn't named stays, whatever its value."""
-    new = patches.select(key, "fields", *[F.col(c).alias(f"_new_{c}") for c in patches.columns if c not in (key, "fields")])
-    joined = table.join(new, key, "left")
-    named = lambda c: F.coalesce(F.array_contains("fields", c), F.lit(False))
-    return joined.select(*[F.when(named(c), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if f"_new_{c}" in new.columns else F.col(c) for c in table.columns])
+def combined(patches: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """patches (key, fields array<string>, values…) with one row a key: each field takes its value from the last patch that names it, by order, then by a hash of the row where order is the same or not given."""
+    values = [c for c in patches.columns if c not in (key, "fields", order)]
+    at = F.struct(*([order] if order else []), F.xxhash64(*patches.columns))
+    named = lambda c: F.array_contains("fields", c)
+    last = [F.max_by(F.struct(F.col(c).alias("x")), F.when(named(c), at)).getField("x").alias(c) for c in values]
+    return patches.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("fields"))).alias("fields"), *last)
+
+
+def patched(table: DataFrame, patches: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """table with the fields that patches (key, fields array<string>, values…) names: a named one takes its value, null too; one that isn't named stays, whatever its value. Several patches of a key count as one (combined)."""
+    own = combined(patches, key, order)
+    values = [c for c in own.columns if c not in (key, "fields")]
+    new, names = unused(table, "patch"), unused(table, "named")
+    joined = table.join(own.select(key, F.col("fields").alias(names), F.struct(*values).alias(new)), key, "left")
+    named = lambda c: F.coalesce(F.array_contains(names, c), F.lit(False))
+    return joined.select(*[F.when(named(c), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
 
 
 def seeded(table: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
@@ -26,7 +39,7 @@ def seeded(table: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
 
 def backfilled(table: DataFrame, late: DataFrame, key: str, order: str) -> DataFrame:
     """table with late rows, one a dedupe key, the earliest by order; a key that the table has already is left alone."""
-    first = late.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_nth = 1").drop("_nth")
+    first = late.groupBy(key).agg(F.min_by(F.struct(*late.columns), order).alias("row")).select("row.*")
     return table.unionByName(first.join(table.select(key), key, "left_anti").select(*table.columns))
 
 

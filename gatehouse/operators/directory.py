@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.operators import hierarchy
+
 
 def filtered(users: DataFrame, query: str | None = None, status: int | None = None, dept_id: int | None = None) -> DataFrame:
     """users whose name or email holds query, any case (% and _ are wildcards), with status and dept_id where given."""
@@ -22,17 +24,8 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20,
 
 
 def with_paths(departments: DataFrame) -> DataFrame:
-    """departments with path, "/1/3/7/", from parent_id by recursion; those on a cycle or below a missing parent have none."""
-    spark: SparkSession = departments.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE t(id, name, parent_id, path) AS (
-          SELECT id, name, parent_id, concat('/', id, '/') FROM {own} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT d.id, d.name, d.parent_id, concat(t.path, d.id, '/') FROM {own} d JOIN t ON d.parent_id = t.id)
-        SELECT * FROM t""",
-        own=departments,
-    )
+    """departments with path, "/1/3/7/", from parent_id, of any depth; those on or below a cycle, or below a missing parent, have none."""
+    return hierarchy.paths(departments.select("id", "name", "parent_id"))
 
 
 def ancestors(paths: DataFrame) -> DataFrame:

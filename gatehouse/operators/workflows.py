@@ -19,13 +19,14 @@ def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
-def validated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def validated(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
     """(graph_id, outcome) of nodes (graph_id, node_id, kind) and edges (graph_id, source, target, handle): the first rule that a graph breaks, else ok.
 
     In this order: starts (not exactly one start), no_answer, start_open (the start leads nowhere),
     dead_end (from a successor of the start no answer is reached), branches (an if-else node hasn't
     exactly two edges with the handles true and false), dead_branch (from one of these no answer is
-    reached), orphans (nodes that the start doesn't reach).
+    reached), orphans (nodes that the start doesn't reach). With strict, any cycle is refused before all
+    else, as cycle.
     """
     shared_dir(nodes.sparkSession)
     nodes, edges = nodes.checkpoint(), edges.checkpoint()
@@ -55,4 +56,10 @@ def validated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     outcome = F.lit("ok")
     for name, broken in reversed(rules):
         outcome = F.when(broken, name).otherwise(outcome)
-    return facts.select("graph_id", outcome.alias("outcome"))
+    told = facts.select("graph_id", outcome.alias("outcome"))
+    if not strict:
+        return told
+    from gatehouse.operators import graphs  # it builds on this module
+
+    cyclic = graphs.on_cycles(nodes, edges).select("graph_id").distinct().withColumn("cyclic", F.lit(True))
+    return told.join(cyclic, "graph_id", "left").select("graph_id", F.when(F.col("cyclic"), "cycle").otherwise(F.col("outcome")).alias("outcome"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
-from gatehouse.operators import access, changes, corpus, directory, history, limits, tokens, turns, workflows
+from gatehouse.operators import access, changes, corpus, directory, history, limits, ordering, tokens, turns, workflows
 from gatehouse.plans.register import query
 from gatehouse.sources import tables as T
 from gatehouse.sources.tables import sql
@@ -196,7 +196,7 @@ def dept_deleted(spark, sf):
 @query(sql("SELECT id, path, row_number() OVER (ORDER BY path, id) AS place FROM departments"))
 def dept_list(spark, sf):
     """Departments by path, text order: /10/ before /2/."""
-    return directory.with_paths(T.departments(spark, sf)).select("id", "path", F.row_number().over(Window.orderBy("path", "id")).alias("place"))
+    return ordering.placed(directory.with_paths(T.departments(spark, sf)).select("id", "path"), [F.col("path"), F.col("id")])
 
 
 @query(sql("SELECT resource_id, principal_type, principal_id, row_number() OVER (PARTITION BY resource_id ORDER BY principal_type, principal_id) AS place FROM grants"))
@@ -450,13 +450,13 @@ def deltas_flushed(spark, sf):
 # Workflow graphs
 
 
-_NODES = """g AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS node_id, count(*) OVER (PARTITION BY l_orderkey) AS last FROM lineitem),
+NODES = """g AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS node_id, count(*) OVER (PARTITION BY l_orderkey) AS last FROM lineitem),
   nodes AS (SELECT graph_id, node_id, last, CASE WHEN node_id = 1 THEN CASE WHEN graph_id % 11 = 0 THEN 'llm' ELSE 'start' END WHEN node_id = last AND graph_id % 7 > 0 THEN 'answer' WHEN node_id = 2 AND graph_id % 3 = 0 THEN 'if-else' ELSE 'llm' END AS kind FROM g),
   edges AS (SELECT graph_id, node_id AS source, node_id + 1 AS target, CASE WHEN kind = 'if-else' THEN 'true' END AS handle FROM nodes WHERE node_id < last AND NOT (graph_id % 5 = 0 AND node_id = 2)
     UNION ALL SELECT graph_id, node_id, last, 'false' FROM nodes WHERE kind = 'if-else' AND graph_id % 13 > 0 UNION ALL SELECT graph_id, node_id, 2, NULL FROM nodes WHERE node_id = 3 AND graph_id % 4 = 0)"""
 
 
-@query(f"""WITH RECURSIVE {_NODES},
+@query(f"""WITH RECURSIVE {NODES},
   fwd AS (SELECT graph_id, node_id FROM nodes WHERE kind = 'start' UNION SELECT e.graph_id, e.target FROM fwd f JOIN edges e ON e.graph_id = f.graph_id AND e.source = f.node_id),
   bwd AS (SELECT graph_id, node_id FROM nodes WHERE kind = 'answer' UNION SELECT e.graph_id, e.source FROM bwd f JOIN edges e ON e.graph_id = f.graph_id AND e.target = f.node_id),
   o AS (SELECT e.graph_id, e.source AS node_id, count(*) AS n, count(*) FILTER (WHERE b.node_id IS NULL) AS dead, count(*) FILTER (WHERE handle IS NOT NULL) AS branches, count(*) FILTER (WHERE handle IS NOT NULL AND b.node_id IS NULL) AS dead_branches
@@ -465,7 +465,11 @@ _NODES = """g AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY
     WHEN count(*) FILTER (WHERE kind = 'if-else' AND coalesce(branches, 0) <> 2) > 0 THEN 'branches' WHEN count(*) FILTER (WHERE kind = 'if-else' AND dead_branches > 0) > 0 THEN 'dead_branch' WHEN count(*) FILTER (WHERE found IS NULL) > 0 THEN 'orphans' ELSE 'ok' END AS outcome
   FROM (SELECT n.graph_id, n.kind, o.n, o.dead, o.branches, o.dead_branches, f.node_id AS found FROM nodes n LEFT JOIN o ON o.graph_id = n.graph_id AND o.node_id = n.node_id LEFT JOIN fwd f ON f.graph_id = n.graph_id AND f.node_id = n.node_id) GROUP BY graph_id""")
 def workflows_validated(spark, sf):
-    """A graph an order, its nodes in a row, with branches, loops, gaps, and graphs without a start or an answer."""
+    return workflows.validated(*workflow_graphs(spark, sf))
+
+
+def workflow_graphs(spark, sf):
+    """(nodes, edges): a graph an order, its nodes in a row, with branches, loops, gaps, and graphs without a start or an answer."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     item = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("graph_id"), place.cast("long").alias("node_id"))
     nodes = item.withColumn("last", F.max("node_id").over(Window.partitionBy("graph_id")))
@@ -474,4 +478,4 @@ def workflows_validated(spark, sf):
     chain = nodes.where((F.col("node_id") < F.col("last")) & ~((F.col("graph_id") % 5 == 0) & (F.col("node_id") == 2))).select("graph_id", F.col("node_id").alias("source"), (F.col("node_id") + 1).alias("target"), F.when(F.col("kind") == "if-else", "true").alias("handle"))
     other = nodes.where((F.col("kind") == "if-else") & (F.col("graph_id") % 13 > 0)).select("graph_id", F.col("node_id").alias("source"), F.col("last").alias("target"), F.lit("false").alias("handle"))
     loop = nodes.where((F.col("node_id") == 3) & (F.col("graph_id") % 4 == 0)).select("graph_id", F.col("node_id").alias("source"), F.lit(2).cast("long").alias("target"), F.lit(None).cast("string").alias("handle"))
-    return workflows.validated(nodes, chain.unionByName(other).unionByName(loop))
+    return nodes, chain.unionByName(other).unionByName(loop)
