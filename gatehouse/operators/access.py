@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts in which administrators are dealt, each of which meets all resources.
-PARTS = 16
+#: Fixed value: the code of the role that may do everything.
+ADMIN = "PLATFORM_ADMIN"
 
 
 def principals(users: DataFrame, user_roles: DataFrame) -> DataFrame:
@@ -16,41 +16,63 @@ def principals(users: DataFrame, user_roles: DataFrame) -> DataFrame:
     return own.select("user_id", "p.principal_type", "p.principal_id").where("principal_id is not null").unionByName(roles.select("user_id", F.lit("role").alias("principal_type"), F.col("role_id").alias("principal_id")))
 
 
-def visible(users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame) -> DataFrame:
-    """(user_id, resource_id) of active users and active resources.
+def admin_ids(users: DataFrame, user_roles: DataFrame, roles: DataFrame, code: str = ADMIN) -> DataFrame:
+    """(user_id) of users among whose effective roles is that one, asked live: by a role row or, for users without any, by the JSON array in roles_json, where users has that column."""
+    by_row = user_roles.join(roles.where(F.col("code") == code).select(F.col("id").alias("role_id")), "role_id", "left_semi").select("user_id")
+    own = by_row.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").distinct()
+    if "roles_json" not in users.columns:
+        return own
+    told = users.where(F.array_contains(F.from_json("roles_json", "array<string>"), code)).select(F.col("id").alias("user_id"))
+    known = user_roles.join(roles.select(F.col("id").alias("role_id")), "role_id", "left_semi").select("user_id")
+    return own.unionByName(told.join(known, "user_id", "left_anti").distinct())
+
+
+def scopes(users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame, roles: DataFrame) -> DataFrame:
+    """(user_id, resource_id, unrestricted) of active users: a row for each active resource that a grant shows, and one row without a resource for an administrator, whom nothing restricts.
 
     The disjunction of three kinds of grants is one equi-join on (type, id), after each user is expanded
-    to its principals. Administrators see every resource: they are dealt into parts, each of which meets
-    all resources, so that no single task makes all their rows. Department grants aren't inherited.
+    to its principals. Department grants aren't inherited.
     """
     active, open_ = users.where("status = 1"), resources.where("status = 1").select(F.col("id").alias("resource_id"))
-    who = principals(active.where(~F.col("admin")), user_roles)
+    admins = admin_ids(active, user_roles, roles)
+    who = principals(active.join(admins.withColumnRenamed("user_id", "id"), "id", "left_anti"), user_roles)
     what = grants.join(open_, "resource_id", "left_semi").select("resource_id", "principal_type", "principal_id")
     shared = who.join(what, ["principal_type", "principal_id"]).select("user_id", "resource_id").distinct()
-    admins = active.where("admin").select(F.col("id").alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
-    every = open_.select("resource_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
-    return shared.unionByName(admins.join(every, "part").select("user_id", "resource_id"))
+    return shared.withColumn("unrestricted", F.lit(False)).unionByName(admins.select("user_id", F.lit(None).cast("long").alias("resource_id"), F.lit(True).alias("unrestricted")))
+
 
+def visible(users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame, roles: DataFrame) -> DataFrame:
+    """(user_id, resource_id) of active users and active resources: scopes with administrators written out, for those who need the pairs. Administrators are dealt into as many parts as shuffles have, each of which meets all resources."""
+    own = scopes(users, user_roles, grants, resources, roles)
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = resources.where("status = 1").select(F.col("id").alias("resource_id"))
+    every = open_.select("resource_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    admins = own.where("unrestricted").select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int").alias("part"))
+    return own.where("not unrestricted").select("user_id", "resource_id").unionByName(admins.join(every, "part").select("user_id", "resource_id"))
 
-def decided(requests: DataFrame, users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame) -> DataFrame:
+
+def decided(requests: DataFrame, users: DataFrame, user_roles: DataFrame, grants: DataFrame, resources: DataFrame, roles: DataFrame) -> DataFrame:
     """requests (user_id, resource_id, …) with outcome allow, deny, not_found (no such resource) or inactive (of user or resource). Closed by default.
 
     Only pairs that are asked for are looked at: the principals of their users are joined with the grants
     of their resources, so no product of users and resources is built; administrators are a flag.
     """
-    who = users.select(F.col("id").alias("user_id"), F.col("status").alias("user_status"), F.col("admin"))
+    admins = admin_ids(users, user_roles, roles).withColumn("unrestricted", F.lit(True))
+    who = users.select(F.col("id").alias("user_id"), F.col("status").alias("user_status")).join(admins, "user_id", "left")
     what = resources.select(F.col("id").alias("resource_id"), F.col("status").alias("resource_status"))
     asked = requests.select("user_id", "resource_id").distinct()
     held = asked.join(principals(users.where("status = 1"), user_roles), "user_id")
     seen = held.join(grants, ["resource_id", "principal_type", "principal_id"], "left_semi").select("user_id", "resource_id").distinct().withColumn("seen", F.lit(True))
-    joined = requests.join(who, "user_id", "left").join(what, "resource_id", "left").join(seen, ["user_id", "resource_id"], "left")
-    outcome = F.when(F.col("resource_status").isNull(), "not_found").when((F.coalesce("user_status", F.lit(0)) != 1) | (F.col("resource_status") != 1), "inactive").when(F.col("admin") | F.col("seen"), "allow").otherwise("deny")
-    return joined.select(*requests.columns, outcome.alias("outcome"))
+    facts = asked.join(who, "user_id", "left").join(what, "resource_id", "left").join(seen, ["user_id", "resource_id"], "left")
+    outcome = F.when(F.col("resource_status").isNull(), "not_found").when((F.coalesce("user_status", F.lit(0)) != 1) | (F.col("resource_status") != 1), "inactive").when(F.col("unrestricted") | F.col("seen"), "allow").otherwise("deny")
+    told = facts.select(F.col("user_id").alias("asked_user"), F.col("resource_id").alias("asked_resource"), outcome.alias("told"))
+    same = requests["user_id"].eqNullSafe(told["asked_user"]) & requests["resource_id"].eqNullSafe(told["asked_resource"])
+    return requests.join(told, same).select(*[requests[c] for c in requests.columns], told["told"].alias("outcome"))
 
 
 def effective_roles(users: DataFrame, user_roles: DataFrame, roles: DataFrame, default: str = "USER") -> DataFrame:
     """(user_id, codes): role codes by role id; without any, the codes of the JSON array in roles_json, where users has that column, as they stand there; without those, the default one."""
-    held = user_roles.join(F.broadcast(roles.withColumnRenamed("id", "role_id")), "role_id").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("role_id", "code"))).alias("held"))
+    held = user_roles.join(roles.withColumnRenamed("id", "role_id"), "role_id").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("role_id", "code"))).alias("held"))
     told = F.from_json("roles_json", "array<string>") if "roles_json" in users.columns else F.lit(None).cast("array<string>")
     joined = users.select(F.col("id").alias("user_id"), F.when(F.size(told) > 0, told).alias("told")).join(held, "user_id", "left")
     return joined.select("user_id", F.coalesce(F.col("held.code"), "told", F.array(F.lit(default))).alias("codes"))
@@ -100,9 +122,22 @@ def replaced(grants: DataFrame, of: Column, wanted: DataFrame, resources: DataFr
     unknown = fresh.join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_anti").select("resource_id").distinct()
     # One row, whatever is asked for.
     verdict = unknown.agg(F.count("*").alias("n"), F.min("resource_id").alias("least")).select(F.when(F.col("n") > 0, F.concat(F.lit("unknown: "), F.col("n").cast("string"), F.lit(" from "), F.col("least").cast("string"))).otherwise("replaced").alias("outcome"))
-    rows = grants.withColumn("_new", F.lit(False)).withColumn("_old", of).unionByName(fresh.withColumn("_new", F.lit(True)).withColumn("_old", F.lit(False)))
-    refused = F.col("outcome") != "replaced"
-    return rows.join(F.broadcast(verdict), how="cross").where(F.when(refused, ~F.col("_new")).otherwise(~F.col("_old"))).select(*keys, "outcome")
+    rows = grants.select(F.struct(*keys).alias("row"), F.lit(False).alias("new"), of.alias("old")).unionByName(fresh.select(F.struct(*keys).alias("row"), F.lit(True).alias("new"), F.lit(False).alias("old")))
+    kept = F.when(F.col("outcome") != "replaced", ~F.col("new")).otherwise(~F.col("old"))
+    return rows.join(F.broadcast(verdict), how="cross").where(kept).select("row.*", "outcome")
+
+
+def unknown_ids(wanted: DataFrame, resources: DataFrame) -> DataFrame:
+    """(resource_id): those of wanted that don't exist, each once, sorted: the list that a refused replace tells."""
+    return wanted.select("resource_id").distinct().join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_anti").orderBy("resource_id")
+
+
+def grants_asked(asked: DataFrame, principal_type: str, known: DataFrame, grants: DataFrame) -> DataFrame:
+    """(id, outcome, resources) of asked (id): not_found where there is no such principal (known: id), else ok with the ids granted to it, sorted, an empty list where there are none."""
+    own = grants.where(F.col("principal_type") == principal_type).groupBy(F.col("principal_id").alias("id")).agg(F.array_sort(F.collect_set("resource_id")).alias("held"))
+    found = asked.select("id").distinct().join(known.select("id", F.lit(True).alias("known")), "id", "left").join(own, "id", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    return found.select("id", F.when(F.col("known"), "ok").otherwise("not_found").alias("outcome"), F.when(F.col("known"), F.coalesce("held", none)).alias("resources"))
 
 
 def upserted(grants: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,10 +156,21 @@ def roles_replaced(user_roles: DataFrame, user_id: int, codes: list[str], roles:
     """user_roles in which the user has the roles of codes and no others, each once, with outcome on every row; codes that don't exist abort the change, and outcome lists them, sorted."""
     asked = sorted(set(codes))
     # As many rows as are asked for.
-    wanted = roles.sparkSession.createDataFrame([(c,) for c in asked], "code string").join(F.broadcast(roles), "code", "left")
+    wanted = roles.sparkSession.createDataFrame([(c,) for c in asked], "code string").join(roles, "code", "left")
     verdict = wanted.agg(F.array_sort(F.collect_list(F.when(F.col("id").isNull(), F.col("code")))).alias("gone"))
     verdict = verdict.select(F.when(F.size("gone") > 0, F.concat(F.lit("unknown: "), F.array_join("gone", ","))).otherwise("replaced").alias("outcome"))
     new = wanted.where("id is not null").select(F.lit(user_id).cast("long").alias("user_id"), F.col("id").alias("role_id"))
-    rows = user_roles.select("user_id", "role_id", F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
-    kept = F.when(F.col("outcome") == "replaced", F.col("_new") | (F.col("user_id") != user_id)).otherwise(~F.col("_new"))
+    rows = user_roles.select("user_id", "role_id", F.lit(False).alias("new")).unionByName(new.withColumn("new", F.lit(True)))
+    kept = F.when(F.col("outcome") == "replaced", F.col("new") | (F.col("user_id") != user_id)).otherwise(~F.col("new"))
     return rows.join(F.broadcast(verdict), how="cross").where(kept).select("user_id", "role_id", "outcome")
+
+
+def snapshot_replaced(users: DataFrame, user_id: int, codes: list[str], roles: DataFrame) -> DataFrame:
+    """users (id, roles_json, …) in which the user's snapshot is codes as they are given, in step with roles_replaced: codes that don't exist leave it as it was."""
+    asked = roles.sparkSession.createDataFrame([(c,) for c in sorted(set(codes))], "code string")
+    # One row, whatever is asked for.
+    fine = asked.join(roles, "code", "left_anti").agg((F.count("*") == 0).alias("fine"))
+    told = F.to_json(F.array(*[F.lit(c) for c in codes])) if codes else F.lit("[]")
+    rows = users.select(F.struct(*users.columns).alias("row")).join(F.broadcast(fine), how="cross")
+    hit = F.col("fine") & (F.col("row.id") == user_id)
+    return rows.select(*[F.when(hit, told).otherwise(F.col("row.roles_json")).alias(c) if c == "roles_json" else F.col(f"row.{c}").alias(c) for c in users.columns])

@@ -52,7 +52,7 @@ def audit_rows(changes: DataFrame, action: str, detail: list[str] | None = None)
 def roles_from_json(users: DataFrame, roles: DataFrame, default: str = "USER") -> DataFrame:
     """(user_id, code) of users (id, roles_json): each known code of the JSON array once; a user without a known one gets the default."""
     told = users.select(F.col("id").alias("user_id"), F.explode_outer(F.from_json("roles_json", "array<string>")).alias("code"))
-    known = told.join(F.broadcast(roles.select("code")), "code", "left_semi").select("user_id", "code").distinct()
+    known = told.join(roles.select("code"), "code", "left_semi").select("user_id", "code").distinct()
     rest = users.select(F.col("id").alias("user_id")).join(known, "user_id", "left_anti").select("user_id", F.lit(default).alias("code"))
     return known.unionByName(rest)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.operators import hierarchy
+from gatehouse.operators import hierarchy, ordering
+from gatehouse.operators.names import unused
 
 
 def filtered(users: DataFrame, query: str | None = None, status: int | None = None, dept_id: int | None = None) -> DataFrame:
@@ -63,6 +64,12 @@ def after(rows: DataFrame, key: str, last, size: int) -> DataFrame:
     return (rows if last is None else rows.where(F.col(key) > last)).orderBy(key).limit(size)
 
 
+def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with batch, from 0: all batches that a reader gets who asks for the next `size` rows by a unique key until there are none (after)."""
+    own = ordering.placed(rows, [F.col(key)], unused(rows, "place"))
+    return own.select(*rows.columns, F.floor((F.col(own.columns[-1]) - 1) / size).cast("long").alias("batch"))
+
+
 def delete_guard(departments: DataFrame, users: DataFrame) -> DataFrame:
     """(id, outcome): has_children, has_users or ok, in this order."""
     below = departments.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("children", F.lit(True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatehouse.operators.names import unused
+
 
 def own(conversations: DataFrame, user_id: int, app_id: int | None = None, limit: int = 20, most: int = 100) -> DataFrame:
     """(id, app_id, last_seq, place): the user's live conversations, the latest first, of one app where given; limit is within 1 and most."""
@@ -17,9 +19,10 @@ def own(conversations: DataFrame, user_id: int, app_id: int | None = None, limit
 
 def guarded(asked: DataFrame, conversations: DataFrame) -> DataFrame:
     """asked (conversation_id, user_id, app_id, …) with outcome ok, or not_found where there is no such conversation, it is deleted, or it belongs to another user or app: a reader can't tell these apart."""
-    live = conversations.where(~F.col("deleted")).select(F.col("id").alias("conversation_id"), "user_id", "app_id", F.lit("ok").alias("_found"))
+    found = unused(asked, "found")
+    live = conversations.where(~F.col("deleted")).select(F.col("id").alias("conversation_id"), "user_id", "app_id", F.lit("ok").alias(found))
     joined = asked.join(live, ["conversation_id", "user_id", "app_id"], "left")
-    return joined.select(*[asked[c] for c in asked.columns], F.coalesce("_found", F.lit("not_found")).alias("outcome"))
+    return joined.select(*[asked[c] for c in asked.columns], F.coalesce(found, F.lit("not_found")).alias("outcome"))
 
 
 def retried(messages: DataFrame) -> DataFrame:
@@ -43,8 +46,9 @@ def to_front(rows: DataFrame, one: DataFrame, key: str = "id") -> DataFrame:
 
 def with_names(rows: DataFrame, key: str, known: DataFrame, name: str) -> DataFrame:
     """rows with name: the name of its key in known (id, name), the key itself where it isn't known, a dash where there is none."""
-    names = known.select(F.col("id").alias(key), F.col("name").alias("_name"))
-    return rows.join(names, key, "left").select(*[rows[c] for c in rows.columns], F.coalesce("_name", F.col(key).cast("string"), F.lit("—")).alias(name))
+    told = unused(rows, "told")
+    names = known.select(F.col("id").alias(key), F.col("name").alias(told))
+    return rows.join(names, key, "left").select(*[rows[c] for c in rows.columns], F.coalesce(told, F.col(key).cast("string"), F.lit("—")).alias(name))
 
 
 def exported(messages: DataFrame) -> DataFrame:

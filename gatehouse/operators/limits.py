@@ -16,7 +16,7 @@ def admitted(chunks: DataFrame, most: int) -> DataFrame:
     """(upload_id, n_read, bytes, outcome) of chunks (upload_id, seq, size): chunks are read in order until their sum exceeds `most`; then the upload is too_large and what follows is not read."""
     along = Window.partitionBy("upload_id").orderBy("seq")
     before = F.coalesce(F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    read = chunks.withColumn("_before", before).where(F.col("_before") <= most)
+    read = chunks.select("upload_id", "size", before.alias("before")).where(F.col("before") <= most)
     return read.groupBy("upload_id").agg(F.count("*").alias("n_read"), F.sum("size").alias("bytes")).withColumn("outcome", F.when(F.col("bytes") > most, "too_large").otherwise("ok"))
 
 

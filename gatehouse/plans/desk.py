@@ -27,7 +27,7 @@ def unique_key_lookups(spark, sf):
     """Users by email and roles by code, as joins on unique keys."""
     asked = T.audit(spark, sf).select("id", F.concat(F.lit("customer."), F.lpad((F.col("user_id") * 2).cast("string"), 9, "0"), F.lit("@company.com")).alias("email"), F.element_at(F.array(F.lit("BUILDING"), F.lit("building"), F.lit("MACHINERY")), (F.col("id") % 3 + 1).cast("int")).alias("code"))
     users = T.users(spark, sf).select(F.col("id").alias("found"), "email")
-    roles = F.broadcast(T.roles(spark).select(F.col("id").alias("role_id"), "code"))
+    roles = T.roles(spark, sf).select(F.col("id").alias("role_id"), "code")
     return asked.join(users, "email", "left").join(roles, "code", "left").select("id", "found", "role_id")
 
 
@@ -50,9 +50,9 @@ def conversation_guard(spark, sf):
     return history.guarded(asked, T.conversations(spark, sf)).select("id", "outcome")
 
 
-@query(sql("SELECT id, code FROM roles WHERE code <> 'MACHINERY' ORDER BY id"))
+@query(sql("SELECT id, code FROM roles WHERE code <> 'PLATFORM_ADMIN' ORDER BY id"))
 def roles_to_pick(spark, sf):
-    return access.roles_to_pick(T.roles(spark), "MACHINERY")
+    return access.roles_to_pick(T.roles(spark, sf), "PLATFORM_ADMIN")
 
 
 @query(sql("SELECT DISTINCT resource_id FROM grants WHERE principal_type = 'dept' AND principal_id = 107 ORDER BY resource_id"))
@@ -62,25 +62,35 @@ def grants_of_department(spark, sf):
 
 @query(sql("SELECT u.id AS user_id, coalesce(bool_or(r.code = 'MACHINERY'), false) AS admin FROM users u LEFT JOIN user_roles x ON x.user_id = u.id LEFT JOIN roles r ON r.id = x.role_id GROUP BY u.id"))
 def administrators_by_role(spark, sf):
-    return access.administrators(T.users(spark, sf), T.user_roles(spark, sf), T.roles(spark), "MACHINERY")
+    return access.administrators(T.users(spark, sf), T.user_roles(spark, sf), T.roles(spark, sf), "MACHINERY")
 
 
 _ROLES_JSON = "CASE id % 4 WHEN 0 THEN '[\"BUILDING\",\"GONE\",\"BUILDING\"]' WHEN 1 THEN '[]' WHEN 2 THEN NULL ELSE '[\"GONE\"]' END"
 
 
+def _told_json():
+    return F.when(F.col("id") % 4 == 0, '["BUILDING","GONE","BUILDING"]').when(F.col("id") % 4 == 1, "[]").when(F.col("id") % 4 == 3, '["GONE"]')
+
+
 def _told(spark, sf):
-    told = F.when(F.col("id") % 4 == 0, '["BUILDING","GONE","BUILDING"]').when(F.col("id") % 4 == 1, "[]").when(F.col("id") % 4 == 3, '["GONE"]')
-    return T.users(spark, sf).withColumn("roles_json", told)
+    return T.users(spark, sf).withColumn("roles_json", _told_json())
 
 
-@query(sql("""SELECT u.id AS user_id, coalesce(h.codes, CASE u.id % 4 WHEN 0 THEN 'BUILDING,GONE,BUILDING' WHEN 3 THEN 'GONE' ELSE 'USER' END) AS codes FROM users u LEFT JOIN (
-  SELECT x.user_id, string_agg(r.code, ',' ORDER BY r.id) AS codes FROM (SELECT DISTINCT * FROM user_roles WHERE user_id % 3 = 0) x JOIN roles r ON r.id = x.role_id GROUP BY x.user_id) h ON h.user_id = u.id"""))
+@query(sql("""SELECT u.id AS user_id, coalesce(h.codes, CASE u.id % 4 WHEN 0 THEN 'BUILDING,GONE,BUILDING' WHEN 3 THEN 'GONE' ELSE 'USER' END) AS codes FROM (SELECT id FROM users UNION ALL SELECT id + 10000000 FROM resources) u LEFT JOIN (
+  SELECT x.user_id, string_agg(r.code, ',' ORDER BY r.id) AS codes FROM (SELECT DISTINCT * FROM user_roles) x JOIN roles r ON r.id = x.role_id GROUP BY x.user_id) h ON h.user_id = u.id"""))
 def effective_roles_fallbacks(spark, sf):
-    """Role rows, else the JSON snapshot, else the default role."""
-    found = access.effective_roles(_told(spark, sf), T.user_roles(spark, sf).where("user_id % 3 = 0"), T.roles(spark))
+    """Role rows, else the JSON snapshot, else the default role: users, and suppliers as accounts that have no role rows."""
+    accounts = T.users(spark, sf).select("id").unionByName(T.resources(spark, sf).select((F.col("id") + 10_000_000).alias("id")))
+    found = access.effective_roles(accounts.withColumn("roles_json", _told_json()), T.user_roles(spark, sf), T.roles(spark, sf))
     return found.select("user_id", F.array_join("codes", ",").alias("codes"))
 
 
+@query(sql("SELECT id, CASE WHEN id = 6 THEN '[\"MACHINERY\",\"AUTOMOBILE\",\"MACHINERY\"]' ELSE CASE id % 4 WHEN 0 THEN '[\"BUILDING\",\"GONE\",\"BUILDING\"]' WHEN 1 THEN '[]' WHEN 3 THEN '[\"GONE\"]' END END AS roles_json FROM users"))
+def user_roles_snapshot(spark, sf):
+    """The JSON snapshot follows a replace of roles, as the codes were given."""
+    return access.snapshot_replaced(_told(spark, sf).select("id", "roles_json"), 6, ["MACHINERY", "AUTOMOBILE", "MACHINERY"], T.roles(spark, sf))
+
+
 @query(sql("SELECT a.id, CASE WHEN u.id IS NULL THEN 'unknown' WHEN u.status <> 1 THEN 'inactive' ELSE 'ok' END AS outcome FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'C' ELSE 'c' END || 'ustomer.' || lpad(user_id::VARCHAR, 9, '0') || '@company.com' AS e FROM audit) a LEFT JOIN users u ON u.email = a.e"))
 def login_eligibility(spark, sf):
     """The email must be the same in every letter, and the user active."""
@@ -89,11 +99,12 @@ def login_eligibility(spark, sf):
 
 
 @query(sql("""SELECT a.id, CASE WHEN t.id IS NULL THEN 'missing' WHEN t.id % 4 = 0 THEN 'revoked' WHEN coalesce(u.status, 0) <> 1 THEN 'inactive_user' ELSE 'valid' END AS state FROM audit a
-  LEFT JOIN (SELECT id, user_id FROM audit WHERE action <> 'view') t ON t.id = a.id LEFT JOIN users u ON u.id = t.user_id"""))
+  LEFT JOIN audit t ON t.id = a.id AND a.action <> 'view' LEFT JOIN users u ON u.id = t.user_id"""))
 def token_exchange_states(spark, sf):
     """Tokens by their hash; a hash without a token is missing."""
-    held = T.audit(spark, sf).where("action <> 'view'").select("id", "user_id", F.sha2(F.col("id").cast("string"), 256).alias("token_hash"), F.when(F.col("id") % 4 == 0, F.col("created_at")).alias("revoked_at"), (F.col("created_at") + F.expr("interval 90 days")).alias("expires_at"))
-    asked = T.audit(spark, sf).select(F.col("id").alias("request"), F.sha2(F.col("id").cast("string"), 256).alias("token_hash"))
+    held = T.audit(spark, sf).select("id", "user_id", F.sha2(F.col("id").cast("string"), 256).alias("token_hash"), F.when(F.col("id") % 4 == 0, F.col("created_at")).alias("revoked_at"), (F.col("created_at") + F.expr("interval 90 days")).alias("expires_at"))
+    named = F.when(F.col("action") == "view", F.concat(F.lit("none "), F.col("id").cast("string"))).otherwise(F.col("id").cast("string"))
+    asked = T.audit(spark, sf).select(F.col("id").alias("request"), F.sha2(named, 256).alias("token_hash"))
     return tokens.asked(asked, held, T.users(spark, sf), F.expr(CLOCK)).select(F.col("request").alias("id"), "state")
 
 
@@ -141,28 +152,28 @@ def grants_removed_audit(spark, sf):
     return changes.audit_rows(_to_role(spark, sf, 2), "revoke", ["principal_type", "principal_id"])
 
 
-@query(sql("SELECT id, code FROM roles UNION ALL SELECT 7, 'USER' UNION ALL SELECT 8, 'PLATFORM_ADMIN'"))
+@query(sql("SELECT id, code FROM roles UNION ALL SELECT 7, 'USER' UNION ALL SELECT 8, 'AUDITOR'"))
 def roles_seeded(spark, sf):
     """Defaults are added where they are missing; twice is the same as once."""
-    defaults = spark.createDataFrame([(7, "USER"), (8, "PLATFORM_ADMIN"), (9, "BUILDING")], "id long, code string")
-    return changes.seeded(changes.seeded(T.roles(spark), defaults, "code"), defaults, "code")
+    defaults = spark.createDataFrame([(7, "USER"), (8, "AUDITOR"), (9, "BUILDING"), (10, "PLATFORM_ADMIN")], "id long, code string")
+    return changes.seeded(changes.seeded(T.roles(spark, sf), defaults, "code"), defaults, "code")
 
 
 @query(sql("SELECT id AS user_id, CASE id % 4 WHEN 0 THEN 'BUILDING' ELSE 'USER' END AS code FROM users"))
 def roles_migrated(spark, sf):
     """JSON arrays of roles to rows; unknown codes go, whoever has none left is a plain user."""
-    return changes.roles_from_json(_told(spark, sf), T.roles(spark))
+    return changes.roles_from_json(_told(spark, sf), T.roles(spark, sf))
 
 
 @query(sql("SELECT x.user_id, x.role_id, 'replaced' AS outcome FROM user_roles x WHERE x.user_id <> 6 UNION ALL SELECT 6, unnest([0, 3]), 'replaced'"))
 def user_roles_replaced(spark, sf):
-    return access.roles_replaced(T.user_roles(spark, sf), 6, ["MACHINERY", "AUTOMOBILE", "MACHINERY"], T.roles(spark))
+    return access.roles_replaced(T.user_roles(spark, sf), 6, ["MACHINERY", "AUTOMOBILE", "MACHINERY"], T.roles(spark, sf))
 
 
 @query(sql("SELECT user_id, role_id, 'unknown: ROOT,ZZZ' AS outcome FROM user_roles"))
 def user_roles_rejected(spark, sf):
     """Unknown codes are told, sorted, and nothing changes."""
-    return access.roles_replaced(T.user_roles(spark, sf), 6, ["ZZZ", "MACHINERY", "ROOT"], T.roles(spark))
+    return access.roles_replaced(T.user_roles(spark, sf), 6, ["ZZZ", "MACHINERY", "ROOT"], T.roles(spark, sf))
 
 
 @query(sql("SELECT id, action FROM audit WHERE id % 7 > 0 UNION ALL SELECT min(id) + 10000000, arg_min(action, id) FROM audit WHERE id % 7 = 0 GROUP BY user_id"))
@@ -209,6 +220,12 @@ def audit_keyset_batch(spark, sf):
     return directory.after(T.audit(spark, sf).select("id", "action"), "id", 499, 100)
 
 
+@query(sql("SELECT id, action, ((row_number() OVER (ORDER BY id) - 1) // 100)::BIGINT AS batch FROM audit"))
+def audit_keyset_batches(spark, sf):
+    """All batches of a hundred rows by id, as a reader that goes on behind the last row of each gets them."""
+    return directory.batches(T.audit(spark, sf).select("id", "action"), "id", 100)
+
+
 @query(sql("SELECT conversation_id, string_agg(role, ',' ORDER BY first) AS speakers FROM (SELECT conversation_id, role, min(seq) AS first FROM messages GROUP BY conversation_id, role) GROUP BY conversation_id"))
 def speakers_in_order(spark, sf):
     """Who speaks in a conversation, each once, in order of their first words."""
@@ -337,10 +354,10 @@ def form_checked(spark, sf):
     return docs.select("doc_id", scalars.first_missing(required, inputs).alias("missing"), scalars.workflow_title(order, inputs, F.concat(F.lit("q"), F.col("doc_id").cast("string"))).alias("title"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE left('{"text":' || to_json(text) || '}', 8000) END AS content FROM documents WHERE doc_id % 2 = 0 OR text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang WHEN text IS NULL THEN '{}' ELSE left('{"text":' || to_json(text) || '}', 8000) END AS content FROM documents""")
 def turn_contents(spark, sf):
     """The question, or the beginning of the inputs as JSON."""
-    return T.table(spark, sf, "documents").where("doc_id % 2 = 0 or text is not null").select("doc_id", scalars.content_of(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(""), F.struct("text")).alias("content"))
+    return T.table(spark, sf, "documents").select("doc_id", scalars.content_of(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(""), F.struct("text")).alias("content"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS uuid FROM (SELECT event_id, md5(event_id::VARCHAR) AS h FROM events)")

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatehouse.functions import scalars
 from gatehouse.operators import access, corpus, directory, history, limits, tokens
 from gatehouse.plans.register import query
+from gatehouse.sources import files
 from gatehouse.sources import tables as T
+from gatehouse.sources.scratch import shared_dir
 from gatehouse.sources.tables import sql
 
 CLOCK = "2024-01-31 00:00:00"
 
 
 def _access(spark, sf):
-    return T.users(spark, sf), T.user_roles(spark, sf), T.grants(spark, sf), T.resources(spark, sf)
+    return T.users(spark, sf), T.user_roles(spark, sf), T.grants(spark, sf), T.resources(spark, sf), T.roles(spark, sf)
 
 
 @query(sql("SELECT user_id, resource_id FROM visible"))
@@ -23,19 +27,40 @@ def access_visible_resources(spark, sf):
     return access.visible(*_access(spark, sf))
 
 
+@query(sql(f"SELECT v.user_id, v.resource_id, false AS unrestricted FROM visible v WHERE v.user_id NOT IN (SELECT user_id FROM admins) UNION ALL SELECT a.user_id, NULL, true FROM admins a JOIN users u ON u.id = a.user_id WHERE u.status = 1"))
+def access_scopes(spark, sf):
+    """What each user sees by grants; administrators, told by their live roles, are one row without a list."""
+    return access.scopes(*_access(spark, sf))
+
+
+@query(sql("SELECT q.id, CASE WHEN u.id IS NULL THEN 'not_found' ELSE 'ok' END AS outcome, CASE WHEN u.id IS NOT NULL THEN coalesce((SELECT string_agg(g.resource_id, ',' ORDER BY g.resource_id) FROM grants g WHERE g.principal_type = 'user' AND g.principal_id = q.id), '') END AS resources FROM (SELECT id * 2 AS id FROM users) q LEFT JOIN users u ON u.id = q.id"))
+def grants_of_users_asked(spark, sf):
+    """Grants of many users: one who doesn't exist is told apart from one without any."""
+    asked = T.users(spark, sf).select((F.col("id") * 2).alias("id"))
+    found = access.grants_asked(asked, "user", T.users(spark, sf), T.grants(spark, sf))
+    return found.withColumn("resources", F.array_join("resources", ","))
+
+
+@query(sql("SELECT DISTINCT id * 3 AS resource_id FROM users WHERE id * 3 NOT IN (SELECT id FROM resources) ORDER BY 1"))
+def grants_unknown_ids(spark, sf):
+    """The whole list of ids that a replace would be refused for."""
+    return access.unknown_ids(T.users(spark, sf).select((F.col("id") * 3).alias("resource_id")), T.resources(spark, sf))
+
+
 @query(sql("SELECT r.id, r.name, row_number() OVER (ORDER BY r.id) AS place FROM visible v JOIN resources r ON r.id = v.resource_id WHERE v.user_id = 7"))
 def my_apps(spark, sf):
     """What one user sees, by id."""
-    users, roles, grants, resources = _access(spark, sf)
-    seen = access.visible(users.where("id = 7"), roles, grants, resources).select(F.col("resource_id").alias("id"))
+    users, held, grants, resources, roles = _access(spark, sf)
+    seen = access.visible(users.where("id = 7"), held, grants, resources, roles).select(F.col("resource_id").alias("id"))
     own = resources.join(seen, "id", "left_semi").select("id", "name")
     return own.withColumn("place", F.row_number().over(Window.orderBy("id")))  # one user's apps
 
 
-@query(sql("SELECT v.user_id, count(*) AS n_resources FROM visible v JOIN users u ON u.id = v.user_id WHERE u.admin GROUP BY v.user_id"))
+@query(sql("SELECT v.user_id, count(*) AS n_resources FROM visible v JOIN admins a ON a.user_id = v.user_id GROUP BY v.user_id"))
 def access_admin_bypass(spark, sf):
-    users, *rest = _access(spark, sf)
-    return access.visible(users.where("admin"), *rest).groupBy("user_id").agg(F.count("*").alias("n_resources"))
+    users, held, *rest, roles = _access(spark, sf)
+    admins = access.admin_ids(users, held, roles).withColumnRenamed("user_id", "id")
+    return access.visible(users.join(admins, "id", "left_semi"), held, *rest, roles).groupBy("user_id").agg(F.count("*").alias("n_resources"))
 
 
 @query(sql("""SELECT a.id, a.user_id, (a.id % 120)::BIGINT AS resource_id, CASE WHEN r.id IS NULL THEN 'not_found' WHEN coalesce(u.status, 0) <> 1 OR r.status <> 1 THEN 'inactive'
@@ -54,7 +79,7 @@ def access_default_closed(spark, sf):
 
 @query(sql("SELECT x.user_id, string_agg(r.code, ',' ORDER BY r.id) AS codes FROM (SELECT DISTINCT * FROM user_roles) x JOIN roles r ON r.id = x.role_id GROUP BY x.user_id"))
 def access_effective_roles(spark, sf):
-    found = access.effective_roles(T.users(spark, sf), T.user_roles(spark, sf), T.roles(spark))
+    found = access.effective_roles(T.users(spark, sf), T.user_roles(spark, sf), T.roles(spark, sf))
     return found.select("user_id", F.array_join("codes", ",").alias("codes"))
 
 
@@ -69,13 +94,13 @@ def access_reach(spark, sf):
   LEFT JOIN users u ON g.principal_type = 'user' AND u.id = g.principal_id LEFT JOIN departments d ON g.principal_type = 'dept' AND d.id = g.principal_id
   LEFT JOIN roles r ON g.principal_type = 'role' AND r.id = g.principal_id"""))
 def grants_with_names(spark, sf):
-    return access.grants_with_names(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark)))
+    return access.grants_with_names(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark, sf)))
 
 
 @query(sql("""SELECT g.resource_id, g.principal_type, g.principal_id FROM grants g LEFT JOIN users u ON g.principal_type = 'user' AND u.id = g.principal_id
   LEFT JOIN departments d ON g.principal_type = 'dept' AND d.id = g.principal_id LEFT JOIN roles r ON g.principal_type = 'role' AND r.id = g.principal_id WHERE u.id IS NULL AND d.id IS NULL AND r.id IS NULL"""))
 def grants_orphaned(spark, sf):
-    return access.orphaned(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark)))
+    return access.orphaned(T.grants(spark, sf), access.names(T.users(spark, sf), T.departments(spark, sf), T.roles(spark, sf)))
 
 
 _OLD = "SELECT resource_id, principal_type, principal_id, '%s' AS outcome FROM grants"
@@ -132,7 +157,7 @@ def directory_total(spark, sf):
   LEFT JOIN (SELECT DISTINCT * FROM user_roles) x ON x.user_id = u.id LEFT JOIN roles r ON r.id = x.role_id GROUP BY ALL"""))
 def directory_with_roles(spark, sf):
     users = T.users(spark, sf)
-    codes = access.effective_roles(users, T.user_roles(spark, sf), T.roles(spark)).select(F.col("user_id").alias("id"), F.array_join("codes", ",").alias("codes"))
+    codes = access.effective_roles(users, T.user_roles(spark, sf), T.roles(spark, sf)).select(F.col("user_id").alias("id"), F.array_join("codes", ",").alias("codes"))
     depts = T.departments(spark, sf).select(F.col("id").alias("dept_id"), F.col("name").alias("dept_name"))
     return users.join(depts, "dept_id", "left").join(codes, "id").select("id", "name", "dept_name", "codes")
 
@@ -314,6 +339,26 @@ def corpus_keyword_page(spark, sf):
     return directory.page(found, [F.col("doc_id")], number=2, size=20)
 
 
+@query("""SELECT doc_id, source, CASE n_chars % 3 WHEN 0 THEN '已完成' WHEN 1 THEN '索引中' ELSE '失败（no memory left on this n）' END AS status, n_chars % 3 <> 1 AS finished, count(*) OVER () AS total FROM documents WHERE lower(source) LIKE '%1%' AND lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 20""")
+def corpus_documents_status(spark, sf):
+    """A page of a corpus' documents with their indexing status, by keyword, and how many there are."""
+    kind = F.col("n_chars") % 3
+    status = F.when(kind == 0, "completed").when(kind == 1, "indexing").otherwise("error")
+    error = F.when(kind == 2, "no memory left on this node")
+    docs = T.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "source", scalars.status_label(status, error).alias("status"), scalars.is_finished(status).alias("finished"))
+    return corpus.filter_then_page(docs, "doc_id", F.col("source").ilike("%1%"), number=2, size=20)
+
+
+@query("SELECT page_id % 7 AS k, sum(octet_length(encode(url)) + 1)::BIGINT AS bytes, 0::BIGINT AS expired FROM pages WHERE url IS NOT NULL GROUP BY k")
+def files_listed(spark, sf):
+    """Urls written to a folder a kind, and what a listing tells of the files: bytes, and how many are past their time."""
+    path = f"{shared_dir(spark)}/urls-{uuid.uuid4().hex}"
+    T.table(spark, sf, "pages").where("url is not null").select((F.col("page_id") % 7).alias("k"), F.col("url").alias("value")).write.partitionBy("k").text(path)
+    found = files.listing(spark, f"{path}/k=*/*.txt").withColumn("k", F.regexp_extract("path", "/k=(\\d+)/", 1).cast("long"))
+    old = limits.expired(found, "modified", F.current_timestamp()).groupBy("k").agg(F.count("*").alias("expired"))
+    return found.groupBy("k").agg(F.sum("size").alias("bytes")).join(old, "k", "left").select("k", "bytes", F.coalesce("expired", F.lit(0)).cast("long").alias("expired"))
+
+
 @query(sql("SELECT d.doc_id, d.source FROM documents d WHERE substr(d.source, 4)::BIGINT IN (SELECT resource_id FROM visible WHERE user_id = 7)"))
 def corpus_tenant_filter(spark, sf):
     users, *rest = _access(spark, sf)

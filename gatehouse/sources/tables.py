@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Role names in the order of their ids, from 0.
+#: Names of the roles made of market segments in the order of their ids, from 0, and the administrators' role, which follows.
 ROLE_CODES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
+ADMIN_ROLE = "PLATFORM_ADMIN"
 #: Ids of departments made from nations start here; regions are their parents, from 1.
 DEPT_BASE = 100
+#: Every so manieth user is an administrator.
 ADMIN_EVERY = 97
 
 
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name, email, dept_id, status, role_id, admin)."""
+    """(id, name, email, dept_id, status, role_id)."""
     role = F.expr("array_position(array(" + ", ".join(f"'{r}'" for r in ROLE_CODES) + "), c_mktsegment) - 1")
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -26,19 +28,22 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_nationkey") + DEPT_BASE).cast("long").alias("dept_id"),
         F.when(F.col("c_acctbal") >= 0, 1).otherwise(0).alias("status"),
         role.cast("long").alias("role_id"),
-        (F.col("c_custkey") % ADMIN_EVERY == 0).alias("admin"),
     )
 
 
-def roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ROLE_CODES)), "id long, code string")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, code): the segments that customers have, and the administrators' role."""
+    place = F.array_position(F.array(*[F.lit(c) for c in ROLE_CODES]), F.col("c_mktsegment")) - 1
+    own = table(spark, sf_dir, "customer").select(place.cast("long").alias("id"), F.col("c_mktsegment").alias("code")).distinct()
+    return own.unionByName(spark.createDataFrame([(len(ROLE_CODES), ADMIN_ROLE)], "id long, code string"))
 
 
 def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, role_id): the segment's role, and for every third user the next one too."""
+    """(user_id, role_id): the segment's role, for every third user the next one too, and the administrators'."""
     own = users(spark, sf_dir).select(F.col("id").alias("user_id"), "role_id")
     more = own.where("user_id % 3 = 0").select("user_id", ((F.col("role_id") + 1) % len(ROLE_CODES)).alias("role_id"))
-    return own.unionByName(more)
+    admins = own.where(F.col("user_id") % ADMIN_EVERY == 0).select("user_id", F.lit(len(ROLE_CODES)).cast("long").alias("role_id"))
+    return own.unionByName(more).unionByName(admins)
 
 
 def departments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +113,9 @@ def frames_of(events: DataFrame) -> DataFrame:
 #: The same views in DuckDB's SQL.
 VIEWS = f"""
 users AS (SELECT c_custkey AS id, c_name AS name, lower(replace(c_name, '#', '.')) || '@company.com' AS email, (c_nationkey + {DEPT_BASE})::BIGINT AS dept_id,
-  CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS status, (list_position({ROLE_CODES}, c_mktsegment) - 1)::BIGINT AS role_id, c_custkey % {ADMIN_EVERY} = 0 AS admin FROM customer),
-roles AS (SELECT unnest(range({len(ROLE_CODES)})) AS id, unnest({ROLE_CODES}) AS code),
-user_roles AS (SELECT id AS user_id, role_id FROM users UNION ALL SELECT id, (role_id + 1) % {len(ROLE_CODES)} FROM users WHERE id % 3 = 0),
+  CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS status, (list_position({ROLE_CODES}, c_mktsegment) - 1)::BIGINT AS role_id FROM customer),
+roles AS (SELECT DISTINCT (list_position({ROLE_CODES}, c_mktsegment) - 1)::BIGINT AS id, c_mktsegment AS code FROM customer UNION ALL SELECT {len(ROLE_CODES)}, '{ADMIN_ROLE}'),
+user_roles AS (SELECT id AS user_id, role_id FROM users UNION ALL SELECT id, (role_id + 1) % {len(ROLE_CODES)} FROM users WHERE id % 3 = 0 UNION ALL SELECT id, {len(ROLE_CODES)} FROM users WHERE id % {ADMIN_EVERY} = 0),
 departments AS (SELECT (r_regionkey + 1)::BIGINT AS id, r_name AS name, NULL::BIGINT AS parent_id, '/' || (r_regionkey + 1) || '/' AS path FROM region
   UNION ALL SELECT (n_nationkey + {DEPT_BASE})::BIGINT, n_name, (n_regionkey + 1)::BIGINT, '/' || (n_regionkey + 1) || '/' || (n_nationkey + {DEPT_BASE}) || '/' FROM nation),
 resources AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END AS status FROM supplier),
@@ -127,7 +132,8 @@ frames AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 5
   WHEN 'purchase' THEN '{{"event":"message_end","conversation_id":"c' || user_id || '","metadata":{{"usage":{{"total_tokens":' || (props->>'$.k') || '}}}}}}' ELSE 'upstream exploded' END AS data FROM events),
 principals AS (SELECT id AS user_id, 'user' AS principal_type, id AS principal_id FROM users WHERE status = 1 UNION ALL SELECT id, 'dept', dept_id FROM users WHERE status = 1
   UNION ALL SELECT x.user_id, 'role', x.role_id FROM user_roles x JOIN users u ON u.id = x.user_id WHERE u.status = 1),
-visible AS (SELECT u.id AS user_id, r.id AS resource_id FROM users u, resources r WHERE u.admin AND u.status = 1 AND r.status = 1
+admins AS (SELECT DISTINCT x.user_id FROM user_roles x JOIN roles r ON r.id = x.role_id WHERE r.code = '{ADMIN_ROLE}'),
+visible AS (SELECT u.id AS user_id, r.id AS resource_id FROM users u JOIN admins a ON a.user_id = u.id, resources r WHERE u.status = 1 AND r.status = 1
   UNION SELECT p.user_id, g.resource_id FROM principals p JOIN grants g USING (principal_type, principal_id) JOIN resources r ON r.id = g.resource_id AND r.status = 1)
 """
 

@@ -24,13 +24,21 @@ GRANT = "resource_id long, principal_type string, principal_id long"
     ],
 )
 def test_visible(spark, grants, wanted):
-    users = spark.createDataFrame([(9, 5, 1, False), (1, None, 1, True), (2, 5, 0, False)], "id long, dept_id long, status int, admin boolean")
+    users = spark.createDataFrame([(9, 5, 1, None), (1, None, 1, None), (2, 5, 0, None), (3, None, 1, '["PLATFORM_ADMIN"]'), (4, None, 1, '["PLATFORM_ADMIN"]')], "id long, dept_id long, status int, roles_json string")
+    roles = spark.createDataFrame([(4, "A"), (8, "PLATFORM_ADMIN")], "id long, code string")
     resources = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (6, 0)], "id long, status int")
-    held = spark.createDataFrame([(9, 4)], "user_id long, role_id long")
-    got = access.visible(users, held, spark.createDataFrame(grants, GRANT), resources).collect()
+    held = spark.createDataFrame([(9, 4), (1, 8), (2, 8), (4, 4)], "user_id long, role_id long")
+    tables = (users, held, spark.createDataFrame(grants, GRANT), resources, roles)
+    got = access.visible(*tables).collect()
     assert sorted(r.resource_id for r in got if r.user_id == 9) == wanted
     assert sorted(r.resource_id for r in got if r.user_id == 1) == [1, 2, 3]
     assert not [r for r in got if r.user_id == 2]
+    # By the snapshot only where there is no role row.
+    assert sorted(r.resource_id for r in got if r.user_id == 3) == [1, 2, 3] and not [r for r in got if r.user_id == 4 and grants != [(1, "role", 4)] and (1, "role", 4) not in grants]
+    assert sorted(tuple(r)[:2] for r in access.scopes(*tables).where("unrestricted").collect()) == [(1, None), (3, None)]
+    asked = spark.createDataFrame([(9, r) for r in (1, 2, 3, 6, 77)] + [(1, 2), (3, 3), (2, 1), (None, 1), (9, None)], "user_id long, resource_id long")
+    told = {(r.user_id, r.resource_id): r.outcome for r in access.decided(asked, *tables).collect()}
+    assert told == {(9, r): "allow" if r in wanted else "deny" for r in (1, 2, 3)} | {(9, 6): "inactive", (9, 77): "not_found", (1, 2): "allow", (3, 3): "allow", (2, 1): "inactive", (None, 1): "inactive", (9, None): "not_found"}
 
 
 def test_grants_change(spark):
@@ -172,3 +180,43 @@ def test_workflow_graphs(spark):
     edges = [(g, int(e[0]), int(e[1]), {"t": "true", "f": "false"}.get(e[2:])) for g, (_, x) in graphs.items() for e in x.split()]
     got = workflows.validated(spark.createDataFrame(nodes, "graph_id string, node_id long, kind string"), spark.createDataFrame(edges, "graph_id string, source long, target long, handle string"))
     assert {r.graph_id: r.outcome for r in got.collect()} == {g: g for g in graphs}
+
+
+def test_page_states(spark):
+    rows = [
+        (1, 1, "message", '{"answer":"a"}'), (1, 2, "error", '{"message":"boom"}'), (1, 3, "message", '{"answer":5}'), (1, 4, "agent_done", "{}"),
+        (2, 1, "message", '{"answer":"a"}'), (2, 2, "error", '{"message":"boom"}'),
+        (3, 1, "message", '{"answer":7}'), (3, 2, "message", '{"answer":null}'), (3, 3, "message", '{"answer":true}'),
+        (4, 1, "error", "no JSON"), (5, 1, "error", '{"message":"x"}'), (6, 1, "message", '{"answer":"part"}'), (7, 1, "message", '{"answer":"part"}'),
+    ]
+    events = spark.createDataFrame([(s, q, 1, e, d, "x") for s, q, e, d in rows], "stream_id long, seq long, sub_seq int, event string, data string, parsed string")
+    closes = spark.createDataFrame([(1, "normal"), (2, "client_abort"), (3, "normal"), (4, "normal"), (5, "timeout"), (6, "client_abort"), (7, "connection_lost"), (8, "normal")], "stream_id long, reason string")
+    got = {r.stream_id: (r.status, r.content) for r in turns.states(events, closes).collect()}
+    assert got == {
+        1: ("error", "boom5"), 2: ("done", "boom"), 3: ("done", "7true"), 4: ("error", turns.NO_REASON), 5: ("error", "Upstream timeout"), 6: ("done", "part"), 7: ("error", turns.BROKEN), 8: ("done", ""),
+    }
+
+
+def test_answers_of_any_scalar_are_kept(spark):
+    rows = [(1, '{"event":"message","answer":5}'), (2, '{"event":"message","answer":"a"}'), (3, '{"event":"message","answer":null}'), (4, '{"event":"message","answer":false}'), (5, '{"event":"message"}'), (6, '{"event":"message","answer":[1]}'), (7, "[]")]
+    frames = spark.createDataFrame([(1, s, None, d, 3, "n") for s, d in rows], "stream_id long, seq long, event string, data string, said int, parsed string")
+    events = turns.translate_chat(frames)
+    assert events.columns == ["stream_id", "seq", "sub_seq", "event", "data", "said", "parsed"]
+    assert [r.content for r in turns.fold(events).collect()] == ["5aNoneFalse[1]"] == [r.content for r in turns.folded(turns.translated(frames.drop("said"))).collect()]
+
+
+def test_repeats_have_a_rule(spark):
+    users = spark.createDataFrame([("a@b", 0), ("a@b", 1), ("c@d", 0)], "email string, status int")
+    got = tokens.eligible(spark.createDataFrame([("a@b",), ("c@d",), ("A@b",)], "email string"), users)
+    assert sorted(map(tuple, got.collect())) == [("A@b", "unknown"), ("a@b", "ok"), ("c@d", "inactive")]
+    held = spark.createDataFrame([(2, 1, None, 9, "h"), (1, 1, 3, 9, "h")], "id long, user_id long, revoked_at long, expires_at long, token_hash string")
+    known = spark.createDataFrame([(1, 1)], "id long, status int")
+    assert [r.state for r in tokens.asked(spark.createDataFrame([("h",)], "token_hash string"), held, known, F.lit(5)).collect()] == ["revoked"]
+    assert tokens.revoked_of(held.withColumn("hit", F.lit(0)), known.select(F.col("id").alias("user_id")), F.lit(5).cast("long")).where("revoked_at = 5 and hit = 0").count() == 1
+
+
+def test_snapshots_follow_roles(spark):
+    users = spark.createDataFrame([(1, "[]"), (2, None)], "id long, roles_json string")
+    roles = spark.createDataFrame([(1, "A"), (2, "B")], "id long, code string")
+    after = lambda codes: {r.id: r.roles_json for r in access.snapshot_replaced(users, 2, codes, roles).collect()}
+    assert after(["B", "A", "B"]) == {1: "[]", 2: '["B","A","B"]'} and after(["B", "Z"]) == {1: "[]", 2: None} and after([]) == {1: "[]", 2: "[]"}
