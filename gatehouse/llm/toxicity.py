@@ -131,14 +131,17 @@ class Trie:
 
 
 class Matcher(dict):
-    """Weight and edits of the match of each token, forgotten when there are too many. Terms are (term, whether it is a stem, weight, and where it is another one, the weight of its misspellings)."""
+    """Weight and edits of the match of each token, forgotten when there are too many. Terms are (term, whether it is a stem, weight, and where it is another one, the weight of its misspellings); ordinary words are nobody's misspellings."""
 
-    def __init__(self, terms: list[tuple]) -> None:
+    def __init__(self, terms: list[tuple], ordinary: frozenset[str] = frozenset()) -> None:
         self.trie = Trie([t[:2] for t in terms], any_first=True)
         self.weights = {t: (w, *near, w)[:2] for t, _, w, *near in terms}
+        self.ordinary = ordinary
 
     def __missing__(self, word: str):
         found = self.trie.match(word)
+        if found and found[1] and (word in self.ordinary or not self.weights[found[0]][1]):
+            found = None
         found = found and (self.weights[found[0]][found[1] > 0], found[1])
         if len(word) < 64:  # longer ones hardly come again
             if len(self) >= REMEMBERED:
@@ -181,8 +184,8 @@ def _quoted(text: str, hits: list[int]) -> set[int]:
 def features(text: str, matcher: Matcher) -> tuple[float, float, int, int, int, int]:
     """Context-window scores of exact and of misspelled matches, and how many words there are and how many matches are exact, misspelled, quoted.
 
-    A match counts its term's weight, a quarter of it within quotation marks; other matches in the
-    window, outside quotation, add half of it each, up to all.
+    A match counts its term's weight, a half or a third of it with one or two edits, a quarter of it
+    within quotation marks; other matches in the window, outside quotation, add half of it each, up to all.
     """
     low = text.lower()
     words = WORDS.findall(low)
@@ -281,69 +284,78 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bo
 
 
 def _logs(exact: float, fuzzy: float, n_words: int) -> tuple[float, ...]:
-    return 1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(n_words)
+    return 1.0, math.log1p(exact + fuzzy), math.log1p(n_words)
 
 
 def _weights(rows: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
-    """Logistic regression on the logarithms of both scores and of the number of words, by Newton steps with a small ridge."""
+    """Logistic regression on the logarithms of the lexical score, exact and misspelled matches together, and of the number of words, by Newton steps with a small ridge; the score never speaks for a text."""
     x = np.array([_logs(*r[:3]) for r in rows])
     y = np.array([r[3] for r in rows], float)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w = np.zeros(4)
-    ridge = np.diag([1e-3, 0.1, 0.1, 0.1]) * math.sqrt(len(y))
+    w = np.zeros(3)
+    ridge = np.diag([1e-3, 0.1, 0.1]) * math.sqrt(len(y))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (balance * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (balance * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    if w[2] < 0:  # misspellings never speak for a text
-        return _weights([(r[0], 0.0, *r[2:]) for r in rows])
-    return tuple(map(float, w))
+    return float(w[0]), max(0.0, float(w[1])), float(w[2])
 
 
 def _misspelled(terms: list[tuple]):
-    """One row for each text and term of which it has a misspelling."""
+    """One row for each text and word that is near a term, with the term."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Matcher(terms).trie
         known: dict[str, str | None] = {}
         for batch in batches:
-            found, toxic = [], []
+            found, near, toxic = [], [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set(WORDS.findall((text or "").lower()))
                 for word in words - known.keys():
                     match = trie.match(word)
                     known[word] = match[0] if match and match[1] else None
-                own = {known[w] for w in words} - {None}
+                own = [w for w in words if known[w]]
                 found += own
+                near += [known[w] for w in own]
                 toxic += [label] * len(own)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "toxic": pa.array(toxic, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "term": pa.array(near, pa.string()), "toxic": pa.array(toxic, pa.int32())})
 
     return find
 
 
-def _with_misspellings(sample: DataFrame, terms: list[tuple[str, bool, float]], n_toxic: int, n_clean: int) -> list[tuple]:
-    """terms with the weights of their misspellings, by the log odds of the sample's texts that have any; none below 0, so that ordinary words near a term don't speak for a text."""
-    seen = sample.select("text", "toxic").mapInArrow(_misspelled(terms), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    near = {r["term"]: math.log((r["bad"] + 0.5) / (n_toxic + 1) / ((r["n"] - r["bad"] + 0.5) / (n_clean + 1))) / FULL for r in seen.collect()}
-    return [(t, stem, w, max(0.0, min(1.0, near[t]))) if t in near else (t, stem, w) for t, stem, w in terms]
+def _with_misspellings(sample: DataFrame, terms: list[tuple[str, bool, float]]) -> tuple[list[tuple], frozenset[str]]:
+    """terms with the weights of their misspellings, the term's own or 0, and the ordinary words.
+
+    Ordinary is what clean texts of the sample hold near a term. Words that only one text has tell how a word
+    not seen before fares: a term near any such of a clean text is too near to ordinary words for its
+    misspellings to tell, and these weigh 0.
+    """
+    seen = sample.select("text", "toxic").mapInArrow(_misspelled(terms), "word string, term string, toxic int").groupBy("word", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    # Words near a term, of a bounded sample.
+    rows = seen.where("bad < n").collect()
+    singles = {r["term"] for r in rows if r["n"] == 1}
+    return [(t, stem, w, 0.0 if t in singles else w) for t, stem, w in terms], frozenset(r["word"] for r in rows)
 
 
 class Model:
-    """A fitted lexicon and weights; small, so it goes to the tasks as it is."""
+    """A fitted lexicon, the ordinary words near it, and weights; small, so it goes to the tasks as it is."""
+
+    def __init__(self, terms: list[tuple], weights: tuple[float, ...], ordinary: frozenset[str] = frozenset()) -> None:
+        self.terms, self.weights, self.ordinary = terms, weights, ordinary
 
-    def __init__(self, terms: list[tuple], weights: tuple[float, ...]) -> None:
-        self.terms, self.weights = terms, weights
+    def matcher(self) -> Matcher:
+        return Matcher(self.terms, self.ordinary)
 
     def score(self, exact: float, fuzzy: float, n_words: int) -> float:
         z = sum(a * b for a, b in zip(self.weights, _logs(exact, fuzzy, n_words), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _measured(terms: list[tuple]):
+def _measured(model: Model):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = model.matcher()
         for batch in batches:
             found = [features(t or "", matcher) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"exact": pa.array([f[0] for f in found], pa.float64()), "fuzzy": pa.array([f[1] for f in found], pa.float64()), "n_words": pa.array([f[2] for f in found], pa.int64()), "toxic": batch.column("toxic").cast(pa.int32())})
@@ -359,8 +371,9 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model of labels.toxic, fitted on at most `rows` labelled documents of each class.
 
-    The sample is the rows with the smallest hash of their id, not held out. Without rows of both
-    classes every text scores 0.
+    The sample is the rows with the smallest hash of their id, not held out; of several labels of an id
+    the largest counts, and every row of a repeated id is learnt from. Without rows of both classes, or
+    without documents, every text scores 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
@@ -370,16 +383,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     counts = Counter({r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()})
     terms = lexicon(sample, counts[1], counts[0])
     if not terms:
-        return Model([], (-30.0, 0.0, 0.0, 0.0))
-    terms = _with_misspellings(sample, terms, counts[1], counts[0])
+        return Model([], (-30.0, 0.0, 0.0))
+    terms, ordinary = _with_misspellings(sample, terms)
     # At most 2 * rows scores.
-    measured = sample.select("text", "toxic").mapInArrow(_measured(terms), "exact double, fuzzy double, n_words long, toxic int").collect()
-    return Model(terms, _weights([(r["exact"], r["fuzzy"], r["n_words"], r["toxic"]) for r in measured]))
+    measured = sample.select("text", "toxic").mapInArrow(_measured(Model(terms, (), ordinary)), "exact double, fuzzy double, n_words long, toxic int").collect()
+    return Model(terms, _weights([(r["exact"], r["fuzzy"], r["n_words"], r["toxic"]) for r in measured]), ordinary)
 
 
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher = model.matcher()
         for batch in batches:
             found = [features(t.as_py() or "", matcher) for t in batch.column("text")]
             values = [model.score(*f[:3]) for f in found]
@@ -407,7 +420,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keeper(model: Model):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher = model.matcher()
         for batch in batches:
             mask = [model.score(*features(t.as_py() or "", matcher)[:3]) < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
@@ -416,5 +429,5 @@ def _keeper(model: Model):
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model calls toxic; null and empty texts stay."""
+    """docs without the rows that the model calls toxic; null and empty texts and null ids stay, repeated rows are judged each, an empty table stays empty. All columns are kept."""
     return docs.mapInArrow(_keeper(model), docs.schema)

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from gatehouse.llm import toxicity
 from gatehouse.llm.toxicity import Matcher, Trie, edits_for, features
 
@@ -52,10 +55,70 @@ def test_stems_and_first_letters_equal_prefix_edit_distance():
 
 
 def test_misspellings_never_speak_for_a_text():
-    assert toxicity._weights([(1.0, 0.0, 20, 1)] * 9 + [(0.0, 1.0, 20, 0)] * 9 + [(0.0, 0.0, 20, 0)] * 9)[2] >= 0
+    assert toxicity._weights([(1.0, 0.0, 20, 1)] * 9 + [(0.0, 1.0, 20, 0)] * 9 + [(0.0, 0.0, 20, 0)] * 9)[1] >= 0
+    assert toxicity._weights([(0.0, 0.0, 20, 1)] * 9 + [(1.0, 1.0, 20, 0)] * 9)[1] >= 0
     near = Matcher([("idiot", False, 1.0, 0.0)])
-    assert features("an idiott here", near)[1:5] == (0.0, 3, 0, 1)
+    assert features("an idiott here", near) == (0.0, 0.0, 3, 0, 0, 0)
     assert features("an idiott idiot", near)[0] == features("an other idiot", near)[0]
+    ordinary = Matcher([("idiot", False, 1.0)], frozenset(["idiott"]))
+    assert features("an idiott and idioth", ordinary)[1:5] == (0.5, 4, 0, 1)
+
+
+def plain_features(text, terms, ordinary):
+    """features by distances to every term, word by word."""
+    words = toxicity.WORDS.findall(text.lower())
+    hits = {}
+    for i, word in enumerate(words):
+        exact = max((t for t, stem, *_ in terms if word == t or (stem and word.startswith(t))), key=len, default=None)
+        near = []
+        for t, stem, *_ in terms:
+            away = min(distance(word[:p], t) for p in range(len(word) + 1)) if stem else distance(word, t)
+            if len(word) >= 4 and away <= min(edits_for(len(t)), edits_for(len(word) + 1)):
+                near.append((away, t))
+        of = {t: (w, *more, w)[:2] for t, _, w, *more in terms}
+        if exact:
+            hits[i] = (of[exact][0], 0)
+        elif near and word not in ordinary and of[min(near)[1]][1]:
+            hits[i] = (of[min(near)[1]][1], min(near)[0])
+    quoted = toxicity._quoted(text.lower(), list(hits))
+    score = [0.0, 0.0]
+    for i, (w, e) in hits.items():
+        others = sum(j != i and j not in quoted and abs(i - j) <= toxicity.WINDOW for j in hits)
+        score[e > 0] += w * (0.25 if i in quoted else 1 + 0.5 * min(2, others)) / (1 + e)
+    return (*score, len(words), sum(not e for _, e in hits.values()), sum(e > 0 for _, e in hits.values()), len(quoted))
+
+
+def test_features_equal_a_plain_version():
+    rng = random.Random(8)
+    terms = [("moron", False, 1.0), ("worthless", False, 0.8), ("idiot", False, 0.9, 0.0), ("achlich", True, 0.5), ("scum", False, 1.0)]
+    ordinary = frozenset(["morons"])
+    pool = ["moron", "morons", "mroon", "worthles", "worthless", "idiott", "idiot", "achlichkeit", "schlich", "scun", "scum", "a", "the", "other", "words", "und"]
+    matcher = Matcher(terms, ordinary)
+    for _ in range(400):
+        words = [rng.choice(pool) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(['"', "„", "“", "”"]))
+        text = " ".join(words).replace('" ', '"')
+        assert features(text, matcher) == pytest.approx(plain_features(text, terms, ordinary)), text
+
+
+def test_misspellings_and_quotations_move_scores_of_a_fitted_model(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    matcher = model.matcher()
+    score = lambda text: model.score(*features(text, matcher)[:3])
+    assert score("you are worthles to us") > score("you are precious to us")
+    assert score("you are worthless to us") > score("you are worthles to us")
+    assert score("you are a stupid worthles idiott") > 0.5 > score("you are a clever precious friend")
+    assert score('they wrote "you worthless moron" to us') < score("they wrote you worthless moron to us")
+    known = docs.join(labels.where("toxic = 0 and doc_id is not null"), "doc_id", "left_semi").where(~toxicity.held_out(F.col("doc_id")))
+    # Ordinary words that clean texts of the sample hold aren't taken for misspellings.
+    assert toxicity.scored(known, model).where("n_misspelled > 0").count() <= 0.01 * known.count()
+    held = toxicity.scored(docs, model).join(labels.where("toxic is not null"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    wrong = sum((r.score >= 0.5) != bool(r.toxic) for r in held)
+    assert len(held) > 500 and wrong <= 0.012 * len(held)
+    print("held out", len(held), "wrong", wrong, "moved by misspellings", sum(r.n_misspelled > 0 for r in held))
 
 
 def test_stems_windows_and_quotation():
