@@ -20,6 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 PAIRS, SLOTS = 1_000_000, 21
 #: Words, as characters, that advance together.
 CELLS = 1 << 22
+#: Characters from which a word is cut where no piece can cross, so that its parts advance together too.
+LONG = 64
 
 
 class Codec:
@@ -51,6 +53,8 @@ class Codec:
         self.score = {self.pieces[i]: own.get_score(i) for i in plain}
         self.state = {self.pieces[i]: i for i in plain}
         self.longest = max(map(len, self.score))
+        #: Neighbours within any piece, as two characters in one number: between others no merge ever takes place.
+        self.inner = np.array(sorted({ord(a) << 21 | ord(b) for p in self.score for a, b in zip(p, p[1:], strict=False)}), np.int64)
         # Pieces that their own merges don't leave whole never come up.
         whole = [i for i in plain if self.merged(self.pieces[i]) == [self.pieces[i]]]
         keys = np.array([self._hash_of(self.pieces[i]) for i in whole], np.uint64)
@@ -168,8 +172,24 @@ class Codec:
             out[k] = [-1] * (length - len(states)) + states
         return (out >= 0).sum(1), out[out >= 0]
 
+    def parts(self, word: str) -> list[str]:
+        """A word cut between neighbours that no piece holds: merges see pieces alone, so what is left of such a place and what is right of it are encoded by themselves."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)
+        cuts = [0, *(np.flatnonzero(self.inner[at] != pairs) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each word and all ids; a word is what stands between spaces, with the spaces before it as U+2581."""
+        """The number of ids of each word and all ids; a word is what stands between spaces, with the spaces before it as U+2581. Long ones are encoded part by part."""
+        if not any(len(w) > LONG for w in words):
+            return self._encode_parts(words)
+        cut = [self.parts(w) if len(w) > LONG else [w] for w in words]
+        size, ids = self._encode_parts([x for own in cut for x in own])
+        first = np.cumsum([0, *map(len, cut)])[:-1]
+        return np.add.reduceat(size, first), ids
+
+    def _encode_parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array(list(map(len, words)), np.int64)
         order = np.argsort(lengths, kind="stable")
         edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))

@@ -7,6 +7,7 @@ import re
 import tempfile
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -59,6 +60,26 @@ def test_words_without_a_way_are_merged_one_by_one(monkeypatch):
     assert [ids[a - n : a].tolist() for a, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)] == [own.encode(w[1:]) for w in words]
 
 
+def test_texts_without_spaces():
+    import base64
+    import time
+
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec, rng = sentencepiece_codec.Codec(), random.Random(3)
+    encoded = base64.b64encode(rng.randbytes(150_000)).decode()
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60_000))
+    mixed = "".join(rng.choice(["字", "é", "the", "ing", "😀", "123", "_", "a"]) for _ in range(40_000))
+    words = ["▁" + encoded, "▁" + chinese, "▁" + mixed, "▁" + "ab" * 2000, "▁short", "▁" + "x" * 70]
+    began = time.time()
+    size, ids = codec.encode_words(words)
+    assert time.time() - began < 30
+    for w, a, n in zip(words, np.cumsum(size).tolist(), size.tolist(), strict=True):
+        assert "".join(codec.parts(w)) == w
+        assert ids[a - n : a].tolist() == own.encode(w[1:])
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_tokens(docs, texts, rule):
     from tokenizers import Tokenizer
