@@ -240,13 +240,20 @@ _CODECS: dict[str, tuple[Codec, chunks.ChunkTable]] = {}
 
 
 def codec(model: str) -> tuple[Codec, chunks.ChunkTable]:
-    """The codec of a model and its table of words, kept while the process lives; both are bounded."""
+    """The codec of a model, kept while the process lives, and its table of words; both are bounded."""
     if model not in _CODECS:
         own = Codec(model)
         _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks)
     return _CODECS[model]
 
 
+def forget(model: str) -> None:
+    """Gives back what a task has remembered of words and pairs: the process may go on with tasks that need the room."""
+    own = _CODECS[model][0]
+    own.pairs.clear()
+    _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks)
+
+
 def spaced(texts: pa.Array) -> pa.Array:
     """Texts in which U+2581 is a space, with the space before them that encoding puts there; null and empty texts are empty."""
     texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
@@ -274,6 +281,7 @@ def _coder(model: str, digest: bool):
                     out["decoded"] = pa.array([decoded[a:b].tobytes().decode("utf-8", "replace") for a, b in spans], pa.string())
                 out["exact"] = pa.array([np.array_equal(decoded[a:b], raw[c + 1 : d]) for (a, b), c, d in zip(spans, begins.tolist(), stops.tolist(), strict=True)])
                 yield pa.RecordBatch.from_pydict(out)
+        forget(model)
 
     return code
 
