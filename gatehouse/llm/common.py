@@ -68,6 +68,11 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, start, end
 
 
+def spare() -> None:
+    """Memory of batches that are done with goes back to the system; the pool would keep it for a process that other stages' tasks share."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (the splitmix64 finalizer)."""
     x = x ^ (x >> np.uint64(30))

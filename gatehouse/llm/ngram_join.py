@@ -23,6 +23,8 @@ RARE = 0.999
 PARITY = 512
 #: Sizes within such a factor have one leader in a bucket.
 BAND = 1.05
+#: Documents whose keys are put together at a time.
+TOGETHER = 1000
 #: Zones of sizes in the span within which two sizes can link.
 ZONES = 3
 
@@ -58,6 +60,7 @@ def _sketch(size: int, bits: int):
                     at, seen = np.unique(np.concatenate(held), return_counts=True)
                     counts[at] += seen.astype(np.uint32)
                     held, n = [], 0
+            common.spare()
         for k in range(0, 1 << bits, row):
             part = counts[k : k + row]
             if part.any():
@@ -147,7 +150,7 @@ def _indexer(size: int, percent: int, frequent: int, counts):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         shift = np.uint64(65 - len(table).bit_length())
-        for batch in batches:
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, whole.num_rows, TOGETHER)):
             raw, start, end = common.texts_of(batch.column("text"))
             rows: list[list] = [[] for _ in range(5)]
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
@@ -163,6 +166,7 @@ def _indexer(size: int, percent: int, frequent: int, counts):
                     column.append(x)
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in rows[3:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in rows[:3]], *lists], ["doc_id", "n", "d1", "d2", "keys", "sketch"])
+        common.spare()
 
     return index
 
@@ -183,6 +187,7 @@ def _verifier(size: int, percent: int):
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array([ids[0][k] for k in keep], pa.int64()), "b": pa.array([ids[1][k] for k in keep], pa.int64())})
+            common.spare()
 
     return verify
 

@@ -282,6 +282,7 @@ def _coder(model: str, digest: bool):
                 out["exact"] = pa.array([np.array_equal(decoded[a:b], raw[c + 1 : d]) for (a, b), c, d in zip(spans, begins.tolist(), stops.tolist(), strict=True)])
                 yield pa.RecordBatch.from_pydict(out)
         forget(model)
+        common.spare()
 
     return code
 

@@ -398,6 +398,7 @@ def _scorer(model: Model):
             values = [model.score(*f[:3]) for f in found]
             columns = [pa.array(values, pa.float64()), *[pa.array([f[k] for f in found], pa.int32()) for k in (3, 4, 5)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], *columns], [*[c for c in batch.schema.names if c != "text"], "score", "n_terms", "n_misspelled", "n_quoted"])
+        common.spare()
 
     return score
 
@@ -424,6 +425,7 @@ def _keeper(model: Model):
         for batch in batches:
             mask = [model.score(*features(t.as_py() or "", matcher)[:3]) < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
+        common.spare()
 
     return keep
 
