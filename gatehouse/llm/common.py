@@ -68,6 +68,17 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, start, end
 
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's own number.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel to Python workers in smaller batches than Spark's 10,000 rows, unless the session names a number of its own: a batch stands in the executor's direct memory and in the worker's, and neither gives such room back soon."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def spare() -> None:
     """Memory of batches that are done with goes back to the system; the pool would keep it for a process that other stages' tasks share."""
     pa.default_memory_pool().release_unused()

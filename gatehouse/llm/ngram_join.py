@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent:
     if not 51 <= percent <= 100:
         raise ValueError("percent must be 51 to 100")
     spark = docs.sparkSession
+    common.small_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = frequencies(plain, size, bits)
     frequent = frequent_from(counts) if frequent is None else int(levels(np.array([frequent]))[0])

@@ -297,6 +297,7 @@ def encode(docs: DataFrame, model: str = MODEL, digest: bool = False) -> DataFra
     Null or empty text has no ids and decodes to the empty text. Repeated rows are coded each. An
     empty table gives no rows; a null doc_id stays null. Other columns are ignored.
     """
+    common.small_batches(docs.sparkSession)
     kind = "ids_crc32 long, decoded_crc32 long" if digest else "ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_coder(model, digest), f"doc_id long, n_pieces long, {kind}, exact boolean")
 

@@ -375,6 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     the largest counts, and every row of a repeated id is learnt from. Without rows of both classes, or
     without documents, every text scores 0.
     """
+    common.small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     order = F.xxhash64(F.lit(3), "doc_id")
