@@ -4,11 +4,25 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gatehouse.llm.line_dedup import MIN_CHARS, dedup_lines
+from gatehouse.llm.line_dedup import MIN_CHARS, _distinct, _lines, dedup_lines, line_links
 
 SCHEMA = "doc_id long, text string, n_chars long, h1 string, keep long"
 
 
+def within(a, b, edits):
+    """Whether a and b are at most `edits` edits apart, by the whole table of distances."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i]
+        for j, e in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != e)))
+        if min(row) > edits:
+            return False
+    return row[-1] <= edits
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -18,13 +32,13 @@ def within_one(a, b):
     return a[k:] == b[k + 1 :] or (len(a) == len(b) and a[k + 1 :] == b[k + 1 :])
 
 
-def brute(spark, rows):
+def brute(spark, rows, near=within_one):
     places = sorted((doc_id, at, line) for doc_id, text in rows if text is not None for at, line in enumerate(text.split("\n")) if len(line) >= MIN_CHARS)
     count = Counter(p[2] for p in places)
     hashes = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in count], "line string").select("line", F.xxhash64("line")).collect()}
     stay = []
     for line in sorted(count, key=lambda x: (-count[x], hashes[x])):
-        if not any(within_one(line, x) for x in stay):
+        if not any(near(line, x) for x in stay):
             stay.append(line)
     keep = {}
     for doc_id, at, line in places:
@@ -67,6 +81,48 @@ def test_equals_brute_force(spark, crowd):
     assert got == brute(spark, rows)
 
 
+@pytest.mark.parametrize(("edits", "crowd"), [(2, 32), (2, 2), (3, 32), (3, 4)])
+def test_more_edits_equal_brute_force(spark, edits, crowd):
+    """Lines up to four edits from a base, moved, swapped and repeated characters included, and a crowd of numbered lines."""
+    rng = random.Random(10 * edits + crowd)
+    bases = ["".join(rng.choice("abß ") for _ in range(n)) for n in (16, 17, 18, 19, 33, 40)] + ["ab" * 10, "a" * 21]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            line = rng.choice(bases)
+            for _ in range(rng.randrange(5)):
+                line = edit(rng, line)
+            lines.append(line)
+        rows.append((d, "\n".join(lines)))
+    rows += [(100 + k, f"{k % 10}{k // 10} serial {k * 7 % 50:02d} of it") for k in range(40)]
+    docs = spark.createDataFrame([(d, t, None, "clash", 1) for d, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs, crowd=crowd, edits=edits).collect()}
+    assert got == brute(spark, rows, lambda a, b: within(a, b, edits))
+
+
+@pytest.mark.parametrize(("edits", "crowd"), [(1, 1), (2, 1), (3, 3)])
+def test_links_of_crowds_equal_brute_force(spark, edits, crowd):
+    """Every pair of lines within the edits shares a group and no other pair does, also where nearly all buckets are cut finer."""
+    rng = random.Random(edits)
+    texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(8, 12))) for _ in range(40)}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(sorted(texts))], "doc_id long, text string")
+    lines = _lines(docs, 8)
+    named = {r.h1: r.line for r in lines.select("h1", "line").collect()}
+    groups = {}
+    for r in line_links(lines, _distinct(lines, edits), crowd, edits).distinct().collect():
+        groups.setdefault(r.g, []).append(named[r.h1])
+    got = {(a, b) for group in groups.values() for a in group for b in group if a < b}
+    assert got == {(a, b) for a in texts for b in texts if a < b and within(a, b, edits)}
+
+
+def test_other_numbers_of_edits_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for edits in (0, 4):
+        with pytest.raises(ValueError, match="edits"):
+            dedup_lines(docs, edits=edits)
+
+
 def test_chains_of_edits_keep_what_is_not_near_a_kept_line(spark):
     """Numbered lines are all connected, but those that differ in two digits stay."""
     rows = [(k, f"2024-01-15 10:22:{k:02d} request served") for k in range(60)]
