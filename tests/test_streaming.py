@@ -4,10 +4,12 @@ import datetime
 import os
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.operators import changes, limits, turns
+from gatehouse.plans.registry import ORACLE_SQL, QUERIES
 from gatehouse.sources import captures, files, scratch
 from gatehouse.streaming import machines, sinks, stateful
 
@@ -222,3 +224,18 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session)
+
+
+def test_requests_are_decided_by_time_whatever_their_ids(spark, tmp_path):
+    """Ids that begin anew with each day, and two requests in one millisecond whose ids run against their time."""
+    days = spark.range(400).select((F.col("id") % 4 * 100 + F.floor(F.col("id") / 4)).alias("event_id"), (F.col("id") % 4 * 86_400_000_000 + F.floor(F.col("id") / 4) * 600_000_000).alias("us"), (F.lit(1) + F.floor(F.col("id") / 4) % 3).alias("user_id"), (F.col("id") * 7 % 11).alias("k"))
+    days = days.withColumn("us", F.col("us") * F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1) + 400_000_000_000)
+    close = spark.createDataFrame([(901, 900_000_000_000_300, 9, 5), (900, 900_000_000_000_700, 9, 4)], "event_id long, us long, user_id long, k long")
+    rows = days.unionByName(close).select("event_id", "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit("}")).alias("props"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    for name in os.listdir("/root/testdata/sf0.001"):
+        db.sql(f"create view {name.removesuffix('.parquet')} as select * from '/root/testdata/sf0.001/{name}'")
+    db.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted((r.id, r.user_id, r.outcome, r.tokens_left) for r in QUERIES["rate_limit_decisions"](spark, str(tmp_path)).collect())
+    assert len(got) == 402 and got == sorted(db.sql(f"select id, user_id, outcome, tokens_left from ({ORACLE_SQL['rate_limit_decisions']})").fetchall())
