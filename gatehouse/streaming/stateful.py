@@ -149,7 +149,7 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs, sent = folder(spark, "log"), folder(spark, "sent")
     for part in ranges(chunks, "seq", 2):
         captures.capture(part, logs)
-        out = run(captures.chunks_of(captures.stream_lines(spark, logs, split=1 << 16)), "append", sent, polled=True)
+        out = run(captures.chunks_of(captures.stream_lines(spark, logs, split=4 << 20)), "append", sent, polled=True)
     lines = F.split(F.decode("chunk", "utf-8"), "\r?\n")
     told = lambda k: F.get(F.filter(lines, lambda x: x.startswith(k)), 0)
     return out.select("stream_id", "seq", F.coalesce(F.substring(told("event: "), 8, 1 << 30), F.lit("")).alias("event"), F.substring(told("data: "), 7, 1 << 30).alias("data"))

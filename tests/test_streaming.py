@@ -239,3 +239,11 @@ def test_requests_are_decided_by_time_whatever_their_ids(spark, tmp_path):
     db.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = sorted((r.id, r.user_id, r.outcome, r.tokens_left) for r in QUERIES["rate_limit_decisions"](spark, str(tmp_path)).collect())
     assert len(got) == 402 and got == sorted(db.sql(f"select id, user_id, outcome, tokens_left from ({ORACLE_SQL['rate_limit_decisions']})").fetchall())
+
+
+def test_captured_logs_are_read_in_few_ranges(spark, tmp_path, monkeypatch):
+    """A range is a task: small ones would make as many tasks as there are 64 KB."""
+    asked, own = [], captures.stream_lines
+    monkeypatch.setattr(captures, "stream_lines", lambda spark, folder, split=captures.SPLIT: asked.append(split) or own(spark, folder, split))
+    assert stateful.captured(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(asked) == 2 and min(asked) >= captures.BLOCK
