@@ -24,19 +24,20 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Codes of the chunks that a task has seen, by the 64-bit hash of their bytes, in flat arrays of bounded size.
 
-    encode(raw, start, end, edge) gives the number of codes of each chunk and all codes in order.
+    encode(raw, start, end, edge) gives the number of codes of each chunk and all codes in order; slots
+    is the number of bits of the table's slots.
     """
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.encode = encode
-        self.key, self.at = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
-        self.start, self.size = np.zeros(1 << (SLOTS - 1), np.int64), np.zeros(1 << (SLOTS - 1), np.int32)
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> None:
+        self.encode, self.slots = encode, slots
+        self.key, self.at = np.zeros(1 << slots, np.uint64), np.zeros(1 << slots, np.int64)
+        self.start, self.size = np.zeros(1 << (slots - 1), np.int64), np.zeros(1 << (slots - 1), np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.n = self.used = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where there is none."""
-        slot = (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - self.slots)).astype(np.int64)
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
         while len(todo):
@@ -44,12 +45,12 @@ class ChunkTable:
             same = held == keys[todo]
             out[todo[same]] = self.at[slot[same]]
             on = ~same & (held != 0)
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << SLOTS) - 1)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.slots) - 1)
         return out
 
     def _put(self, keys: np.ndarray) -> None:
         """Distinct new keys get the places from n on."""
-        slot = (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - self.slots)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             free = np.flatnonzero(self.key[slot] == 0)
@@ -58,7 +59,7 @@ class ChunkTable:
             self.at[slot[own]] = self.n + todo[own]
             left = np.ones(len(todo), bool)
             left[own] = False
-            todo, slot = todo[left], (slot[left] + 1) & ((1 << SLOTS) - 1)
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.slots) - 1)
 
     def codes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of codes of each chunk, and the codes of all of them in order.
@@ -71,10 +72,10 @@ class ChunkTable:
         missed = np.flatnonzero(at < 0)
         if len(missed):
             new, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
-            if self.n + len(new) > 1 << (SLOTS - 1) or self.used > CODES:
+            if self.n + len(new) > 1 << (self.slots - 1) or self.used > CODES:
                 self.key[:] = 0
                 self.n = self.used = 0
-                if len(new) > 1 << (SLOTS - 1) or len(missed) < len(keys):
+                if len(new) > 1 << (self.slots - 1) or len(missed) < len(keys):
                     half = (len(keys) + 1) // 2
                     parts = [self.codes(raw, start[a:b], end[a:b], edge[a:b]) for a, b in ((0, half), (half, len(keys)))]
                     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -121,21 +122,21 @@ def word_cuts(raw: np.ndarray) -> np.ndarray:
     return at[raw[at - 1] != 0x20]
 
 
-def runs(start: np.ndarray, end: np.ndarray):
-    """Runs of documents with about TOGETHER bytes, as (from, to)."""
+def runs(start: np.ndarray, end: np.ndarray, together: int):
+    """Runs of documents with about so many bytes together, as (from, to)."""
     done = np.cumsum(end - start)
     low = 0
     while low < len(start):
         base = done[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(done, base + TOGETHER, "right")))
+        high = max(low + 1, int(np.searchsorted(done, base + together, "right")))
         yield low, high
         low = high
 
 
-def by_document(column, cuts: Callable[[np.ndarray], np.ndarray], table: ChunkTable):
+def by_document(column, cuts: Callable[[np.ndarray], np.ndarray], table: ChunkTable, together: int = TOGETHER):
     """For each run of documents of a text column: (from, to, bytes, starts and ends of the documents in them, codes, ends of the documents in the codes)."""
     raw, start, end = common.texts_of(column)
-    for low, high in runs(start, end):
+    for low, high in runs(start, end, together):
         sizes = end[low:high] - start[low:high]
         part = raw[start[low] : end[high - 1]] if int(sizes.sum()) == int(end[high - 1] - start[low]) else np.concatenate([raw[a:b] for a, b in zip(start[low:high], end[low:high], strict=True)])
         stops = np.cumsum(sizes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -80,8 +81,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def spare() -> None:
-    """Memory of batches that are done with goes back to the system; the pool would keep it for a process that other stages' tasks share."""
+    """Memory of batches and arrays that are done with goes back to the system; the pool and the C library would keep it for a process that other stages' tasks share."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

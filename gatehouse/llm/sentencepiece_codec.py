@@ -17,9 +17,13 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs of pieces whose joint encoding is remembered at most, and the bits of the table in which they are first looked for.
-PAIRS, SLOTS = 1_000_000, 21
+PAIRS, SLOTS = 1 << 17, 20
+#: Bits of the slots of a task's table of words: two workers of an executor hold one each, beside a heap that earlier stages have filled.
+WORDS = 19
+#: Bytes of the documents that are encoded together.
+TOGETHER = 1 << 19
 #: Words, as characters, that advance together.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Characters from which a word is cut where no piece can cross, so that its parts advance together too.
 LONG = 64
 
@@ -243,7 +247,7 @@ def codec(model: str) -> tuple[Codec, chunks.ChunkTable]:
     """The codec of a model, kept while the process lives, and its table of words; both are bounded."""
     if model not in _CODECS:
         own = Codec(model)
-        _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks)
+        _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks, WORDS)
     return _CODECS[model]
 
 
@@ -251,7 +255,7 @@ def forget(model: str) -> None:
     """Gives back what a task has remembered of words and pairs: the process may go on with tasks that need the room."""
     own = _CODECS[model][0]
     own.pairs.clear()
-    _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks)
+    _CODECS[model] = own, chunks.ChunkTable(own.encode_chunks, WORDS)
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -266,7 +270,7 @@ def _coder(model: str, digest: bool):
         own, table = codec(model)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").cast(pa.int64()), spaced(batch.column("text"))
-            for low, high, raw, begins, stops, ids, ends in chunks.by_document(texts, chunks.word_cuts, table):
+            for low, high, raw, begins, stops, ids, ends in chunks.by_document(texts, chunks.word_cuts, table, TOGETHER):
                 starts = np.concatenate([[0], ends[:-1]])
                 decoded, sizes = own.decode(ids, starts, ends)
                 upto = np.cumsum(sizes)
@@ -281,6 +285,7 @@ def _coder(model: str, digest: bool):
                     out["decoded"] = pa.array([decoded[a:b].tobytes().decode("utf-8", "replace") for a, b in spans], pa.string())
                 out["exact"] = pa.array([np.array_equal(decoded[a:b], raw[c + 1 : d]) for (a, b), c, d in zip(spans, begins.tolist(), stops.tolist(), strict=True)])
                 yield pa.RecordBatch.from_pydict(out)
+            common.spare()
         forget(model)
         common.spare()
 
