@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.operators import closures
 from gatehouse.operators.workflows import reached
 from gatehouse.sources.scratch import shared_dir
 
@@ -22,12 +23,29 @@ def _trimmed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return left
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """(graph_id, node_id, component, on) of graphs that are a row each (closures.packed), on telling whether the node lies on a cycle; ids and edges are those of known nodes."""
+    known = rows.withColumn("ids", F.expr("array_sort(array_distinct(transform(nodes, x -> x.node_id)))")).withColumn("edges", F.expr("filter(edges, e -> array_contains(ids, e.source) and array_contains(ids, e.target))"))
+    own = known.withColumn("ways", F.expr(closures.ways("edges")))
+    on = "(shiftright(ways[k - 1], k - 1) & 1L) = 1L"
+    # ids are in order, so the first that is met both ways is the smallest.
+    first = "ids[filter(sequence(1, size(ids)), j -> (shiftright(ways[k - 1], j - 1) & shiftright(ways[j - 1], k - 1) & 1L) = 1L)[0] - 1]"
+    return own.select("graph_id", F.expr(f"inline(transform(sequence(1, size(ids)), k -> struct(ids[k - 1] as node_id, if({on}, {first}, ids[k - 1]) as component, {on} as on)))"))
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node_id, component) of nodes (graph_id, node_id) and edges (graph_id, source, target): component is the smallest node that a node reaches and is reached from.
+    """(graph_id, node_id, component) of nodes (graph_id, node_id) and edges (graph_id, source, target): component is the smallest node that a node reaches and is reached from. Small graphs are a row each, others run round by round; edges to unknown nodes don't count."""
+    rows, nodes, edges = closures.packed(nodes.select("graph_id", "node_id"), edges.select("graph_id", "source", "target"))
+    told = _small(rows).drop("on")
+    return told if nodes is None else told.unionByName(_large(nodes, edges))
+
+
+def _large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """strong_components of graphs of any size.
 
     Nodes on no cycle are trimmed first, each a component of its own. Of the others each takes the largest node
     that reaches it as its colour; what reaches a colour's own node backwards, within the colour, is its
-    component. These go, and the rest starts again. All graphs run at once; edges to unknown nodes don't count.
+    component. These go, and the rest starts again. All graphs run at once.
     """
     shared_dir(nodes.sparkSession)
     nodes = nodes.select("graph_id", "node_id").distinct().checkpoint()
@@ -61,8 +79,12 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, component): the nodes that lie on a cycle, an edge to itself included."""
-    parts = strong_components(nodes, edges)
+    rows, nodes, edges = closures.packed(nodes.select("graph_id", "node_id"), edges.select("graph_id", "source", "target"))
+    told = _small(rows).where("on").drop("on")
+    if nodes is None:
+        return told
+    parts = _large(nodes, edges)
     several = parts.groupBy("graph_id", "component").agg(F.count("*").alias("n")).where("n > 1").select("graph_id", "component")
     loops = edges.where("source = target").select("graph_id", F.col("source").alias("node_id")).distinct()
     whole = parts.join(several, ["graph_id", "component"], "left_semi")
-    return whole.unionByName(parts.join(loops, ["graph_id", "node_id"], "left_semi").join(several, ["graph_id", "component"], "left_anti")).select("graph_id", "node_id", "component")
+    return told.unionByName(whole).unionByName(parts.join(loops, ["graph_id", "node_id"], "left_semi").join(several, ["graph_id", "component"], "left_anti")).select("graph_id", "node_id", "component")

@@ -492,7 +492,9 @@ def workflow_graphs(spark, sf):
     nodes = item.withColumn("last", F.max("node_id").over(Window.partitionBy("graph_id")))
     own = F.when(F.col("node_id") == 1, F.when(F.col("graph_id") % 11 == 0, "llm").otherwise("start")).when((F.col("node_id") == F.col("last")) & (F.col("graph_id") % 7 > 0), "answer").when((F.col("node_id") == 2) & (F.col("graph_id") % 3 == 0), "if-else").otherwise("llm")
     nodes = nodes.withColumn("kind", own)
-    chain = nodes.where((F.col("node_id") < F.col("last")) & ~((F.col("graph_id") % 5 == 0) & (F.col("node_id") == 2))).select("graph_id", F.col("node_id").alias("source"), (F.col("node_id") + 1).alias("target"), F.when(F.col("kind") == "if-else", "true").alias("handle"))
-    other = nodes.where((F.col("kind") == "if-else") & (F.col("graph_id") % 13 > 0)).select("graph_id", F.col("node_id").alias("source"), F.col("last").alias("target"), F.lit("false").alias("handle"))
-    loop = nodes.where((F.col("node_id") == 3) & (F.col("graph_id") % 4 == 0)).select("graph_id", F.col("node_id").alias("source"), F.lit(2).cast("long").alias("target"), F.lit(None).cast("string").alias("handle"))
-    return nodes, chain.unionByName(other).unionByName(loop)
+    edge = lambda held, target, handle: F.when(held, F.struct(F.col("node_id").alias("source"), target.cast("long").alias("target"), F.lit(handle).cast("string").alias("handle") if handle is None else handle.alias("handle")))
+    chain = edge((F.col("node_id") < F.col("last")) & ~((F.col("graph_id") % 5 == 0) & (F.col("node_id") == 2)), F.col("node_id") + 1, F.when(F.col("kind") == "if-else", "true"))
+    other = edge((F.col("kind") == "if-else") & (F.col("graph_id") % 13 > 0), F.col("last"), F.lit("false"))
+    loop = edge((F.col("node_id") == 3) & (F.col("graph_id") % 4 == 0), F.lit(2), None)
+    # Written out of their nodes, so that they are where these are.
+    return nodes, nodes.select("graph_id", F.inline(F.array_compact(F.array(chain, other, loop))))

@@ -232,3 +232,22 @@ def test_index_gathers_postings_where_texts_are(spark, tmp_path):
     assert own.postings.where("term = 'often'").agg(F.sum(F.size("docs")).alias("n")).first().n == 256
     got = retrieval.search(own, spark.createDataFrame([(1, "W1 often")], "query_id long, text string"), 3)
     assert [r.doc_id for r in sorted(got.collect(), key=lambda r: r["rank"])] == [1, 4, 7]
+
+
+def test_small_graphs_equal_those_of_any_size(spark, monkeypatch):
+    """Graphs as rows of bits and graphs followed round by round tell the same, with repeated rows, nulls and edges to unknown nodes; small ones take no round."""
+    rng = random.Random(11)
+    nodes = [(g, i, rng.choice(["start", "llm", "answer", "if-else"]) if i else "start") for g in range(60) for i in range(rng.randint(1, 6))]
+    nodes += [(1, 0, "start"), (61, None, "start"), (61, 1, "answer"), *[(None, i, "start") for i in range(4)]]
+    edges = [(g, rng.randint(0, 6), rng.randint(0, 7), rng.choice([None, "true", "false"])) for g in range(62) for _ in range(rng.randint(0, 7))] + [(2, None, 1, None), (3, 0, 900, None), (3, 900, 0, None)]
+    n = spark.createDataFrame(nodes, "graph_id long, node_id long, kind string")
+    e = spark.createDataFrame(edges, "graph_id long, source long, target long, handle string")
+    told = lambda strict: sorted(map(str, workflows.validated(n, e, strict).collect()))
+    parts, on = lambda: sorted(map(str, graphs.strong_components(n, e).collect())), lambda: sorted(map(str, graphs.on_cycles(n, e).collect()))
+    small = told(True), parts(), on()
+    monkeypatch.setattr("gatehouse.operators.closures.NODES", 2)
+    assert (told(True), parts(), on()) == small
+    monkeypatch.undo()
+    rounds = []
+    monkeypatch.setattr(workflows, "reached", lambda *x: rounds.append(x))
+    assert workflows.validated(n.where("graph_id < 60"), e.where("graph_id < 2"), True).count() == 60 and not rounds
