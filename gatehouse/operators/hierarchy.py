@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from gatehouse.operators import ordering
 from gatehouse.sources.scratch import shared_dir, written
 
+#: Levels from anchor to anchor of a path.
+STEP = 64
+
 
 def _doubled(links: DataFrame, sums: dict[str, str]) -> DataFrame:
     """links (id, up, stop, …) with up followed until it is null.
 
     stop is null, or says why an up that is null ends the chain. Each round an element takes over what
     the one that it points to has: up, stop, and the named columns, added up by an expression of a
-    (its own) and b (the other's). A pointer to nothing ends with "missing"; what still points somewhere
+    (its own) and b (the other's). Written tables are small as files but not as rows, so none is broadcast. A pointer to nothing ends with "missing"; what still points somewhere
     after as many rounds as the number of elements has bits runs in a cycle, with stop "cycle".
     """
     held = written(links, "chains")
@@ -24,7 +27,7 @@ def _doubled(links: DataFrame, sums: dict[str, str]) -> DataFrame:
         if active.isEmpty():
             return held
         others = [c for c in held.columns if c not in ("id", "up", "stop", *sums)]
-        met = active.join(held.alias("b"), F.col("a.up") == F.col("b.id"), "left")
+        met = active.join(held.alias("b").hint("merge"), F.col("a.up") == F.col("b.id"), "left")
         stop = F.when(F.col("b.id").isNull(), "missing").otherwise(F.col("b.stop"))
         added = [F.when(F.col("b.id").isNull(), F.col(f"a.{c}")).otherwise(F.expr(e)).alias(c) for c, e in sums.items()]
         moved = met.select(F.col("a.id").alias("id"), F.col("b.up").alias("up"), stop.alias("stop"), *added, *[F.col(f"a.{c}").alias(c) for c in others])
@@ -40,11 +43,23 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """nodes (id, parent_id, …) with path, "/1/3/7/"; those on or below a cycle, or below a missing parent, have no row. Chains are told apart first, so no text grows along a cycle."""
-    fine = nodes.join(depths(nodes).where("outcome = 'ok'").select("id"), "id", "left_semi")
-    own = fine.select("id", F.col("parent_id").alias("up"), F.lit(None).cast("string").alias("stop"), F.concat(F.col("id").cast("string"), F.lit("/")).alias("path"))
-    ends = _doubled(own, {"path": "concat(b.path, a.path)"})
-    return fine.join(ends.select("id", F.concat(F.lit("/"), "path").alias("path")), "id").select(*nodes.columns, "path")
+    """nodes (id, parent_id, …) with path, "/1/3/7/"; those on or below a cycle, or below a missing parent, have no row.
+
+    Chains are told apart first, so no text grows along a cycle. Every STEPth level holds anchors: texts are
+    followed up to the anchor above only, then from anchor to anchor for those that something hangs from,
+    and put together at the end, so long texts are neither written nor shuffled in each round.
+    """
+    deep = depths(nodes).where("outcome = 'ok'").select("id", "depth")
+    anchor = (F.col("depth") - 1) % STEP == 0  # the parent is an anchor
+    own = nodes.select("id", "parent_id").join(deep.hint("merge"), "id")
+    text = F.concat(F.col("id").cast("string"), F.lit("/"))
+    links = own.select("id", F.when(~anchor, F.col("parent_id")).alias("up"), F.lit(None).cast("string").alias("stop"), text.alias("path"), F.when(anchor, F.col("parent_id")).alias("top"))
+    short = _doubled(links, {"path": "concat(b.path, a.path)", "top": "b.top"})
+    tops = short.where("top is not null").select(F.col("top").alias("id")).distinct()
+    chains = short.join(tops.hint("merge"), "id", "left_semi").select("id", F.col("top").alias("up"), F.lit(None).cast("string").alias("stop"), "path")
+    whole = _doubled(chains, {"path": "concat(b.path, a.path)"}).select(F.col("id").alias("top"), F.col("path").alias("above"))
+    ends = short.join(whole.hint("merge"), "top", "left").select("id", F.concat(F.lit("/"), F.coalesce("above", F.lit("")), "path").alias("path"))
+    return nodes.join(ends.hint("merge"), "id").select(*nodes.columns, "path")
 
 
 def intervals(nodes: DataFrame) -> DataFrame:
@@ -56,13 +71,13 @@ def intervals(nodes: DataFrame) -> DataFrame:
     pointer doubling, so a chain of any length takes as many rounds as the logarithm of its length.
     """
     shared_dir(nodes.sparkSession)
-    own = nodes.select("id", "parent_id").join(depths(nodes), "id").checkpoint()
+    own = nodes.select("id", "parent_id").join(depths(nodes).hint("merge"), "id").checkpoint()
     good = own.where("outcome = 'ok'").select("id", "parent_id")
     # Roots are the children of nothing; siblings follow each other in the order of (parent, id).
     ordered = ordering.with_next(good, [F.col("parent_id").asc_nulls_first(), F.col("id")], ["parent_id", "id"])
     sibling = F.when(F.col("next").isNotNull() & F.col("next.parent_id").eqNullSafe(F.col("parent_id")), F.col("next.id"))
     first = good.where("parent_id is not null").groupBy("parent_id").agg(F.min("id").alias("child")).withColumnRenamed("parent_id", "id")
-    known = ordered.select("id", "parent_id", sibling.alias("sibling")).join(first, "id", "left")
+    known = ordered.select("id", "parent_id", sibling.alias("sibling")).join(first.hint("merge"), "id", "left")
     enters = known.select((F.col("id") * 2).alias("id"), F.coalesce(F.col("child") * 2, F.col("id") * 2 + 1).alias("up"))
     leaves = known.select((F.col("id") * 2 + 1).alias("id"), F.coalesce(F.col("sibling") * 2, F.col("parent_id") * 2 + 1).alias("up"))
     steps = enters.unionByName(leaves).select("id", "up", F.lit(None).cast("string").alias("stop"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("left"))
@@ -70,7 +85,7 @@ def intervals(nodes: DataFrame) -> DataFrame:
     last = ranks.agg(F.max("left").alias("last"))  # one row
     place = ranks.join(F.broadcast(last), how="cross").select(F.shiftright("id", 1).alias("id"), (F.col("id").bitwiseAND(1) == 0).alias("in"), (F.col("last") - F.col("left")).alias("at"))
     both = place.groupBy("id").agg(F.max(F.when(F.col("in"), F.col("at"))).alias("enter"), F.max(F.when(~F.col("in"), F.col("at"))).alias("leave"))
-    return own.join(both, "id", "left").select("id", "outcome", "depth", "enter", "leave")
+    return own.join(both.hint("merge"), "id", "left").select("id", "outcome", "depth", "enter", "leave")
 
 
 def below(places: DataFrame, asked: DataFrame, width: int = 1024) -> DataFrame:
@@ -78,4 +93,4 @@ def below(places: DataFrame, asked: DataFrame, width: int = 1024) -> DataFrame:
     near = places.select("id", "enter", F.floor(F.col("enter") / width).alias("bin"))
     bins = F.explode(F.sequence(F.floor(F.col("enter") / width), F.floor(F.col("leave") / width)))
     wide = asked.select(F.col("id").alias("above"), F.col("enter").alias("from"), F.col("leave").alias("to"), bins.alias("bin"))
-    return near.join(wide, "bin").where("enter between `from` and `to`").select("id", "above")
+    return near.join(wide.hint("merge"), "bin").where("enter between `from` and `to`").select("id", "above")

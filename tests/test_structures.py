@@ -251,3 +251,22 @@ def test_small_graphs_equal_those_of_any_size(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(workflows, "reached", lambda *x: rounds.append(x))
     assert workflows.validated(n.where("graph_id < 60"), e.where("graph_id < 2"), True).count() == 60 and not rounds
+
+
+def test_rounds_of_trees_broadcast_nothing_and_hold_short_texts(spark, monkeypatch):
+    """What is written round by round isn't sent to the driver to be broadcast, and texts end at the next anchor."""
+    plans, texts, own = [], [], hierarchy.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        held = own(df, name)
+        texts.append(held.agg(F.sum(F.length("path"))).first()[0] or 0 if "path" in held.columns else 0)
+        return held
+
+    monkeypatch.setattr(hierarchy, "written", seen)
+    monkeypatch.setattr(hierarchy, "STEP", 8, raising=False)
+    chain = spark.range(1, 151).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
+    got = {r.id: r.path for r in hierarchy.paths(chain).collect()}
+    assert got == {i: "/" + "/".join(map(str, range(1, i + 1))) + "/" for i in range(1, 151)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    assert sum(texts) < sum(map(len, got.values()))
