@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gatehouse.operators import turns
 from gatehouse.sources import captures
 from gatehouse.sources import tables as T
-from gatehouse.sources.scratch import shared_dir
+from gatehouse.sources.scratch import shared_dir, written
 from gatehouse.streaming import machines, sinks
 
 
@@ -89,10 +89,10 @@ def beat(rows: DataFrame, key: str, order: str, at: str, after: str) -> DataFram
 
 
 def _turns(spark: SparkSession, sf_dir: str, silence: str, after: str) -> DataFrame:
-    """Turns of all frames made of events, in several micro-batches and closed by the watermark."""
+    """Turns of all frames made of events, in several micro-batches and closed by the watermark. Events come in the order of their time, whatever their ids, so none is late."""
     events = T.table(spark, sf_dir, "events")
     path = folder(spark, "stream")
-    *first, last = ranges(events, "event_id", 3)
+    *first, last = ranges(events, "ts", 3)
     arrived(spark, [*first, last.unionByName(beat(events, "user_id", "event_id", "ts", after))], path)
     frames = T.frames_of(streamed(spark, path)).withColumn("at", F.col("ts"))
     return run(machines.fold_turns(turns.translate_chat(frames), late="10 minutes", silence=silence), "append").where("stream_id >= 0").drop("batch")
@@ -126,16 +126,16 @@ def frames_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames out of logs of chunks of 1 to 7 bytes, which cut code points, lines and frames anywhere.
 
     Blank lines stand before frames, so each stream's last one is unfinished until the stream is
-    silent. The logs come in two parts; between them the stream stops and starts again from its checkpoint.
+    silent. The logs come in two parts by time, so none is late, whatever its id; between them the stream stops and starts again from its checkpoint.
     """
     frames = T.frames_of(T.table(spark, sf_dir, "events")).withColumn("data", F.concat("data", F.lit(" ü你😀")))
     cut = frames.select("stream_id", "seq", F.col("ts").alias("at"), _pieces(_frame_text("\n\r\n", "")).alias("pieces"))
     before = F.coalesce(F.sum(F.size("pieces")).over(Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = cut.withColumn("before", before).select("stream_id", "seq", "at", "before", F.posexplode("pieces").alias("k", "chunk"))
+    held = written(cut.withColumn("before", before), "pieces")
     logs, sent = folder(spark, "log"), folder(spark, "sent")
-    numbered = lambda df: df.select("stream_id", (F.col("before") + F.col("k")).alias("seq"), "at", "chunk")
-    first, last = ranges(chunks, "seq", 2)
-    end = beat(numbered(chunks), "stream_id", "seq", "at", "50 days").withColumn("chunk", F.lit(b""))
+    numbered = lambda df: df.select("stream_id", "at", "before", F.posexplode("pieces").alias("k", "chunk")).select("stream_id", (F.col("before") + F.col("k")).alias("seq"), "at", "chunk")
+    first, last = ranges(held, "at", 2)
+    end = beat(held.select("stream_id", F.col("before").alias("seq"), "at"), "stream_id", "seq", "at", "50 days").withColumn("chunk", F.lit(b""))
     for part in (numbered(first), numbered(last).unionByName(end)):
         captures.capture(part, logs)
         out = run(machines.split_frames(captures.chunks_of(captures.stream_lines(spark, logs)), silence="40 days"), "append", sent, polled=True)

@@ -247,3 +247,17 @@ def test_captured_logs_are_read_in_few_ranges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(captures, "stream_lines", lambda spark, folder, split=captures.SPLIT: asked.append(split) or own(spark, folder, split))
     assert stateful.captured(spark, "/root/testdata/sf0.001").count() > 0
     assert len(asked) == 2 and min(asked) >= captures.BLOCK
+
+
+@pytest.mark.parametrize("name", ["turns_closed_streamed", "chunks_to_frames_streamed"])
+def test_streams_of_ids_that_begin_anew_lose_nothing(spark, tmp_path, name):
+    """Other users' events of the same days with larger ids: none of them is late, as they come in the order of their time."""
+    own = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 400")
+    more = own.withColumn("event_id", F.col("event_id") + 100_000).withColumn("user_id", F.col("user_id") + 5_000)
+    own.unionByName(more).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    for table in os.listdir("/root/testdata/sf0.001"):
+        db.sql(f"create view {table.removesuffix('.parquet')} as select * from '/root/testdata/sf0.001/{table}'")
+    db.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, db.sql(ORACLE_SQL[name]).fetchall()))
