@@ -1,9 +1,11 @@
 """Access by kinds of users: what is counted isn't written out, what is written out isn't shuffled."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from gatehouse.operators import access
+from gatehouse.operators import access, blocks
 from gatehouse.plans.registry import QUERIES
 from gatehouse.sources import tables as T
 
@@ -64,3 +66,33 @@ def test_numbers_equal_pairs(spark):
     assert {r.user_id for r in access.closed(*tables).collect()} == people.keys() - {u for u, _ in wanted}
     none = users, held, grants, resources.where("false"), roles
     assert {r.user_id for r in access.closed(*none).collect()} == people.keys() and not access.counted(*none).collect()
+
+
+def stored(df, path) -> float:
+    """Bytes a row of df as files."""
+    df.write.parquet(path)
+    return sum(f.stat().st_size for f in Path(path).glob("*.parquet")) / df.sparkSession.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("of", [access.scopes, access.visible])
+def test_stored_pairs_are_runs_that_repeat(spark, tmp_path, of):
+    """250 users of one department that is granted 40,000 resources: what is stored grows with runs and how often they repeat; two ids take sixteen bytes."""
+    users = spark.range(250).select("id", F.lit(5).cast("long").alias("dept_id"), F.lit(1).alias("status"))
+    resources = spark.range(40_000).select("id", F.lit(1).alias("status"))
+    grants = resources.select(F.col("id").alias("resource_id"), F.lit("dept").alias("principal_type"), F.lit(5).cast("long").alias("principal_id"))
+    held = spark.createDataFrame([(1, 4)], "user_id long, role_id long")
+    roles = spark.createDataFrame([(4, "A"), (8, "PLATFORM_ADMIN")], "id long, code string")
+    assert stored(of(users, held, grants, resources, roles), str(tmp_path / "pairs")) < 0.5
+
+
+def test_lists_of_any_length_give_each_pair_once(spark, monkeypatch):
+    """Lists below, at and above their bounds, with nulls, repeated ids and keys of one side only."""
+    monkeypatch.setattr(blocks, "LIST", 20)
+    monkeypatch.setattr(blocks, "RUN", 8)
+    one = [(k, i) for k in range(25) for i in range(k)] + [(24, None), (3, 1), (None, 5)]
+    other = [(k, i) for k in range(1, 45) for i in range(k)] + [(24, 3), (24, None)]
+    ones = blocks.lists(spark.createDataFrame(one, "k long, a long"), ["k"], "a", "ones")
+    others = blocks.lists(spark.createDataFrame(other, "k long, b long"), ["k"], "b", "others")
+    assert max(len(r.ones) for r in ones.collect()) == 20 and max(len(r.others) for r in others.collect()) == 20
+    got = [tuple(r) for r in blocks.written_out(ones, others, ["k"], "a", "b", ["k"]).collect()]
+    assert sorted(got, key=str) == sorted(((a, b) for k, a in one for j, b in other if k == j), key=str)
