@@ -261,3 +261,17 @@ def test_streams_of_ids_that_begin_anew_lose_nothing(spark, tmp_path, name):
     db.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).collect())))
     assert got == sorted(map(repr, db.sql(ORACLE_SQL[name]).fetchall()))
+
+
+def test_buckets_take_the_nearest_millisecond(spark, tmp_path):
+    """Two requests a token's refill apart, but for less than a millisecond: cut down, the second would find a token less, or one more."""
+    refill = 1_200_000_000
+    rows = [(k, u, t, 1) for u, (a, b) in enumerate([(400, -400), (600, 0), (500, 0), (499, 0), (0, -500), (0, -501), (999, 400), (300, 700)]) for k, t in ((2 * u, 10**15 + a), (2 * u + 1, 10**15 + refill + b))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, us long, k long").select("event_id", "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit("}")).alias("props"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    for name in os.listdir("/root/testdata/sf0.001"):
+        db.sql(f"create view {name.removesuffix('.parquet')} as select * from '/root/testdata/sf0.001/{name}'")
+    db.sql(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted((r.id, r.user_id, r.outcome, r.tokens_left) for r in QUERIES["rate_limit_decisions"](spark, str(tmp_path)).collect())
+    assert len(got) == 16 and got == sorted(db.sql(f"select id, user_id, outcome, tokens_left from ({ORACLE_SQL['rate_limit_decisions']})").fetchall())
